@@ -206,7 +206,7 @@ def margin_bands(
         return F.expr(
             f"""transform(array({peak}), peak ->
                   if({count('peak')} < {per_page} * pages, null,
-                     filter({walk}, b -> {step} * b >= {step} * peak and {count('b')} < {gap} * {count('peak')})[0]))[0]"""
+                     get(filter({walk}, b -> {step} * b >= {step} * peak and {count('b')} < {gap} * {count('peak')}), 0)))[0]"""
         )
 
     return (
@@ -234,7 +234,7 @@ def group_lines(runs: DataFrame, tolerance: float = 2.5) -> DataFrame:
     ).drop("_drop")
 
 
-def line_text(lined: DataFrame, em: float = 0.15, capital: float = 1.25) -> DataFrame:
+def line_text(lined: DataFrame, em: float = 0.15, capital: float = 1.2) -> DataFrame:
     """Text of each line: a space where the gap exceeds the word space, after punctuation or at a larger capital."""
     line = [*COLUMN, "line"]
     w = W.partitionBy(*line).orderBy("x", "ord")

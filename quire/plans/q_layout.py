@@ -115,8 +115,8 @@ def _(t):
 @query("b11_margin_bands", """
 WITH h AS (SELECT doc_id, floor(y / 792 / 0.005)::BIGINT AS b, count(*) AS n FROM v_full_runs WHERE trim(text) <> '' GROUP BY ALL),
 pg AS (SELECT doc_id, count(DISTINCT page) AS pages FROM v_full_runs GROUP BY ALL),
-spine AS (SELECT doc_id, pages, side, b, coalesce(n, 0) AS n FROM pg,
-  (SELECT 0 AS side, unnest(range(0, 13)) AS b UNION ALL SELECT 1, unnest(range(187, 200))) s LEFT JOIN h USING (doc_id, b)),
+zone AS (SELECT doc_id, pages, side, b FROM pg, (SELECT 0 AS side, unnest(range(0, 13)) AS b UNION ALL SELECT 1, unnest(range(187, 200))) s),
+spine AS (SELECT doc_id, pages, side, b, coalesce(n, 0) AS n FROM zone LEFT JOIN h USING (doc_id, b)),
 peak AS (SELECT doc_id, side, b AS pb, n AS pn, pages FROM spine WHERE b NOT IN (12, 187)
   QUALIFY row_number() OVER (PARTITION BY doc_id, side ORDER BY n DESC, CASE side WHEN 0 THEN b ELSE -b END) = 1),
 gap AS (SELECT doc_id, min(CASE WHEN side = 0 AND b >= pb THEN b END) AS lo, max(CASE WHEN side = 1 AND b <= pb THEN b END) AS hi
@@ -144,7 +144,7 @@ p AS (SELECT *, x - lag(x + width) OVER w AS gap, lag(size) OVER w AS ps, lag(te
   WINDOW w AS (PARTITION BY doc_id, page, col, line ORDER BY x, ord))
 SELECT doc_id, page, col, line, max(y) AS y, trim(regexp_replace(string_agg(CASE WHEN gap > 0.15 * greatest(size, ps)
     OR (regexp_matches(pt, '[,.:;!?]$') AND regexp_matches(text, '^\\p{{L}}'))
-    OR (size > 1.25 * ps AND regexp_matches(text, '^\\p{{Lu}}') AND regexp_matches(pt, '\\p{{Ll}}$'))
+    OR (size > 1.2 * ps AND regexp_matches(text, '^\\p{{Lu}}') AND regexp_matches(pt, '\\p{{Ll}}$'))
   THEN ' ' ELSE '' END || text, '' ORDER BY x, ord), '\\s+', ' ', 'g')) AS text
 FROM p GROUP BY ALL""")
 def _(t):

@@ -45,4 +45,22 @@ SELECT page_id, i - 1 AS n, regexp_extract(parts[i], '^<([a-z]+[0-9]?)', 1) AS t
   trim(regexp_replace(regexp_replace(parts[i], '^<[^>]*>', ''), '<[^>]*>', ' ', 'g')) AS text
 FROM (SELECT page_id, regexp_extract_all(html, '(<(?:title|h[1-6]|p|li|b|a)(?: [^>]*)?>[^<]*)', 1) AS parts FROM pages) d,
      unnest(range(1, len(parts) + 1)) u(i)""",
+    "v_piece_runs": r"""
+SELECT doc_id, page, col, y, size, weight, font, source, CASE WHEN part = 1 THEN x + 10 ELSE x END AS x,
+  CASE part WHEN 0 THEN 20 WHEN 1 THEN width - 10 ELSE width END AS width,
+  CASE part WHEN 0 THEN substr(text, 1, 4)
+    WHEN 1 THEN CASE WHEN (doc_id + ord) % 211 = 0 THEN '#' ELSE substr(text, 3, 1) END || substr(text, 4) ELSE text END AS text,
+  ord * 2 + part % 2 AS ord
+FROM v_runs, unnest(CASE WHEN length(text) >= 6 THEN [0, 1] ELSE [2] END) s(part)""",
+    "v_cut_runs": r"""
+SELECT doc_id, page, col, y, size, weight, font, source, CASE WHEN part = 1 THEN x + width - 5 ELSE x END AS x,
+  CASE WHEN part = 1 THEN 5 WHEN cut THEN width - 5 ELSE width END AS width,
+  CASE WHEN part = 1 THEN '' WHEN cut THEN substr(text, 1, length(text) - 1) ELSE text END AS text, ord * 2 + part AS ord
+FROM (SELECT *, regexp_matches(text, '(en|er)\p{Ll}$') AS cut FROM v_runs), unnest(CASE WHEN cut THEN [0, 1] ELSE [0] END) s(part)""",
+    "v_initial_runs": r"""
+SELECT doc_id, page, col, y, weight, font, source, CASE WHEN part = 1 THEN 20 ELSE size END AS size,
+  CASE WHEN part = 1 THEN x + 2 ELSE x END AS x, CASE WHEN part = 1 THEN 10 ELSE width END AS width,
+  CASE WHEN part = 1 THEN substr(caps, 1, 1) ELSE substr(caps, 2) END AS text, ord * 2 + part AS ord
+FROM (SELECT *, upper(regexp_replace(text, '[^\p{L}]|ß', '', 'g')) AS caps FROM v_runs WHERE size = 14), unnest([0, 1]) s(part)
+WHERE length(caps) > 2""",
 }

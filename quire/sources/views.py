@@ -113,3 +113,45 @@ def blocks(t) -> DataFrame:
         t.pages.select("page_id", F.posexplode(tags).alias("n", "raw"))
         .select("page_id", "n", F.regexp_extract("raw", r"^<([a-z]+[0-9]?)", 1).alias("tag"), F.trim(inner).alias("text"))
     )
+
+
+def piece_runs(t) -> DataFrame:
+    """The text layer with long words set in two pieces that overlap by two letters, some of them disagreeing."""
+    return t.runs.selectExpr(
+        "*", "explode(case when length(text) >= 6 then array(0, 1) else array(2) end) as part"
+    ).selectExpr(
+        "doc_id", "page", "col", "y", "size", "weight", "font", "source",
+        "case when part = 1 then x + 10 else x end as x",
+        "case part when 0 then 20L when 1 then width - 10 else width end as width",
+        """case part when 0 then substr(text, 1, 4)
+                when 1 then concat(case when (doc_id + ord) % 211 = 0 then '#' else substr(text, 3, 1) end, substr(text, 4))
+                else text end as text""",
+        "ord * 2 + part % 2 as ord",
+    )
+
+
+def cut_runs(t) -> DataFrame:
+    """The text layer with the letter after a closing ``n`` or ``r`` pair lost to an empty run."""
+    ends = F.col("text").rlike(r"(en|er)\p{Ll}$")
+    return t.runs.withColumn("cut", ends).selectExpr(
+        "*", "explode(case when cut then array(0, 1) else array(0) end) as part"
+    ).selectExpr(
+        "doc_id", "page", "col", "y", "size", "weight", "font", "source",
+        "case when part = 1 then x + width - 5 else x end as x",
+        "case when part = 1 then 5L when cut then width - 5 else width end as width",
+        "case when part = 1 then '' when cut then substr(text, 1, length(text) - 1) else text end as text",
+        "ord * 2 + part as ord",
+    )
+
+
+def initial_runs(t) -> DataFrame:
+    """Heading words in capitals, their first letter set larger and a little inside the word."""
+    caps = t.runs.where("size = 14").withColumn("caps", F.upper(F.regexp_replace("text", r"[^\p{L}]|ß", ""))).where("length(caps) > 2")
+    return caps.selectExpr("*", "explode(array(0, 1)) as part").selectExpr(
+        "doc_id", "page", "col", "y", "weight", "font", "source",
+        "case when part = 1 then 20 else size end as size",
+        "case when part = 1 then x + 2 else x end as x",
+        "case when part = 1 then 10L else width end as width",
+        "case when part = 1 then substr(caps, 1, 1) else substr(caps, 2) end as text",
+        "ord * 2 + part as ord",
+    )
