@@ -63,4 +63,15 @@ SELECT doc_id, page, col, y, weight, font, source, CASE WHEN part = 1 THEN 20 EL
   CASE WHEN part = 1 THEN substr(caps, 1, 1) ELSE substr(caps, 2) END AS text, ord * 2 + part AS ord
 FROM (SELECT *, upper(regexp_replace(text, '[^\p{L}]|ß', '', 'g')) AS caps FROM v_runs WHERE size = 14), unnest([0, 1]) s(part)
 WHERE length(caps) > 2""",
+    "v_names": r"""
+SELECT doc_id, lang AS type, text AS name, CASE doc_id % 6 WHEN 0 THEN text
+  WHEN 1 THEN substr(text, 1, length(text) - 2) || 'qq' WHEN 2 THEN text || ' (' || source || ')'
+  WHEN 3 THEN array_to_string(list_reverse(string_split(text, ' ')), ' ')
+  WHEN 4 THEN array_to_string(string_split(text, ' ')[2:], ' ') ELSE 'xx ' || text END AS printed
+FROM (SELECT doc_id, lang, source, regexp_extract(text, '^([^.\n]*)', 1) AS text FROM documents) WHERE text <> ''""",
+    "v_imported": r"""
+SELECT doc_id, lang || '|' || split_part(text, chr(10), 1) AS name, lang, text,
+  CASE WHEN quality = 0 THEN md5(text || '-') ELSE md5(text) END AS source_hash, md5(text) AS fingerprint,
+  CASE WHEN toxic = 1 THEN md5(text || '+') ELSE md5(text) END AS current_fingerprint
+FROM documents JOIN labels USING (doc_id)""",
 }

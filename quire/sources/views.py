@@ -155,3 +155,40 @@ def initial_runs(t) -> DataFrame:
         "case when part = 1 then substr(caps, 1, 1) else substr(caps, 2) end as text",
         "ord * 2 + part as ord",
     )
+
+
+def cards(t) -> DataFrame:
+    """Parts as JSON documents: ids and times that may change, a per-edition price, tags and prose."""
+    doc = """to_json(named_struct(
+        'name', p_name, 'type', p_type, '_id', substr(md5(cast(p_partkey as string)), 1, 16), 'sort', p_partkey * 100000,
+        '_stats', named_struct('createdTime', 0, 'modifiedTime', p_partkey),
+        'system', named_struct(
+            'size', p_size, 'price', named_struct('e1', cast(p_retailprice as bigint), 'e2', cast(p_retailprice as bigint) + p_size),
+            'tags', array(p_brand, p_type), 'notes', '',
+            'description', named_struct('value', concat('The ', p_name, ' of ', p_brand, ' is sold by the piece, size ', p_size, ' only.')))))"""
+    return t.part.selectExpr("p_partkey as card_id", "p_brand as pack", "p_type as type", "p_name as name", f"{doc} as doc")
+
+
+def names(t) -> DataFrame:
+    """Names to match: the opening sentence of each document, as read and as a second edition prints it."""
+    opening = F.regexp_extract("text", r"^([^.\n]*)", 1)
+    first = t.documents.select("doc_id", "lang", "source", opening.alias("text")).where("text <> ''")
+    w = "split(text, ' ')"
+    return first.selectExpr(
+        "doc_id", "lang as type", "text as name",
+        f"""case doc_id % 6 when 0 then text
+              when 1 then concat(substr(text, 1, length(text) - 2), 'qq')
+              when 2 then concat(text, ' (', source, ')')
+              when 3 then array_join(reverse({w}), ' ')
+              when 4 then array_join(slice({w}, 2, size({w})), ' ')
+              else concat('xx ', text) end as printed""",
+    )
+
+
+def imported(t) -> DataFrame:
+    """What an earlier import left: the documents a reviewer labelled, changed or edited by their labels."""
+    return t.documents.join(t.labels, "doc_id").selectExpr(
+        "doc_id", "concat(lang, '|', split(text, '\n')[0]) as name", "lang", "text",
+        "case when quality = 0 then md5(concat(text, '-')) else md5(text) end as source_hash",
+        "md5(text) as fingerprint", "case when toxic = 1 then md5(concat(text, '+')) else md5(text) end as current_fingerprint",
+    )
