@@ -101,3 +101,22 @@ def islands(flag: Column, keys: list[str], order: list[str | Column]) -> Column:
     """Island number inside a bounded window: the running count of ``flag``."""
     w = W.partitionBy(*keys).orderBy(*order)
     return F.sum(F.when(flag, 1).otherwise(0)).over(_upto(w))
+
+
+def as_of(
+    left: DataFrame, right: DataFrame, keys: list[str], at: str, id_: str, value: str, out: str, segment: Column,
+    inclusive: bool = False,
+) -> DataFrame:
+    """For each left row the struct of ``value`` and time of the latest right row of its key before it.
+
+    Both sides are one sorted stream, carried forward segment by segment: no
+    pairs are formed, so a hot key costs its own rows only. ``segment`` maps
+    the time column to a growing whole number.
+    """
+    side = 0 if inclusive else 2  # at one time, rights come before lefts only where equal times count
+    lhs = left.withColumn("_side", F.lit(1)).withColumn("_val", F.lit(None).cast(right.schema[value].dataType))
+    rhs = right.select(*keys, at, id_, F.lit(side).alias("_side"), F.col(value).alias("_val"))
+    both = lhs.unionByName(rhs, allowMissingColumns=True).withColumn("_seg", segment)
+    seen = F.when(F.col("_side") != 1, F.struct(F.col(at).alias("at"), F.col(id_).alias("id"), F.col("_val").alias("value")))
+    carried = carry_last(both, keys, "_seg", [at, "_side", id_], seen, out)
+    return carried.where("_side = 1").drop("_side", "_val", "_seg")
