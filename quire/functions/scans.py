@@ -120,3 +120,37 @@ def as_of(
     seen = F.when(F.col("_side") != 1, F.struct(F.col(at).alias("at"), F.col(id_).alias("id"), F.col("_val").alias("value")))
     carried = carry_last(both, keys, "_seg", [at, "_side", id_], seen, out)
     return carried.where("_side = 1").drop("_side", "_val", "_seg")
+
+
+def carry_many(df: DataFrame, keys: list[str], segment: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Several ``carry_last`` columns over one sort."""
+    df = df.withColumns({f"_v_{out}": v for out, v in values.items()})
+    w = _upto(W.partitionBy(*keys, segment).orderBy(*order))
+    df = df.withColumns({f"_h_{out}": F.last(f"_v_{out}", ignorenulls=True).over(w) for out in values})
+    at = F.struct(*order)
+    seg = df.groupBy(*keys, segment).agg(
+        *[F.max_by(f"_v_{out}", F.when(F.col(f"_v_{out}").isNotNull(), at)).alias(f"_s_{out}") for out in values]
+    )
+    seg = seg.withColumn("_blk", F.floor(F.col(segment) / F.lit(WIDTH)).cast("long"))
+    near = _before(W.partitionBy(*keys, "_blk").orderBy(segment))
+    blocks = seg.groupBy(*keys, "_blk").agg(
+        *[F.max_by(f"_s_{out}", F.when(F.col(f"_s_{out}").isNotNull(), F.col(segment))).alias(f"_b_{out}") for out in values]
+    )
+    far = _before(W.partitionBy(*keys).orderBy("_blk"))
+    blocks = blocks.select(*keys, "_blk", *[F.last(f"_b_{out}", ignorenulls=True).over(far).alias(f"_f_{out}") for out in values])
+    seg = seg.withColumns({f"_n_{out}": F.last(f"_s_{out}", ignorenulls=True).over(near) for out in values})
+    seg = seg.join(blocks, [*keys, "_blk"]).select(
+        *keys, segment, *[F.coalesce(f"_n_{out}", f"_f_{out}").alias(f"_p_{out}") for out in values]
+    )
+    df = df.join(seg, [*keys, segment]).withColumns({out: F.coalesce(f"_h_{out}", f"_p_{out}") for out in values})
+    return df.drop(*[f"_{k}_{out}" for out in values for k in "vhp"])
+
+
+def previous(df: DataFrame, keys: list[str], segment: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """``lag(value)`` over ``keys`` ordered by (segment, order), for values that are never null."""
+    df = df.withColumn("_v", value)
+    w = W.partitionBy(*keys, segment).orderBy(*order)
+    df = df.withColumn("_here", F.lag("_v").over(w))
+    seg = df.groupBy(*keys, segment).agg(F.max_by("_v", F.struct(*order)).alias("_v"))
+    past = _carry_segments(seg, keys, segment, "_v", "_past")
+    return df.join(past, [*keys, segment]).withColumn(out, F.coalesce("_here", "_past")).drop("_v", "_here", "_past")

@@ -74,4 +74,29 @@ SELECT doc_id, lang || '|' || split_part(text, chr(10), 1) AS name, lang, text,
   CASE WHEN quality = 0 THEN md5(text || '-') ELSE md5(text) END AS source_hash, md5(text) AS fingerprint,
   CASE WHEN toxic = 1 THEN md5(text || '+') ELSE md5(text) END AS current_fingerprint
 FROM documents JOIN labels USING (doc_id)""",
+    "v_cells": r"""
+SELECT table_id, page, row_no, bold, i - 1 AS col_no, texts[i] AS text FROM (
+  SELECT p_brand AS table_id, p_partkey // 500 AS page, 4 * p_partkey + 1 AS row_no, true AS bold,
+    CASE WHEN p_partkey % 40 = 0 THEN [p_type] ELSE ['Name', 'Wt', 'Cost', 'Type', 'Range'] END AS texts FROM part WHERE p_partkey % 40 IN (0, 20)
+  UNION ALL SELECT p_brand, p_partkey // 500, 4 * p_partkey + 2, false, [p_name, CASE WHEN p_size % 10 = 0 THEN '-' ELSE p_size || ' kg' END,
+    CASE WHEN p_partkey % 13 = 0 THEN 'n/a' ELSE format('{:,}', trunc(p_retailprice * 10)::BIGINT) END, p_type, p_size || '-' || (p_size + 5)] FROM part
+  UNION ALL SELECT DISTINCT p_brand, 0, -1, true, ['Name', 'Wt', 'Cost', 'Type', 'Range'] FROM part), unnest(range(1, len(texts) + 1)) u(i)""",
+    "v_table_runs": r"""
+SELECT substr(table_id, 7)::BIGINT AS doc_id, r // 40 AS page, 0 AS col, 54 + 90 * col_no AS x, 738 - 13 * (r % 40) AS y, 5 * length(text) AS width, 10 AS size,
+  CASE WHEN bold THEN 'bold' ELSE 'normal' END AS weight, 'GHIJKL+Table' AS font, text, row_no * 10 + col_no AS ord, 'part' AS source
+FROM (SELECT *, dense_rank() OVER (PARTITION BY table_id ORDER BY row_no) - 1 AS r FROM v_cells)""",
+    "v_roll_rows": r"""
+SELECT table_id, row_no, roll, outcome FROM (
+  SELECT p_brand || '/' || p_type AS table_id, p_name, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part) t,
+LATERAL (SELECT 2 * n AS row_no, (10 * n - 9) || '-' || CASE WHEN n % 5 = 0 THEN '' ELSE (10 * n)::VARCHAR END AS roll, p_name AS outcome
+  UNION ALL SELECT 2 * n + 1, (10 * n)::VARCHAR, 'on' WHERE n % 5 = 0)""",
+    "v_field_lines": r"""
+SELECT p_brand AS doc_id, p_partkey // 64 AS page, p_partkey * 4 + k AS ord, text, "right" FROM part, LATERAL (
+  SELECT 0 AS k, 'Type: ' || p_type AS text, 250 AS "right" UNION ALL SELECT 1, 'Price: ' || trunc(p_retailprice)::BIGINT || CASE WHEN p_size % 3 = 0 THEN ',' ELSE '' END, 200
+  UNION ALL SELECT 2, 'sold with ' || p_name, 290 UNION ALL SELECT 3, 'Made for ' || p_name || ' users', 200) r""",
+    "v_grid_runs": r"""
+SELECT p_partkey AS doc_id, 0 AS page, x, y, 5 * length(text) AS width, size, weight, 'GHIJKL+Grid' AS font, text, k AS ord FROM part, LATERAL (
+  SELECT k, 100 + 60 * (k % 3) AS x, 500 - 40 * (k // 3) AS y, ((p_partkey * (k + 3)) % 90 + 10)::VARCHAR AS text, 12 AS size, 'bold' AS weight FROM range(0, 9) r(k) WHERE NOT (p_size % 7 = 0 AND k = 4)
+  UNION ALL SELECT 20 + k, 98 + 60 * (k % 3), 514 - 40 * (k // 3), 'L' || k, 6, 'normal' FROM range(0, 9) r(k)
+  UNION ALL SELECT 40, 90, 560, p_name, 14, 'bold' UNION ALL SELECT 41, 90, 360, 'Gear: ' || p_type, 9, 'normal' UNION ALL SELECT 42, 90, 348, 'and ' || p_brand, 9, 'normal') g""",
 }

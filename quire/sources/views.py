@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quire.functions.scans import prefix_sum
+from quire.functions.scans import prefix_sum, running_number
 
 PAGE_WIDTH, PAGE_HEIGHT = 612, 792
 
@@ -192,3 +192,73 @@ def imported(t) -> DataFrame:
         "case when quality = 0 then md5(concat(text, '-')) else md5(text) end as source_hash",
         "md5(text) as fingerprint", "case when toxic = 1 then md5(concat(text, '+')) else md5(text) end as current_fingerprint",
     )
+
+
+def cells(t) -> DataFrame:
+    """Parts as printed tables, one per brand, in long form: a header, section rows, repeated headers and records."""
+    row = "named_struct('row_no', {no}, 'bold', {bold}, 'texts', array({texts}))".format
+    header = "'Name', 'Wt', 'Cost', 'Type', 'Range'"
+    record = """p_name, if(p_size % 10 = 0, '-', concat(p_size, ' kg')),
+        if(p_partkey % 13 = 0, 'n/a', format_number(cast(p_retailprice * 10 as bigint), 0)), p_type, concat(p_size, '-', p_size + 5)"""
+    rows = f"""concat(
+        case when p_partkey % 40 = 0 then array({row(no='4 * p_partkey + 1', bold='true', texts='p_type')})
+             when p_partkey % 40 = 20 then array({row(no='4 * p_partkey + 1', bold='true', texts=header)}) else array() end,
+        array({row(no='4 * p_partkey + 2', bold='false', texts=record)}))"""
+    body = t.part.selectExpr("p_brand as table_id", "p_partkey div 500 as page", f"explode({rows}) as r")
+    heads = t.part.select("p_brand").distinct().selectExpr(
+        "p_brand as table_id", "0L as page", f"explode(array({row(no='-1L', bold='true', texts=header)})) as r"
+    )
+    return body.unionByName(heads).selectExpr(
+        "table_id", "page", "r.row_no", "r.bold", "posexplode(r.texts) as (col_no, text)"
+    )
+
+
+def table_runs(t) -> DataFrame:
+    """The printed tables as positioned runs, forty rows to a page."""
+    rows = t.cells.select("table_id", "row_no").distinct().withColumn("seg", F.expr("row_no div 8192"))
+    rows = running_number(rows, ["table_id"], "seg", ["row_no"], "r").selectExpr("table_id", "row_no", "r - 1 as r")
+    return t.cells.join(rows, ["table_id", "row_no"]).selectExpr(
+        "cast(substr(table_id, 7) as bigint) as doc_id", "r div 40 as page", "0L as col", "cast(54 + 90 * col_no as bigint) as x",
+        "738 - 13 * (r % 40) as y", "cast(5 * length(text) as bigint) as width", "10 as size",
+        "if(bold, 'bold', 'normal') as weight", "'GHIJKL+Table' as font", "text", "row_no * 10 + col_no as ord", "'part' as source",
+    )
+
+
+def roll_rows(t) -> DataFrame:
+    """Parts as roll tables, one per brand and type: ten faces a row, some ranges broken over two rows."""
+    w = W.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    rows = t.part.withColumn("n", F.row_number().over(w))
+    return rows.selectExpr(
+        "concat(p_brand, '/', p_type) as table_id", "p_name",
+        """explode(case when n % 5 = 0 then array(named_struct('row_no', 2 * n, 'roll', concat(10 * n - 9, '-'), 'outcome', p_name),
+                                             named_struct('row_no', 2 * n + 1, 'roll', cast(10 * n as string), 'outcome', 'on'))
+                    else array(named_struct('row_no', 2 * n, 'roll', concat(10 * n - 9, '-', 10 * n), 'outcome', p_name)) end) as r""",
+    ).select("table_id", "r.*")
+
+
+def field_lines(t) -> DataFrame:
+    """Parts as printed entries, one document per brand: labelled values, some wrapped, then prose."""
+    return t.part.selectExpr(
+        "p_brand as doc_id", "p_partkey",
+        """explode(array(
+            named_struct('k', 0, 'text', concat('Type: ', p_type), 'right', 250),
+            named_struct('k', 1, 'text', concat('Price: ', cast(p_retailprice as bigint), if(p_size % 3 = 0, ',', '')), 'right', 200),
+            named_struct('k', 2, 'text', concat('sold with ', p_name), 'right', 290),
+            named_struct('k', 3, 'text', concat('Made for ', p_name, ' users'), 'right', 200))) as r""",
+    ).selectExpr("doc_id", "p_partkey div 64 as page", "p_partkey * 4 + r.k as ord", "r.text", "r.right")
+
+
+def grid_runs(t) -> DataFrame:
+    """Parts as pages with a three by three grid of numbers, a label over each, a banner above and panel text below."""
+    cell = """transform(sequence(0, 8), k -> named_struct('k', k,
+        'x', 100L + 60 * (k % 3), 'y', 500L - 40 * (k div 3), 'text', cast((p_partkey * (k + 3)) % 90 + 10 as string), 'size', 12, 'weight', 'bold'))"""
+    label = """transform(sequence(0, 8), k -> named_struct('k', 20 + k,
+        'x', 98L + 60 * (k % 3), 'y', 514L - 40 * (k div 3), 'text', concat('L', k), 'size', 6, 'weight', 'normal'))"""
+    rest = """array(named_struct('k', 40, 'x', 90L, 'y', 560L, 'text', p_name, 'size', 14, 'weight', 'bold'),
+        named_struct('k', 41, 'x', 90L, 'y', 360L, 'text', concat('Gear: ', p_type), 'size', 9, 'weight', 'normal'),
+        named_struct('k', 42, 'x', 90L, 'y', 348L, 'text', concat('and ', p_brand), 'size', 9, 'weight', 'normal'))"""
+    kept = f"filter({cell}, c -> not (p_size % 7 = 0 and c.k = 4))"
+    return t.part.selectExpr("p_partkey as doc_id", f"explode(concat({kept}, {label}, {rest})) as r").selectExpr(
+        "doc_id", "0L as page", "r.x", "r.y", "cast(5 * length(r.text) as bigint) as width", "r.size", "r.weight",
+        "'GHIJKL+Grid' as font", "r.text", "r.k as ord",
+    )
