@@ -42,9 +42,9 @@ def _(t):
 
 
 @query("g2_chapter_titles", f"""
-WITH {STYLED}
-SELECT sl.doc_id, page, col, line, y FROM sl JOIN bs USING (doc_id) WHERE size >= 1.2 * split_part(bs.style, '|', 2)::INT
-QUALIFY y = (SELECT max(s2.y) FROM sl s2 WHERE s2.doc_id = sl.doc_id AND s2.page = sl.page AND s2.col = sl.col)""".replace("QUALIFY", "AND"))
+WITH {STYLED},
+tp AS (SELECT doc_id, page, col, max(y) AS y FROM sl GROUP BY ALL)
+SELECT sl.doc_id, page, col, line, y FROM sl JOIN bs USING (doc_id) JOIN tp USING (doc_id, page, col, y) WHERE size >= 1.2 * split_part(bs.style, '|', 2)::INT""")
 def _(t):
     return G.chapter_titles(styled_lines(t), L.body_style(t.runs), 1.2).select("doc_id", "page", "col", "line", "y")
 
@@ -97,7 +97,7 @@ def _(t):
 
 @query("g7_learn_labels", """
 WITH w AS (SELECT p_brand, p_partkey, p_name, split_part(p_name, ' ', 2) AS label FROM part),
-l AS (SELECT p_brand, label FROM (SELECT p_brand, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY p_brand) AS t FROM w GROUP BY ALL) WHERE n >= 3 AND n >= 0.15 * t)
+l AS (SELECT p_brand, label FROM (SELECT *, sum(n) OVER (PARTITION BY p_brand) AS t FROM (SELECT p_brand, label, count(*) AS n FROM w GROUP BY ALL)) WHERE n >= 3 AND n >= 0.15 * t)
 SELECT p_partkey, CASE WHEN l.label IS NOT NULL THEN split_part(p_name, ' ', 1) ELSE p_name END AS name FROM w LEFT JOIN l USING (p_brand, label)""")
 def _(t):
     rows = t.part.select("p_partkey", "p_brand", F.col("p_name").alias("name"))

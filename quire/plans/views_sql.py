@@ -99,4 +99,7 @@ SELECT p_partkey AS doc_id, 0 AS page, x, y, 5 * length(text) AS width, size, we
   SELECT k, 100 + 60 * (k % 3) AS x, 500 - 40 * (k // 3) AS y, ((p_partkey * (k + 3)) % 90 + 10)::VARCHAR AS text, 12 AS size, 'bold' AS weight FROM range(0, 9) r(k) WHERE NOT (p_size % 7 = 0 AND k = 4)
   UNION ALL SELECT 20 + k, 98 + 60 * (k % 3), 514 - 40 * (k // 3), 'L' || k, 6, 'normal' FROM range(0, 9) r(k)
   UNION ALL SELECT 40, 90, 560, p_name, 14, 'bold' UNION ALL SELECT 41, 90, 360, 'Gear: ' || p_type, 9, 'normal' UNION ALL SELECT 42, 90, 348, 'and ' || p_brand, 9, 'normal') g""",
+    "v_ocr_passes": r"""
+SELECT doc_id, page, col, ord, text, 0 AS pass, x0, y0, x1, y1, confidence, size FROM v_ocr WHERE confidence >= 60
+UNION ALL SELECT doc_id, page, col, ord, text, 1, x0 + 1, y0, x1 + 1, y1, CASE WHEN confidence >= 60 THEN confidence ELSE confidence + 10 END, size FROM v_ocr""",
 }

@@ -262,3 +262,14 @@ def grid_runs(t) -> DataFrame:
         "doc_id", "0L as page", "r.x", "r.y", "cast(5 * length(r.text) as bigint) as width", "r.size", "r.weight",
         "'GHIJKL+Grid' as font", "r.text", "r.k as ord",
     )
+
+
+def ocr_passes(t) -> DataFrame:
+    """The second reading in two passes: what was read with confidence, then every word again a point further right."""
+    return t.ocr.selectExpr(
+        "doc_id", "page", "col", "ord", "text", "y0", "y1", "size",
+        """explode(case when confidence >= 60 then array(named_struct('pass', 0, 'shift', 0, 'confidence', confidence),
+                                                         named_struct('pass', 1, 'shift', 1, 'confidence', confidence))
+               else array(named_struct('pass', 1, 'shift', 1, 'confidence', confidence + 10)) end) as p""",
+        "x0", "x1",
+    ).selectExpr("doc_id", "page", "col", "ord", "text", "p.pass", "x0 + p.shift as x0", "y0", "x1 + p.shift as x1", "y1", "p.confidence", "size")
