@@ -265,3 +265,38 @@ def link_children(children: DataFrame, owner: str, label: str) -> DataFrame:
 
 def best_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return first_row(df, keys, order)
+
+
+def drop_given(inline: DataFrame, named: DataFrame, name: str, other_name: str) -> DataFrame:
+    """Inline profiles whose name another reading gives are dropped."""
+    return drop_named(inline, named, name, other_name)
+
+
+def branch_paths(ranks: DataFrame, depth: int = 12) -> DataFrame:
+    """Path of each rank down from the first: its parent is the nearest box one level up (x), the left one on a tie.
+
+    ``ranks`` owner, level, box, x. Levels of a chart are few; each step adds one.
+    """
+    key = ["owner", "level"]
+    up = ranks.select("owner", (F.col("level") + 1).alias("level"), F.struct("x", "box").alias("_p"))
+    tagged = ranks.select(*key, "box", "x", F.lit(1).alias("side"), F.lit(None).cast(up.schema["_p"].dataType).alias("_p")).unionByName(
+        up.select(*key, F.lit(None).cast("string").alias("box"), F.col("_p.x").alias("x"), F.lit(0).alias("side"), "_p")
+    )
+    w = W.partitionBy(*key).orderBy("x", "side", "_p.box", "box")
+    near = tagged.withColumns(
+        {
+            "_l": F.last("_p", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)),
+            "_r": F.first("_p", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)),
+        }
+    ).where("side = 1")
+    left = F.col("_r").isNull() | (F.col("x") - F.col("_l.x") <= F.col("_r.x") - F.col("x"))
+    parent = F.when(F.col("_l").isNotNull() & left, F.col("_l.box")).otherwise(F.col("_r.box"))
+    near = near.select("owner", "level", "box", parent.alias("parent"))
+    out = near.where("parent is null").select("owner", "level", "box", F.col("box").alias("path"))
+    last = out
+    for _ in range(depth - 1):
+        last = near.join(last.select("owner", F.col("box").alias("parent"), F.col("path").alias("_up")), ["owner", "parent"]).select(
+            "owner", "level", "box", F.concat_ws(" > ", "_up", "box").alias("path")
+        )
+        out = out.unionByName(last)
+    return out

@@ -102,4 +102,7 @@ SELECT p_partkey AS doc_id, 0 AS page, x, y, 5 * length(text) AS width, size, we
     "v_ocr_passes": r"""
 SELECT doc_id, page, col, ord, text, 0 AS pass, x0, y0, x1, y1, confidence, size FROM v_ocr WHERE confidence >= 60
 UNION ALL SELECT doc_id, page, col, ord, text, 1, x0 + 1, y0, x1 + 1, y1, CASE WHEN confidence >= 60 THEN confidence ELSE confidence + 10 END, size FROM v_ocr""",
+    "v_spanned_runs": r"""
+SELECT * FROM v_runs UNION ALL BY NAME SELECT doc_id, page, source, 0 AS col, 54 AS x, 75 - 12 * k AS y, 500 AS width, 10 AS size, 'normal' AS weight,
+  'GHIJKL+Text-xx' AS font, repeat('x', 100) AS text, -10 - k AS ord FROM (SELECT DISTINCT doc_id, page, source FROM v_runs), range(0, 3) r(k)""",
 }

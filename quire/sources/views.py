@@ -273,3 +273,13 @@ def ocr_passes(t) -> DataFrame:
                else array(named_struct('pass', 1, 'shift', 1, 'confidence', confidence + 10)) end) as p""",
         "x0", "x1",
     ).selectExpr("doc_id", "page", "col", "ord", "text", "p.pass", "x0 + p.shift as x0", "y0", "x1 + p.shift as x1", "y1", "p.confidence", "size")
+
+
+def spanned_runs(t) -> DataFrame:
+    """The text layer with three lines across the page below the columns, which hide the gutter."""
+    pages = t.runs.groupBy("doc_id", "page", "source").agg(F.lit(1).alias("one"))
+    wide = pages.selectExpr("doc_id", "page", "source", "explode(sequence(0, 2)) as k").selectExpr(
+        "doc_id", "page", "0L as col", "54L as x", "75L - 12 * k as y", "500L as width", "10 as size", "'normal' as weight",
+        "'GHIJKL+Text-xx' as font", "repeat('x', 100) as text", "-10L - k as ord", "source",
+    )
+    return t.runs.unionByName(wide)
