@@ -15,8 +15,8 @@ SELECT doc_id, line_no,
   coalesce(sum(length(text) // 48 + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS v0
 FROM v_lines""",
     "v_runs": r"""
-SELECT doc_id, v // 100 AS page, (v // 50) % 2 AS col, 54 + 260 * ((v // 50) % 2) + 5 * (c % 48) AS x,
-  738 - 13 * (v % 50) AS y, 5 * length(word) AS width,
+SELECT doc_id, v // 100 AS page, (v // 50) % 2 AS col, 54 + 276 * ((v // 50) % 2) + 4 * (c % 48) AS x,
+  738 - 13 * (v % 50) AS y, 4 * length(word) AS width,
   CASE WHEN line_no = 0 THEN 14 ELSE 10 END AS size,
   CASE WHEN line_no = 0 THEN 'bold' ELSE 'normal' END AS weight,
   CASE WHEN line_no = 0 THEN 'ABCDEF+Head' ELSE 'GHIJKL+Text-' || lang END AS font,
@@ -37,7 +37,7 @@ SELECT doc_id, page, 0, 300, 20, 5 * length((page + 1 + doc_id % 7)::VARCHAR), 8
   (page + 1 + doc_id % 7)::VARCHAR, -1, source FROM (SELECT DISTINCT doc_id, page, source FROM v_runs)""",
     "v_full_runs": "SELECT * FROM v_runs UNION ALL BY NAME SELECT * FROM v_furniture",
     "v_overprinted_runs": r"""
-SELECT doc_id, page, col, x, y, CASE WHEN setting = 2 THEN 10 ELSE width END AS width, size, weight, font,
+SELECT doc_id, page, col, x, y, CASE WHEN setting = 2 THEN 8 ELSE width END AS width, size, weight, font,
   CASE WHEN setting = 2 THEN substr(text, 1, 2) ELSE text END AS text, ord * 10 + setting AS ord, source
 FROM v_runs, unnest(CASE WHEN size = 14 AND length(text) > 3 THEN [0, 1, 2] WHEN size = 14 THEN [0, 1] ELSE [0] END) s(setting)""",
     "v_blocks": r"""
@@ -46,15 +46,15 @@ SELECT page_id, i - 1 AS n, regexp_extract(parts[i], '^<([a-z]+[0-9]?)', 1) AS t
 FROM (SELECT page_id, regexp_extract_all(html, '(<(?:title|h[1-6]|p|li|b|a)(?: [^>]*)?>[^<]*)', 1) AS parts FROM pages) d,
      unnest(range(1, len(parts) + 1)) u(i)""",
     "v_piece_runs": r"""
-SELECT doc_id, page, col, y, size, weight, font, source, CASE WHEN part = 1 THEN x + 10 ELSE x END AS x,
-  CASE part WHEN 0 THEN 20 WHEN 1 THEN width - 10 ELSE width END AS width,
+SELECT doc_id, page, col, y, size, weight, font, source, CASE WHEN part = 1 THEN x + 8 ELSE x END AS x,
+  CASE part WHEN 0 THEN 16 WHEN 1 THEN width - 8 ELSE width END AS width,
   CASE part WHEN 0 THEN substr(text, 1, 4)
     WHEN 1 THEN CASE WHEN (doc_id + ord) % 211 = 0 THEN '#' ELSE substr(text, 3, 1) END || substr(text, 4) ELSE text END AS text,
   ord * 2 + part % 2 AS ord
 FROM v_runs, unnest(CASE WHEN length(text) >= 6 THEN [0, 1] ELSE [2] END) s(part)""",
     "v_cut_runs": r"""
-SELECT doc_id, page, col, y, size, weight, font, source, CASE WHEN part = 1 THEN x + width - 5 ELSE x END AS x,
-  CASE WHEN part = 1 THEN 5 WHEN cut THEN width - 5 ELSE width END AS width,
+SELECT doc_id, page, col, y, size, weight, font, source, CASE WHEN part = 1 THEN x + width - 4 ELSE x END AS x,
+  CASE WHEN part = 1 THEN 4 WHEN cut THEN width - 4 ELSE width END AS width,
   CASE WHEN part = 1 THEN '' WHEN cut THEN substr(text, 1, length(text) - 1) ELSE text END AS text, ord * 2 + part AS ord
 FROM (SELECT *, regexp_matches(text, '(en|er)\p{Ll}$') AS cut FROM v_runs), unnest(CASE WHEN cut THEN [0, 1] ELSE [0] END) s(part)""",
     "v_initial_runs": r"""

@@ -21,7 +21,8 @@ def parse_tree(files: DataFrame) -> DataFrame:
 
 
 def read_json_tree(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    # a folder that starts with "_" is only listed where the path names it
+    files = spark.read.option("wholetext", True).text(f"{root}/*/*/_source/*.json")
     return parse_tree(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 

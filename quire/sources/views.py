@@ -49,8 +49,8 @@ def runs(t) -> DataFrame:
     )
     return placed.selectExpr(
         "doc_id", "v div 100 as page", "cast((v div 50) % 2 as bigint) as col",
-        "54 + 260 * ((v div 50) % 2) + 5 * (c % 48) as x", "738 - 13 * (v % 50) as y",
-        "cast(5 * length(word) as bigint) as width",
+        "54 + 276 * ((v div 50) % 2) + 4 * (c % 48) as x", "738 - 13 * (v % 50) as y",
+        "cast(4 * length(word) as bigint) as width",
         "case when line_no = 0 then 14 else 10 end as size",
         "case when line_no = 0 then 'bold' else 'normal' end as weight",
         "case when line_no = 0 then 'ABCDEF+Head' else concat('GHIJKL+Text-', lang) end as font",
@@ -100,7 +100,7 @@ def overprinted_runs(t) -> DataFrame:
                then array(0, 1, 2) when size = 14 then array(0, 1) else array(0) end) as setting""",
     ).selectExpr(
         "doc_id", "page", "col", "x", "y",
-        "case when setting = 2 then 10L else width end as width", "size", "weight", "font",
+        "case when setting = 2 then 8L else width end as width", "size", "weight", "font",
         "case when setting = 2 then substr(text, 1, 2) else text end as text", "ord * 10 + setting as ord", "source",
     )
 
@@ -121,8 +121,8 @@ def piece_runs(t) -> DataFrame:
         "*", "explode(case when length(text) >= 6 then array(0, 1) else array(2) end) as part"
     ).selectExpr(
         "doc_id", "page", "col", "y", "size", "weight", "font", "source",
-        "case when part = 1 then x + 10 else x end as x",
-        "case part when 0 then 20L when 1 then width - 10 else width end as width",
+        "case when part = 1 then x + 8 else x end as x",
+        "case part when 0 then 16L when 1 then width - 8 else width end as width",
         """case part when 0 then substr(text, 1, 4)
                 when 1 then concat(case when (doc_id + ord) % 211 = 0 then '#' else substr(text, 3, 1) end, substr(text, 4))
                 else text end as text""",
@@ -137,8 +137,8 @@ def cut_runs(t) -> DataFrame:
         "*", "explode(case when cut then array(0, 1) else array(0) end) as part"
     ).selectExpr(
         "doc_id", "page", "col", "y", "size", "weight", "font", "source",
-        "case when part = 1 then x + width - 5 else x end as x",
-        "case when part = 1 then 5L when cut then width - 5 else width end as width",
+        "case when part = 1 then x + width - 4 else x end as x",
+        "case when part = 1 then 4L when cut then width - 4 else width end as width",
         "case when part = 1 then '' when cut then substr(text, 1, length(text) - 1) else text end as text",
         "ord * 2 + part as ord",
     )
