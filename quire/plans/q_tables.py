@@ -277,7 +277,7 @@ def _(t):
 @query("f21_roll_tables", """
 WITH n AS (SELECT p_brand || '/' || p_type AS table_id, p_name, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n, count(*) OVER (PARTITION BY p_brand, p_type) AS m FROM part)
 SELECT table_id, CASE WHEN m > 10 THEN 100 WHEN 10 * m <= 10 THEN 10 WHEN 10 * m <= 20 THEN 20 ELSE 100 END AS die, 2 * n AS row_no, 10 * n - 9 AS lo, 10 * n AS hi,
-  CASE WHEN n % 5 = 0 THEN p_name || ' on' ELSE p_name END AS outcome FROM n WHERE m < 100""")
+  CASE WHEN n % 5 = 0 THEN p_name || ' on' ELSE p_name END AS outcome FROM n WHERE n < 100""")
 def _(t):
     return T.roll_tables(t.roll_rows)
 
