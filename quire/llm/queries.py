@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, packing
+from quire.llm import bpe, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op1_bpe(spark: SparkSession, root: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.packed(table(spark, root, "documents"))
+
+
+@query("op5_secret_ledger", secrets.oracle_sql())
+def op5_secret_ledger(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.digest(secrets.scanned(table(spark, root, "documents")))
