@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, packing, secrets
+from quire.llm import bpe, minhash, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op7_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
 @query("op5_secret_ledger", secrets.oracle_sql())
 def op5_secret_ledger(spark: SparkSession, root: str) -> DataFrame:
     return secrets.digest(secrets.scanned(table(spark, root, "documents")))
+
+
+@query("op8_fast_similarity_sketch")
+def op8_fast_similarity_sketch(spark: SparkSession, root: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, root, "documents"))
