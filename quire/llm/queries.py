@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, minhash, packing, secrets
+from quire.llm import bpe, minhash, packing, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op5_secret_ledger(spark: SparkSession, root: str) -> DataFrame:
 @query("op8_fast_similarity_sketch")
 def op8_fast_similarity_sketch(spark: SparkSession, root: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, root, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return repeats.digest(repeats.without_repeats(table(spark, root, "documents")))
