@@ -169,7 +169,7 @@ def narrowed(spans: DataFrame, cells: int, length: int, content: int) -> DataFra
     lo = F.greatest(F.col("lo"), F.col("at") - most).cast("int")
     hi = F.least(F.col("hi"), F.col("at") - least).cast("int")
     rows = rows.withColumns({"first": lo, "final": hi})
-    core = F.substring("body", F.col("at") - most - F.col("lo") + 1, most - least + length - 2 * (most - least))
+    core = F.substring("body", F.col("at") - least - F.col("lo") + 1, length - (most - least))
     part = F.substring("body", F.col("first") - F.col("lo") + 1, F.col("final") - F.col("first") + length)
     return rows.select(F.xxhash64("content", "cell", core).alias("content"), "again", "id", "at", F.col("first").alias("lo"), F.col("final").alias("hi"), part.alias("body"))
 
