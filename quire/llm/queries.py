@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, minhash, packing, repeats, secrets
+from quire.llm import bpe, minhash, packing, repeats, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op8_fast_similarity_sketch(spark: SparkSession, root: str) -> DataFrame:
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return repeats.digest(repeats.without_repeats(table(spark, root, "documents")))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.judged(table(spark, root, "documents"), table(spark, root, "labels"))
