@@ -13,7 +13,8 @@ Verification, on full sets of 64-bit shingle values, and exact for every candida
 - a bucket of up to ``SMALL`` representatives gives all of its pairs;
 - a larger bucket first gives a star around its most common member (the one with the fewest shingles that no other
   document of such buckets has). What is then not yet in the component of the star's centre is compared with the bucket
-  only if its own private shingles leave room for the threshold; that bound is exact, so no link is lost.
+  only where private shingles and what both share with the centre leave room for the threshold; these bounds are exact, so
+  no link is lost.
 
 Null texts and texts without words have no set and are linked with nothing. Rows with one doc_id count as one document
 with several texts; each row comes back once. An empty table gives no rows.
@@ -99,26 +100,28 @@ def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, "id long, elements binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``na, nb``, the sizes of their full sets, and ``both``, that of the intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
+            rows = []
             for x, y in zip(batch.column("ea"), batch.column("eb"), strict=True):
                 a, b = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                if len(a) > len(b):
-                    a, b = b, a
-                if not len(a) or 100 * len(a) < threshold * len(b):
-                    linked.append(False)
-                    continue
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                linked.append(100 * both >= threshold * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+                few, many = (a, b) if len(a) <= len(b) else (b, a)
+                both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum()) if len(few) else 0
+                rows.append((len(a), len(b), both))
+            counts = np.array(rows, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *map(pa.array, counts)], names=["a", "b", "na", "nb", "both"])
 
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, na long, nb long, both long")
+
+
+def linked(measured: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Those of ``overlaps`` that reach the threshold."""
+    return measured.where((F.col("both") > 0) & (100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both")))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -156,7 +159,7 @@ def links(reps: DataFrame, docs: DataFrame, key: str, text: str, threshold: int
 
     large = members.where(F.col("many") > small)
     if large.limit(1).count() == 0:
-        return cut(verified(pairs, sets, threshold))
+        return cut(linked(overlaps(pairs, sets), threshold))
     crowd = large.select("id").distinct()
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,25 +172,33 @@ def links(reps: DataFrame, docs: DataFrame, key: str, text: str, threshold: int
     owned = rows.groupBy("element").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
     large = cut(large.join(owned, "id", "left").fillna(0, ["own"]))
     centres = large.groupBy("bucket").agg(F.min(F.struct("own", "id", "n")).alias("c"), F.min("n").alias("least_n"))
-    star = large.join(centres, "bucket").where((F.col("id") != F.col("c.id")) & alike(F.col("n"), F.col("c.n")))
-    star = star.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-    found = cut(verified(pairs.union(star).distinct(), sets, threshold))
+    large = large.join(centres, "bucket").withColumns({"a": F.least("id", "c.id"), "b": F.greatest("id", "c.id")})
+    star = cut(overlaps(large.where((F.col("id") != F.col("c.id")) & alike(F.col("n"), F.col("c.n"))).select("a", "b").distinct(), sets))
+    found = cut(linked(overlaps(pairs, sets).unionByName(star), threshold))
 
-    # what the star has not joined to its centre's component, if its private shingles leave room
+    # What the star has not joined to its centre's component meets the bucket again, where the bounds leave room: common
+    # shingles are common with the centre in both (`inner`), or foreign to it and private to neither (`outer`).
     label = components(found)
-    placed = cut(large.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    centred = centres.select("bucket", "least_n", F.col("c.id").alias("id")).join(label, "id", "left")
-    centred = centred.select("bucket", "least_n", F.coalesce("component", "id").alias("main"))
+    of_centre = label.select(F.col("id").alias("centre"), F.col("component").alias("main"))
+    placed = large.join(label, "id", "left").join(of_centre, F.col("c.id") == F.col("centre"), "left")
+    placed = placed.join(star.select("a", "b", "both"), ["a", "b"], "left")
     shared = F.col("n") - F.col("own")
-    room = lambda n: 100 * shared >= threshold * (F.col("own") + F.greatest(n, shared))
-    rest = placed.join(centred, "bucket").where((F.col("component") != F.col("main")) & room(F.col("least_n")))
-    rest = rest.select("bucket", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("own").alias("xown"), F.col("component").alias("xc"))
-    both = F.least(F.col("xn") - F.col("xown"), shared)
+    inner = F.when(F.col("id") == F.col("c.id"), F.col("n")).otherwise(F.coalesce("both", shared))
+    placed = cut(
+        placed.select(
+            "bucket", "id", "n", shared.alias("shared"), "least_n", F.coalesce("component", "id").alias("component"),
+            F.coalesce("main", "c.id").alias("main"), inner.alias("inner"), F.when(F.col("both").isNull() & (F.col("id") != F.col("c.id")), shared).otherwise(shared - inner).alias("outer"),
+        )
+    )
+    room = lambda n, m, both: 100 * both >= threshold * (n + m - both)
+    rest = placed.where((F.col("component") != F.col("main")) & room(F.col("n"), F.greatest("least_n", "shared"), F.col("shared")))
+    rest = rest.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "shared", "component", "inner", "outer")])
+    most = F.least("shared", "x_shared", F.least("inner", "x_inner") + F.least("outer", "x_outer"))
     more = rest.join(placed, "bucket").where(
-        (F.col("component") != F.col("xc")) & alike(F.col("n"), F.col("xn")) & (100 * both >= threshold * (F.col("n") + F.col("xn") - both))
+        (F.col("component") != F.col("x_component")) & alike(F.col("n"), F.col("x_n")) & room(F.col("n"), F.col("x_n"), most)
     )
-    more = more.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    return found.union(cut(verified(more, sets, threshold)))
+    more = more.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
+    return found.union(cut(linked(overlaps(more, sets), threshold)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
