@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, minhash, packing, repeats, secrets, toxicity
+from quire.llm import bpe, minhash, packing, quality, repeats, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op6_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.judged(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query("op3_quality_ratio")
+def op3_quality_ratio(spark: SparkSession, root: str) -> DataFrame:
+    return quality.judged(table(spark, root, "documents"), table(spark, root, "labels"))

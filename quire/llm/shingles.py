@@ -9,11 +9,12 @@ from quire.llm.blocks import flat_bytes, mix
 
 #: A random value for each byte, A-Z as a-z; the multiplier of the rolling value and its inverse modulo 2**64.
 _VALUES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
-_VALUES[65:91] = _VALUES[97:123]
+_FOLDED = _VALUES.copy()
+_FOLDED[65:91] = _FOLDED[97:123]
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -23,12 +24,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value for each word ``[^\\x20\\x09-\\x0D]+`` (A-Z as a-z), and the n + 1 places where each text's words begin."""
+def word_values(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each word ``[^\\x20\\x09-\\x0D]+`` (``fold``: A-Z as a-z), and the n + 1 places where each text's
+    words begin."""
     data, offsets = flat_bytes(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    space = _SPACE[data]
+    space = SPACE[data]
     first = np.ones(len(data), bool)  # a word begins at a text's begin or after white space
     first[1:] = space[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
@@ -39,7 +41,7 @@ def word_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     stops_at[inner - 1] = True
     stops = np.flatnonzero(stops_at & ~space) + 1
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _powers(_BACK, len(data)), out=total[1:])
+    np.cumsum((_FOLDED if fold else _VALUES)[data] * _powers(_BACK, len(data)), out=total[1:])
     words = mix((total[stops] - total[starts]) * _powers(_STEP, len(data) + 1)[starts] + (stops - starts).astype(np.uint64))
     return words, np.searchsorted(starts, offsets)
 
