@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, minhash, packing, quality, repeats, secrets, toxicity
+from quire.llm import bpe, minhash, packing, quality, repeats, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +60,10 @@ def op2_toxicity(spark: SparkSession, root: str) -> DataFrame:
 @query("op3_quality_ratio")
 def op3_quality_ratio(spark: SparkSession, root: str) -> DataFrame:
     return quality.judged(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query("op4_host_reputation", urls.oracle_sql())
+def op4_host_reputation(spark: SparkSession, root: str) -> DataFrame:
+    """The outcome of a page is the quality label that bears its id."""
+    outcomes = table(spark, root, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return urls.judged(table(spark, root, "pages"), outcomes)
