@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, minhash, packing, quality, repeats, secrets, toxicity, urls
+from quire.llm import bpe, minhash, packing, quality, repeats, secrets, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,9 @@ def op4_host_reputation(spark: SparkSession, root: str) -> DataFrame:
     """The outcome of a page is the quality label that bears its id."""
     outcomes = table(spark, root, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
     return urls.judged(table(spark, root, "pages"), outcomes)
+
+
+@query("op10_prefix_forest")
+def op10_prefix_forest(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "embeddings")
+    return vectors.nearest(rows, rows.where(F.col("vec_id") % 50 == 0).select("vec_id"))
