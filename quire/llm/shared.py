@@ -22,3 +22,14 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it from there."""
+    import uuid
+
+    spark = df.sparkSession
+    cut(spark.range(0))  # names the folder, if the session has none yet
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
