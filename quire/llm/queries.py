@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, minhash, packing, quality, repeats, secrets, toxicity, urls, vectors
+from quire.llm import bpe, licenses, minhash, packing, quality, repeats, secrets, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op4_host_reputation(spark: SparkSession, root: str) -> DataFrame:
 def op10_prefix_forest(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "embeddings")
     return vectors.nearest(rows, rows.where(F.col("vec_id") % 50 == 0).select("vec_id"))
+
+
+@query("op9_license_alignment")
+def op9_license_alignment(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scanned(table(spark, root, "documents"))
