@@ -32,7 +32,9 @@ from quire.llm.suffixes import repeats
 LENGTH, CONTENT = 400, 200
 CROWD = 4096
 #: Bytes of spans that are sorted together, and the memory for queues beyond which they lie in files.
-SHARD_BYTES, QUEUE_BYTES = 4 << 20, 128 << 20
+SHARD_BYTES, QUEUE_BYTES = 2 << 20, 128 << 20
+#: Bytes of texts whose anchors are sought together; each takes about 100 bytes of memory.
+ANCHOR_BYTES = 1 << 20
 _PLACE = np.uint64(30)
 _STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _LETTERS = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) for seed in (11, 12)]
@@ -93,7 +95,7 @@ def anchored(docs: DataFrame, key: str, text: str, length: int, content: int) ->
     """``content, s1, s2, id, at, lo, hi`` of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, text):
+        for block in text_blocks(batches, text, ANCHOR_BYTES):
             data, offsets = flat_bytes(block.column(text))
             row, at, lo, hi, *values = anchors_in(data, offsets, length, content)
             yield pa.RecordBatch.from_arrays(
