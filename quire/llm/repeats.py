@@ -127,6 +127,30 @@ def sliced(docs: DataFrame, wanted: DataFrame, key: str, text: str, length: int)
     return found.mapInArrow(run, "content long, again boolean, id long, at int, lo int, hi int, body binary")
 
 
+def promising(bodies: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """Pieces (body, begin, stop) that hold all windows whose hash is found twice among ``bodies``; no other can be repeated,
+    so that only these are sorted."""
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    many = np.maximum(sizes - length + 1, 0)
+    owner = np.repeat(np.arange(len(bodies)), many)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    start = place + (ends - sizes)[owner]
+    value = rolling(data, 0)(start, start + length)
+    order = np.argsort(value)
+    same = value[order][1:] == value[order][:-1]
+    twice = np.zeros(len(value), bool)
+    twice[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(value) else False
+    hit = np.flatnonzero(twice)
+    if not len(hit):
+        return []
+    new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(hit)) - 1
+    return list(zip(owner[hit[first]].tolist(), place[hit[first]].tolist(), (place[hit[last]] + length).tolist(), strict=True))
+
+
 def sorted_shards(spans: DataFrame, length: int, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
     """``id, begin, stop`` of what is repeated in ``spans`` (content, again, id, lo, body), equal contents together.
 
@@ -137,13 +161,17 @@ def sorted_shards(spans: DataFrame, length: int, shard_bytes: int = SHARD_BYTES,
         size = 0
 
         def done() -> pa.RecordBatch:
+            bodies = [h[4] for h in held]
+            pieces = promising(bodies, length)
             out: list[tuple[int, int, int]] = []
-            for (_, again, i, lo, _), at in zip(held, repeats([h[4] for h in held], length, queue_bytes), strict=True):
+            found = repeats([bodies[k][a:b] for k, a, b in pieces], length, queue_bytes)
+            for (k, begin, _), at in zip(pieces, found, strict=True):
+                _, again, i, lo, _ = held[k]
                 if again or not len(at):
                     continue
                 cuts = np.flatnonzero(np.diff(at) > length) + 1  # windows that touch or overlap are one
-                for part in np.split(at, cuts):
-                    out.append((i, lo + int(part[0]), lo + int(part[-1]) + length))
+                for part in np.split(at + begin + lo, cuts):
+                    out.append((i, int(part[0]), int(part[-1]) + length))
             i, a, b = zip(*out, strict=True) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "begin", "stop"])
 
