@@ -1,7 +1,7 @@
 """JSON documents as leaves: every primitive or array by dotted path.
 
-A document walks inside its own row, one object level per step to a bounded
-depth, so no shuffle is needed. Leaf values are canonical JSON text, which
+A document walks inside its own row, one object level per step, so no shuffle
+is needed. Leaf values are canonical JSON text, which
 keeps the type of each (``"1"`` is not ``1``).
 """
 
@@ -12,24 +12,29 @@ import json
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-DEPTH = 8
 
+def leaf_array(doc: str, editions: list[str] | None = None, edition: str | None = None) -> Column:
+    """``array<struct<path, value>>`` of variant column ``doc``; per-edition containers give the edition's value.
 
-def leaf_array(doc: str, depth: int = DEPTH, editions: list[str] | None = None, edition: str | None = None) -> Column:
-    """``array<struct<path, value>>`` of variant column ``doc``; per-edition containers give the edition's value."""
-    items = f"array(named_struct('path', '', 'v', {doc}))"
+    One step opens one level; there are as many steps as the document's text nests braces.
+    """
     is_object = "schema_of_variant({0}) like 'OBJECT<_%' and schema_of_variant({0}) <> 'OBJECT<>'"
-    for _ in range(depth):
-        if editions:
-            names = ", ".join(f"'{e}'" for e in editions)
-            items = f"""filter(transform({items}, it -> if({is_object.format('it.v')}
-                  and forall(map_keys(cast(it.v as map<string, variant>)), k -> k in ({names})),
-                  named_struct('path', it.path, 'v', try_element_at(cast(it.v as map<string, variant>), '{edition}')), it)),
-                it -> it.v is not null)"""
-        items = f"""flatten(transform({items}, it -> if({is_object.format('it.v')},
-              transform(map_entries(cast(it.v as map<string, variant>)),
-                e -> named_struct('path', concat(it.path, if(it.path = '', '', '.'), e.key), 'v', e.value)),
-              array(it))))"""
+    level = "acc"
+    if editions:
+        names = ", ".join(f"'{e}'" for e in editions)
+        level = f"""filter(transform({level}, it -> if({is_object.format('it.v')}
+              and forall(map_keys(cast(it.v as map<string, variant>)), k -> k in ({names})),
+              named_struct('path', it.path, 'v', try_element_at(cast(it.v as map<string, variant>), '{edition}')), it)),
+            it -> it.v is not null)"""
+    step = f"""flatten(transform({level}, it -> if({is_object.format('it.v')},
+          transform(map_entries(cast(it.v as map<string, variant>)),
+            e -> named_struct('path', concat(it.path, if(it.path = '', '', '.'), e.key), 'v', e.value)),
+          array(it))))"""
+    braces = f"split(regexp_replace(to_json({doc}), '[^{{}}]', ''), '')"
+    deepest = f"""aggregate({braces}, named_struct('now', 0, 'most', 1),
+        (d, c) -> named_struct('now', d.now + if(c = '{{', 1, if(c = '}}', -1, 0)), 'most', greatest(d.most, d.now + if(c = '{{', 1, 0))), d -> d.most)"""
+    first = f"array(named_struct('path', '', 'v', {doc}))"
+    items = f"aggregate(sequence(1, coalesce({deepest}, 1) + 1), {first}, (acc, i) -> {step})"
     return F.expr(f"transform({items}, it -> named_struct('path', it.path, 'value', to_json(it.v)))")
 
 

@@ -140,18 +140,24 @@ def head_nouns(rows: DataFrame, name: str, of: Column) -> DataFrame:
     ).select("noun")
 
 
-def attach_tables(tables: DataFrame, owners: DataFrame, longest: int = 4) -> DataFrame:
+def sequences(rows: DataFrame, names: DataFrame, words: str, name: str) -> DataFrame:
+    """``rows`` once for each sequence in the array ``words`` that is as long as one of the ``names`` (``name``: words
+    between single spaces). The lengths that names have are one row."""
+    lengths = names.agg(F.array_sort(F.collect_set(F.size(F.split(name, " ")))).alias("_lengths"))
+    grams = F.expr(
+        f"flatten(transform(_lengths, n -> transform(filter(sequence(1, size({words})), i -> i + n - 1 <= size({words})), i -> array_join(slice({words}, i, n), ' '))))"
+    )
+    return rows.where(F.size(words) > 0).crossJoin(F.broadcast(lengths)).withColumn(name, F.explode(F.array_distinct(grams))).drop(words, "_lengths")
+
+
+def attach_tables(tables: DataFrame, owners: DataFrame) -> DataFrame:
     """Each table's owner: the longest owner name its title holds, else the last owner named before it.
 
     ``tables`` book, ord, title; ``owners`` name. Titles are cut to word
     sequences, so names are found by an equality.
     """
-    ws = K.name_words(F.col("title"))
-    grams = F.expr(
-        f"flatten(transform(sequence(1, size(w)), i -> transform(sequence(1, least({longest}, size(w) - i + 1)), n -> array_join(slice(w, i, n), ' '))))"
-    )
-    asked = tables.select("book", "ord", ws.alias("w")).where("size(w) > 0").select("book", "ord", F.explode(grams).alias("k"))
     names = owners.select(F.array_join(K.name_words(F.col("name")), " ").alias("k"), "name").distinct()
+    asked = sequences(tables.select("book", "ord", K.name_words(F.col("title")).alias("w")), names, "w", "k")
     hit = asked.join(names, "k").groupBy("book", "ord").agg(F.min_by("name", F.struct(-F.length("k"), "k", "name")).alias("named"))
     rows = tables.join(hit, ["book", "ord"], "left").withColumn("seg", F.floor(F.col("ord") / 64))
     out = carry_last(rows, ["book"], "seg", ["ord"], F.col("named"), "owner")
@@ -185,18 +191,19 @@ def cost_matrix(rows: DataFrame, key: str, column: str, cost: str) -> DataFrame:
     return w.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "_c")))).alias("costs"))
 
 
-def name_gates(texts: DataFrame, names: DataFrame, longest: int = 3) -> DataFrame:
+def name_gates(
+    texts: DataFrame, names: DataFrame, duty: str = "must|requires?|needs?|only with", ban: str = "cannot|may not|must not|never|without"
+) -> DataFrame:
     """Sentences naming another record with a duty or a ban become references of that kind.
 
-    ``texts`` id, text; ``names`` name (lower-case word sequences).
+    ``texts`` id, text; ``names`` name (lower-case word sequences); ``duty`` and
+    ``ban`` are alternatives of words that oblige and forbid.
     """
     sentences = texts.select("id", F.explode(F.split(F.lower("text"), r"[.!?\n]+\s*")).alias("s"))
-    # Words that oblige and words that forbid.
-    ban, duty = r"(^|[^\p{L}])(not|no|never|ne|nicht)($|[^\p{L}])", r"(^|[^\p{L}])(must|the|la|der|die)($|[^\p{L}])"
-    kind = F.when(F.col("s").rlike(ban), "forbids").when(F.col("s").rlike(duty), "requires")
+    holds = lambda words: F.col("s").rlike(rf"(^|[^\p{{L}}])({words})($|[^\p{{L}}])")
+    kind = F.when(holds(ban), "forbids").when(holds(duty), "requires")
     marked = sentences.withColumn("kind", kind).where("kind is not null").withColumn("w", F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)))
-    grams = F.expr(f"flatten(transform(sequence(1, size(w)), i -> transform(sequence(1, least({longest}, size(w) - i + 1)), n -> array_join(slice(w, i, n), ' '))))")
-    hits = marked.where("size(w) > 0").select("id", "kind", F.explode(F.array_distinct(grams)).alias("name"))
+    hits = sequences(marked.select("id", "kind", "w"), names, "w", "name")
     return hits.join(names.select("name").distinct(), "name", "left_semi").select("id", "name", "kind").distinct()
 
 
@@ -272,10 +279,10 @@ def drop_given(inline: DataFrame, named: DataFrame, name: str, other_name: str)
     return drop_named(inline, named, name, other_name)
 
 
-def branch_paths(ranks: DataFrame, depth: int = 12) -> DataFrame:
+def branch_paths(ranks: DataFrame) -> DataFrame:
     """Path of each rank down from the first: its parent is the nearest box one level up (x), the left one on a tie.
 
-    ``ranks`` owner, level, box, x. Levels of a chart are few; each step adds one.
+    ``ranks`` owner, level, box, x. Each step adds a level, for as many as the data has.
     """
     key = ["owner", "level"]
     up = ranks.select("owner", (F.col("level") + 1).alias("level"), F.struct("x", "box").alias("_p"))
@@ -294,7 +301,7 @@ def branch_paths(ranks: DataFrame, depth: int = 12) -> DataFrame:
     near = near.select("owner", "level", "box", parent.alias("parent"))
     out = near.where("parent is null").select("owner", "level", "box", F.col("box").alias("path"))
     last = out
-    for _ in range(depth - 1):
+    for _ in range(ranks.select("level").distinct().count() - 1):
         last = near.join(last.select("owner", F.col("box").alias("parent"), F.col("path").alias("_up")), ["owner", "parent"]).select(
             "owner", "level", "box", F.concat_ws(" > ", "_up", "box").alias("path")
         )

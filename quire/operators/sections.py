@@ -47,19 +47,21 @@ def chapter_titles(lines: DataFrame, body: DataFrame, factor: float = 3.5) -> Da
     return big.join(tops, COLUMN).where("y = top").drop("top", "body_size")
 
 
-def section_path(blocks: DataFrame, keys: list[str], segment: str, order: str, level: Column, label: str, depth: int = 6) -> DataFrame:
-    """Ancestors of each row: per level the last heading, unless a higher heading came after it."""
+def section_path(blocks: DataFrame, keys: list[str], segment: str, order: str, level: Column, label: str) -> DataFrame:
+    """Ancestors of each row: per level the last heading, unless a higher heading came after it. Levels are those of the data."""
     blocks = blocks.withColumn("_l", level)
-    marks = {f"l{i}": F.when(F.col("_l") == i, F.struct(F.col(order).alias("at"), F.col(label).alias("name"))) for i in range(1, depth + 1)}
-    rows = carry_many(blocks, keys, segment, [order], marks)
+    levels = [r[0] for r in blocks.select("_l").where("_l is not null").distinct().orderBy("_l").collect()]
+    marks = {f"l{i}": F.when(F.col("_l") == i, F.struct(F.col(order).alias("at"), F.col(label).alias("name"))) for i in levels}
+    rows = carry_many(blocks, keys, segment, [order], marks) if marks else blocks
     parts = []
-    for i in range(1, depth + 1):
-        higher = [F.coalesce(F.col(f"l{j}.at"), F.lit(-1)) for j in range(1, i)]
+    for i in levels:
+        higher = [F.coalesce(F.col(f"l{j}.at"), F.lit(-1)) for j in levels if j < i]
         alive = F.col(f"l{i}.at") > (F.greatest(F.lit(-1), *higher) if higher else F.lit(-1))
         # a heading is not its own ancestor
         own = F.col("_l").isNotNull() & (F.col(f"l{i}.at") == F.col(order))
         parts.append(F.when(alive & ~own, F.col(f"l{i}.name")))
-    return rows.withColumn("path", F.array_compact(F.array(*parts))).drop("_l", *marks)
+    path = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
+    return rows.withColumn("path", path).drop("_l", *marks)
 
 
 def fields(lines: DataFrame, keys: list[str], segment: str, order: str) -> DataFrame:
@@ -174,7 +176,7 @@ def label_pairs(text: str, labels: list[str]) -> Column:
     alternatives = "|".join(sorted(labels, key=lambda v: (-len(v), v)))
     pattern = rf"\b({alternatives}):\s*"
     names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    values = F.slice(F.split(text, pattern, -1), 2, 10000)
+    values = F.slice(F.split(text, pattern, -1), F.lit(2), F.greatest(F.size(names), F.lit(1)))
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
     # later occurrences of a label are dropped before the map is built
     once = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
@@ -229,13 +231,13 @@ def gates(rows: DataFrame, keys: list[str], text: str, vocab: list[str]) -> Data
     )
 
 
-def page_numbering(runs: DataFrame, page_height: float = 792, least: int = 3, gap: int = 3, region: int = 5) -> DataFrame:
+def page_numbering(runs: DataFrame, page_height: float = 792, least: int = 5, gap: int = 3, region: int = 5) -> DataFrame:
     """Printed number minus page index where margin numbers agree: (doc_id, offset, first, last, pages).
 
     Votes of an offset form regions of pages with small gaps; only the regions
     of a document's numbers are kept, not its pages.
     """
-    marginal = (F.col("y") < page_height * 0.06) | (F.col("y") > page_height * 0.94)
+    marginal = (F.col("y") < page_height * 0.08) | (F.col("y") > page_height * 0.92)
     votes = runs.where(marginal & F.col("text").rlike(r"^\d{1,4}$")).select(
         "doc_id", "page", (F.col("text").cast("int") - F.col("page")).alias("offset")
     ).distinct()
@@ -249,13 +251,13 @@ def page_numbering(runs: DataFrame, page_height: float = 792, least: int = 3, ga
 
 
 def printed_page(pages: DataFrame, regions: DataFrame) -> DataFrame:
-    """Printed number of each page: the offset of the best supported region it lies in, else the document's main offset."""
+    """Printed number of each page: the offset of the best supported region it lies in, else the document's main offset, else one."""
     main = regions.groupBy("doc_id").agg(F.min_by("offset", F.struct(-F.col("pages"), "offset")).alias("_main"))
     inside = pages.join(regions, "doc_id").where("page between first and last").groupBy("doc_id", "page").agg(
         F.min_by("offset", F.struct(-F.col("pages"), "offset")).alias("_in")
     )
     return pages.join(inside, ["doc_id", "page"], "left").join(main, "doc_id", "left").select(
-        "doc_id", "page", (F.col("page") + F.coalesce("_in", "_main")).alias("printed")
+        "doc_id", "page", (F.col("page") + F.coalesce("_in", "_main", F.lit(1))).alias("printed")
     )
 
 

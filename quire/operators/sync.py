@@ -58,7 +58,7 @@ def fresh_ids(created: DataFrame, used: DataFrame, rounds: int = 4) -> DataFrame
     """New rows whose id another row already holds take the first free re-hash of it.
 
     Only colliding ids are re-hashed. A re-hash that is taken in every round
-    would need ``rounds`` hash collisions in turn; the id then stays null and shows.
+    would need ``rounds`` hash collisions in turn; that raises an error.
     """
     held = used.select("id")
     clash = created.join(held, "id", "left_semi").select("key", "id")
@@ -68,7 +68,7 @@ def fresh_ids(created: DataFrame, used: DataFrame, rounds: int = 4) -> DataFrame
     free = tries.join(held.withColumnRenamed("id", "new_id"), "new_id", "left_anti")
     fresh = free.groupBy("key").agg(F.min_by("new_id", "n").alias("new_id"))
     marked = created.join(clash.select("key", F.lit(True).alias("_clash")), "key", "left").join(fresh, "key", "left")
-    return marked.withColumn("new_id", F.when(F.col("_clash"), F.col("new_id")).otherwise(F.col("id"))).drop("_clash")
+    return marked.withColumn("new_id", F.when(F.col("_clash"), F.coalesce("new_id", F.raise_error(F.lit("no free id for a new row")))).otherwise(F.col("id"))).drop("_clash")
 
 
 def apply_plan(existing: DataFrame, incoming: DataFrame, plan: DataFrame, resolutions: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def aligned_tables(lined: DataFrame, edges: DataFrame, least_cols: int = 3, leas
         F.min(F.when(rows["bold"], F.col("line"))).alias("header_line"),
     )
     ok = stats.where((F.col("rows") >= least_rows) & (F.col("median") <= prose))
-    return rows.join(ok, table).select(*page, "table_no", "line", (F.col("line") == F.col("header_line")).alias("is_header"), "n")
+    return rows.join(ok, table).select(*page, "table_no", "line", F.coalesce(F.col("line") == F.col("header_line"), F.lit(False)).alias("is_header"), "n")
 
 
 def captions(lines: DataFrame) -> DataFrame:
@@ -335,13 +335,13 @@ def fill_from_context(rows: DataFrame, column: str, *contexts: str) -> DataFrame
 
 
 # The dice a roll table may be rolled with.
-DICE = [4, 5, 6, 8, 10, 12, 20, 100]
+DICE = [2, 3, 4, 5, 6, 8, 10, 12, 20, 100]
 
 
 def roll_tables(rows: DataFrame) -> DataFrame:
     """Tables whose first column is a run of ranges from 1: (table_id, die, row_no, lo, hi, outcome)."""
     w = W.partitionBy("table_id").orderBy("row_no")
-    broken = F.col("roll").rlike(r"^\s*\d{1,3}\s*-\s*$") & F.lead("roll").over(w).rlike(r"^\s*\d{1,3}\s*$")
+    broken = F.col("roll").rlike(r"^\s*\d{1,3}\s*[-\u2013]\s*$") & F.lead("roll").over(w).rlike(r"^\s*\d{1,3}\s*$")
     rows = rows.withColumn("_b", broken)
     rows = rows.withColumns({"_nr": F.lead("roll").over(w), "_no": F.lead("outcome").over(w), "_tail": F.lag("_b").over(w)})
     joined = rows.where("not coalesce(_tail, false)").withColumns(
@@ -350,7 +350,8 @@ def roll_tables(rows: DataFrame) -> DataFrame:
             "outcome": F.trim(F.when(F.col("_b"), F.concat_ws(" ", "outcome", "_no")).otherwise(F.col("outcome"))),
         }
     )
-    pattern = r"^\s*(\d{1,3})\s*(?:-\s*(\d{1,3})|(\+))?\s*$"
+    # Fixed value: how a range of a roll table is printed.
+    pattern = r"^\s*(\d{1,3})\s*(?:[-\u2013]\s*(\d{1,3})|(\+))?\s*$"
     face = lambda g: F.when(F.regexp_extract("roll", pattern, g).rlike("^0+$"), 100).otherwise(F.regexp_extract("roll", pattern, g).try_cast("int"))
     parsed = joined.withColumns({"lo": face(1), "_hi": face(2), "open": F.regexp_extract("roll", pattern, 3) == "+"})
     parsed = parsed.withColumn("hi", F.coalesce("_hi", "lo")).withColumn("ok", F.col("lo").isNotNull() & (F.col("lo") <= F.col("hi")))

@@ -143,7 +143,7 @@ def _(t):
 WITH tb AS (SELECT source AS book, doc_id AS ord, regexp_extract(text, '^([^.\n]*)', 1) AS title FROM documents),
 ow AS (SELECT DISTINCT array_to_string({WB.format("regexp_extract(text, '^([^ ' || chr(10) || ']*)', 1)")}, ' ') AS k FROM conversations),
 w AS (SELECT book, ord, {WB.format('title')} AS w FROM tb),
-g AS (SELECT book, ord, array_to_string(w[i:i + n - 1], ' ') AS k FROM w, unnest(range(1, len(w) + 1)) a(i), unnest(range(1, 5)) b(n) WHERE i + n - 1 <= len(w)),
+g AS (SELECT book, ord, array_to_string(w[i:i + n - 1], ' ') AS k FROM w, unnest(range(1, len(w) + 1)) a(i), unnest(range(1, (SELECT max(len(string_split(k, ' '))) FROM ow) + 1)) b(n) WHERE i + n - 1 <= len(w)),
 h AS (SELECT book, ord, k AS named FROM g SEMI JOIN ow USING (k) QUALIFY row_number() OVER (PARTITION BY book, ord ORDER BY length(k) DESC, k) = 1),
 c AS (SELECT tb.*, named, last_value(named IGNORE NULLS) OVER (PARTITION BY tb.book ORDER BY tb.ord) AS owner FROM tb LEFT JOIN h USING (book, ord))
 SELECT book, ord, coalesce(owner, '') AS owner, CASE WHEN named IS NOT NULL THEN 'named' WHEN owner IS NOT NULL THEN 'before' ELSE 'shared' END AS how FROM c""")
@@ -175,14 +175,16 @@ def _(t):
 
 
 @query("i17_name_gates", r"""
-WITH n AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '\p{L}+')[1:2], ' ') AS name FROM benchmark),
+WITH bw AS (SELECT regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark),
+n AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS name FROM bw, unnest(range(1, len(w))) u(i)),
 s AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[.!?\n]+\s*')) AS s FROM documents),
 m AS (SELECT id, CASE WHEN regexp_matches(s, '(^|[^\p{L}])(not|no|never|ne|nicht)($|[^\p{L}])') THEN 'forbids' WHEN regexp_matches(s, '(^|[^\p{L}])(must|the|la|der|die)($|[^\p{L}])') THEN 'requires' END AS kind,
   regexp_extract_all(s, '\p{L}+') AS w FROM s)
 SELECT DISTINCT id, name, kind FROM (SELECT id, kind, w[i] || ' ' || w[i + 1] AS name FROM m, unnest(range(1, len(w))) u(i) WHERE kind IS NOT NULL) SEMI JOIN n USING (name)""")
 def _(t):
-    names = t.benchmark.select(F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), 1, 2), " ").alias("name"))
-    return N.name_gates(t.documents.select(F.col("doc_id").alias("id"), "text"), names)
+    words = t.benchmark.select(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w")).where("size(w) > 1")
+    names = words.select(F.expr("explode(transform(sequence(1, size(w) - 1), i -> array_join(slice(w, i, 2), ' ')))").alias("name")).distinct()
+    return N.name_gates(t.documents.select(F.col("doc_id").alias("id"), "text"), names, "must|the|la|der|die", "not|no|never|ne|nicht")
 
 
 @query("i18_keep_rejects", """

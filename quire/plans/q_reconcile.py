@@ -102,7 +102,7 @@ WITH p0 AS (SELECT * FROM v_ocr_passes WHERE pass = 0), p1 AS (SELECT * FROM v_o
 SELECT doc_id, page, ord, pass, text FROM p0 UNION ALL
 SELECT doc_id, page, ord, pass, text FROM p1 WHERE NOT EXISTS (SELECT 1 FROM p0 WHERE p0.doc_id = p1.doc_id AND p0.page = p1.page AND p0.confidence >= 60 AND p1.x0 < p0.x1 AND p0.x0 < p1.x1 AND p1.y0 < p0.y1 AND p0.y0 < p1.y1)""")
 def _(t):
-    return R.merge_passes(t.ocr_passes, 2).select("doc_id", "page", "ord", "pass", "text")
+    return R.merge_passes(t.ocr_passes).select("doc_id", "page", "ord", "pass", "text")
 
 
 @query("e9_keep_words", r"""

@@ -191,11 +191,11 @@ def _(t):
 
 @query("g18_page_numbering", """
 WITH pg AS (SELECT doc_id, max(page) AS hi, count(*) AS pages, 1 + doc_id % 7 AS "offset" FROM (SELECT DISTINCT doc_id, page FROM v_full_runs) GROUP BY doc_id HAVING count(*) >= 2)
-SELECT doc_id, page, page + "offset" AS printed FROM (SELECT DISTINCT doc_id, page FROM v_full_runs) JOIN pg USING (doc_id)""")
+SELECT doc_id, page, page + coalesce("offset", 1) AS printed FROM (SELECT DISTINCT doc_id, page FROM v_full_runs) LEFT JOIN pg USING (doc_id)""")
 def _(t):
     runs = t.full_runs
     regions = G.page_numbering(runs, least=2, region=2)
-    return G.printed_page(runs.select("doc_id", "page").distinct(), regions).where("printed is not null")
+    return G.printed_page(runs.select("doc_id", "page").distinct(), regions)
 
 
 @query("g19_cited_ranges", """

@@ -86,7 +86,7 @@ WITH a AS (SELECT *, sum(CASE WHEN d > 26 THEN 1 ELSE 0 END) OVER (PARTITION BY
   FROM (SELECT *, lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, ord) - y AS d FROM v_spanned_runs)),
 b AS (SELECT *, sum(CASE WHEN x - reach >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, n1 ORDER BY x, ord) AS n2
   FROM (SELECT *, max(x + width) OVER (PARTITION BY doc_id, page, n1 ORDER BY x, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a))
-SELECT doc_id, page, ord, 'r.' || lpad(n1::BIGINT::VARCHAR, 4, '0') || '.' || lpad(n2::BIGINT::VARCHAR, 4, '0') AS region FROM b""")
+SELECT doc_id, page, ord, 'r.' || lpad(n1::BIGINT::VARCHAR, 10, '0') || '.' || lpad(n2::BIGINT::VARCHAR, 10, '0') AS region FROM b""")
 def _(t):
     return R.cut_regions(t.spanned_runs, depth=2).select("doc_id", "page", "ord", "region")
 
@@ -114,14 +114,14 @@ pth AS (SELECT owner, level, box, box AS path FROM par WHERE parent IS NULL UNIO
 SELECT owner, level, box, path FROM pth""")
 def _(t):
     ranks = t.part.selectExpr("p_brand as owner", "p_size div 10 + 1 as level", "concat(p_brand, '-', p_size) as box", "p_size % 10 as x").distinct()
-    return N.branch_paths(ranks, 6)
+    return N.branch_paths(ranks)
 
 
 @query("i20_drop_given", r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS name FROM documents)
 SELECT name FROM w WHERE regexp_replace(regexp_replace(translate(name, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+', '', 'g'), 's$', '') NOT IN
-  (SELECT regexp_replace(regexp_replace(translate(split_part(lower(text), ' ', 1), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+', '', 'g'), 's$', '') FROM benchmark)""")
+  (SELECT regexp_replace(regexp_replace(translate(other, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+', '', 'g'), 's$', '') FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS other FROM benchmark))""")
 def _(t):
     words = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("name")).distinct()
-    given = t.benchmark.select(F.split_part(F.lower("text"), F.lit(" "), F.lit(1)).alias("other"))
+    given = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("other"))
     return N.drop_given(words, given, "name", "other")

@@ -39,10 +39,10 @@ r AS (SELECT doc_id, page, line, count(*) AS n, bool_and(bold) AS bold FROM c GR
 i AS (SELECT *, sum(CASE WHEN g IS NULL OR g > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY line)::BIGINT AS table_no
   FROM (SELECT *, line - lag(line) OVER (PARTITION BY doc_id, page ORDER BY line) AS g FROM r)),
 s AS (SELECT i.doc_id, i.page, table_no, min(CASE WHEN i.bold THEN i.line END) AS hl FROM i JOIN c USING (doc_id, page, line) GROUP BY ALL HAVING count(DISTINCT i.line) >= 3 AND median(length(c.text)) <= 24)
-SELECT doc_id, page, table_no, line, line = hl AS is_header, n FROM i JOIN s USING (doc_id, page, table_no) WHERE hl IS NOT NULL""")
+SELECT doc_id, page, table_no, line, coalesce(line = hl, false) AS is_header, n FROM i JOIN s USING (doc_id, page, table_no)""")
 def _(t):
     lined = table_lines(t)
-    return T.aligned_tables(lined, T.column_edges(lined)).where("is_header is not null")
+    return T.aligned_tables(lined, T.column_edges(lined))
 
 
 @query("f3_assign_cells", f"""
@@ -275,9 +275,10 @@ def _(t):
 
 
 @query("f21_roll_tables", """
-WITH n AS (SELECT p_brand || '/' || p_type AS table_id, p_name, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n, count(*) OVER (PARTITION BY p_brand, p_type) AS m FROM part)
-SELECT table_id, CASE WHEN m > 10 THEN 100 WHEN 10 * m <= 10 THEN 10 WHEN 10 * m <= 20 THEN 20 ELSE 100 END AS die, 2 * n AS row_no, 10 * n - 9 AS lo, 10 * n AS hi,
-  CASE WHEN n % 5 = 0 THEN p_name || ' on' ELSE p_name END AS outcome FROM n WHERE n < 100""")
+WITH r AS (SELECT p_brand || '/' || p_type AS t, p_name, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS r FROM part),
+n AS (SELECT t || '/' || r // 10 AS table_id, p_name, r % 10 + 1 AS n, count(*) OVER (PARTITION BY t, r // 10) AS m FROM r)
+SELECT table_id, CASE WHEN 10 * m <= 10 THEN 10 WHEN 10 * m <= 20 THEN 20 ELSE 100 END AS die, 2 * n AS row_no, 10 * n - 9 AS lo, 10 * n AS hi,
+  CASE WHEN n % 5 = 0 THEN p_name || ' on' ELSE p_name END AS outcome FROM n""")
 def _(t):
     return T.roll_tables(t.roll_rows)
 

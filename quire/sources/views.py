@@ -225,11 +225,11 @@ def table_runs(t) -> DataFrame:
 
 
 def roll_rows(t) -> DataFrame:
-    """Parts as roll tables, one per brand and type: ten faces a row, some ranges broken over two rows."""
+    """Parts as roll tables, ten of a brand and type to a table: ten faces a row, some ranges broken over two rows."""
     w = W.partitionBy("p_brand", "p_type").orderBy("p_partkey")
-    rows = t.part.withColumn("n", F.row_number().over(w))
+    rows = t.part.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.col("r") % 10 + 1)
     return rows.selectExpr(
-        "concat(p_brand, '/', p_type) as table_id", "p_name",
+        "concat_ws('/', p_brand, p_type, cast(r div 10 as string)) as table_id", "p_name",
         """explode(case when n % 5 = 0 then array(named_struct('row_no', 2 * n, 'roll', concat(10 * n - 9, '-'), 'outcome', p_name),
                                              named_struct('row_no', 2 * n + 1, 'roll', cast(10 * n as string), 'outcome', 'on'))
                     else array(named_struct('row_no', 2 * n, 'roll', concat(10 * n - 9, '-', 10 * n), 'outcome', p_name)) end) as r""",
