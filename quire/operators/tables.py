@@ -14,15 +14,15 @@ ROLES = [
     ("type", r"(?i)^(type|class)$"), ("range", r"(?i)^range$"), ("damage", r"(?i)^(dam\.?|damage)$"),
 ]
 
-# How a cell of a role is written, and the type it is read as.
+# How a cell of a role is written. Roles of one number, then those of several parts.
 NOTATION = {
-    "weight": (r"^(\d+(?:\.\d+)?) ?(?:kg)?$", "double"),
-    "cost": (r"^(\d{1,3}(?:,\d{3})*|\d+)$", "double"),
-    "integer": (r"^([+-]?\d+)$", "double"),
-    "range": (r"^(\d+)-\d+$", "double"),
-    "damage": (r"(?i)^\d*d(\d+)(?: ?[+-] ?\d+)? ?[EXIR]?$", "double"),
-    "rate": (r"^(?:S|-)/(\d+|-)/(?:\d+|-)$", "double"),
+    "weight": r"^(\d+(?:\.\d+)?) ?(?:kg)?$",
+    "cost": r"^(\d{1,3}(?:,\d{3})*|\d+)$",
+    "integer": r"^([+-]?\d+)$",
 }
+RANGE = r"^(\d+)(?:-(\d+))?$"
+DAMAGE = r"(?i)^(\d*)d(\d+)(?: ?([+-] ?\d+))? ?([A-Z])?$"
+RATE = r"^(S|-)/(\d+|-)/(\d+|-)$"
 
 # Availability grades, most common first.
 AVAILABILITY = [
@@ -270,14 +270,35 @@ def is_dash(raw: Column) -> Column:
 
 
 def typed_cast(long: DataFrame) -> DataFrame:
-    """Typed value of each (role, raw) cell by the notation of its role; ``reject`` marks a filled cell that cannot be read."""
+    """Typed value of each (role, raw) cell by the notation of its role; ``reject`` marks a filled cell that cannot be read.
+
+    Roles of one number give ``value``; damage gives ``dice, faces, bonus, kind``, a rate ``single, semi, full`` and a range
+    ``lo, hi``. What a notation leaves out is null.
+    """
     text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"[†‡*§¶]+", ""), "[‐‑‒–—―−]", "-"))
-    chain = None
-    for role, (pattern, kind) in NOTATION.items():
-        got = F.expr("null") if pattern is None else F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast(kind)
-        chain = F.when(F.col("role") == role, got) if chain is None else chain.when(F.col("role") == role, got)
-    value = F.when(~is_dash(F.col("raw")), chain)
-    return long.withColumn("value", value).withColumn("reject", ~is_dash(F.col("raw")) & F.col("value").isNull())
+    filled = ~is_dash(F.col("raw"))
+    value = F.lit(None).cast("double")
+    for role, pattern in NOTATION.items():
+        got = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast("double")
+        value = F.when(F.col("role") == role, got).otherwise(value)
+
+    def part(role: str, pattern: str, group: int, kind: str = "int") -> Column:
+        found = F.regexp_replace(F.regexp_extract(text, pattern, group), " ", "")
+        return F.when(filled & (F.col("role") == role) & text.rlike(pattern), F.when(found != "", found.try_cast(kind)))
+
+    whole = filled & text.rlike(DAMAGE) & (F.col("role") == "damage")
+    out = long.withColumns(
+        {
+            "value": F.when(filled, value),
+            "dice": F.when(whole, F.coalesce(part("damage", DAMAGE, 1), F.lit(1))), "faces": part("damage", DAMAGE, 2),
+            "bonus": F.when(whole, F.coalesce(part("damage", DAMAGE, 3), F.lit(0))), "kind": F.upper(part("damage", DAMAGE, 4, "string")),
+            "single": F.when(filled & (F.col("role") == "rate") & text.rlike(RATE), F.regexp_extract(text, RATE, 1) == "S"),
+            "semi": part("rate", RATE, 2), "full": part("rate", RATE, 3), "lo": part("range", RANGE, 1),
+            "hi": F.coalesce(part("range", RANGE, 2), part("range", RANGE, 1)),
+        }
+    )
+    read = F.coalesce(F.col("value"), F.col("faces"), F.col("lo"), F.col("single").cast("int")).isNotNull()
+    return out.withColumn("reject", filled & ~read)
 
 
 def grade_of(raw: Column, grades: list[str] = AVAILABILITY) -> Column:
@@ -298,7 +319,7 @@ def grade_of(raw: Column, grades: list[str] = AVAILABILITY) -> Column:
 
 
 # Words a title leaves in lower case.
-FUNCTION_WORDS = ["of", "the", "and", "a", "an", "in", "on", "for", "to", "with"]
+FUNCTION_WORDS = ["a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"]
 
 
 def title_case(name: Column) -> Column:

@@ -238,12 +238,14 @@ def _(t):
 @query("f18_typed_cast", r"""
 WITH l AS (SELECT table_id, row_no, CASE col_no WHEN 1 THEN 'weight' WHEN 2 THEN 'cost' ELSE 'range' END AS role, text AS raw FROM v_cells WHERE col_no IN (1, 2, 4)),
 v AS (SELECT *, TRY_CAST(CASE role WHEN 'weight' THEN regexp_extract(raw, '^(\d+) kg$', 1) WHEN 'cost' THEN CASE WHEN regexp_matches(raw, '^[\d,]+$') THEN replace(raw, ',', '') END
-  ELSE regexp_extract(raw, '^(\d+)-\d+$', 1) END AS DOUBLE) AS v FROM l)
-SELECT table_id, row_no, role, coalesce(v, -1) AS value, raw <> '-' AND v IS NULL AS reject FROM v""")
+  END AS DOUBLE) AS v, role = 'range' AND regexp_matches(raw, '^\d+(-\d+)?$') AS r FROM l)
+SELECT table_id, row_no, role, coalesce(v, -1) AS value, CASE WHEN r THEN split_part(raw, '-', 1)::INT ELSE -1 END AS lo, CASE WHEN r THEN split_part(raw, '-', -1)::INT ELSE -1 END AS hi,
+  raw <> '-' AND v IS NULL AND NOT r AS reject FROM v""")
 def _(t):
     role = F.when(F.col("col_no") == 1, "weight").when(F.col("col_no") == 2, "cost").otherwise("range")
     long = t.cells.where("col_no in (1, 2, 4)").select("table_id", "row_no", role.alias("role"), F.col("text").alias("raw"))
-    return T.typed_cast(long).select("table_id", "row_no", "role", F.coalesce("value", F.lit(-1.0)).alias("value"), "reject")
+    or_none = lambda c, none: F.coalesce(c, F.lit(none)).alias(c)
+    return T.typed_cast(long).select("table_id", "row_no", "role", or_none("value", -1.0), or_none("lo", -1), or_none("hi", -1), "reject")
 
 
 @query("f18_grades", """

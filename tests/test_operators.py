@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import quantise
+from quire.functions.jsonleaf import leaf_array
 from quire.functions.text import canonical_text
-from quire.operators import layout as L, reconcile as R, regions as G, score as S, sync as Y, tables as T
+from quire.operators import entities as N, layout as L, reconcile as R, regions as G, score as S, sections as X, sync as Y, tables as T
 from quire.sources import packs as P
 
 
@@ -147,13 +148,45 @@ def test_lines_do_not_depend_on_partitioning(spark):
 
 @pytest.mark.parametrize(
     "role, raw, value, reject",
-    [("weight", "3 kg", 3.0, False), ("cost", "1,200", 1200.0, False), ("cost", "—", None, False), ("weight", "heavy", None, True), ("range", "5-10", 5.0, False)],
+    [("weight", "3 kg", 3.0, False), ("cost", "1,200", 1200.0, False), ("cost", "—", None, False), ("weight", "heavy", None, True), ("range", "5-10", None, False), ("range", "far", None, True), ("damage", "2d10+3 Q3", None, True), ("integer", "S/3/10", None, True)],
 )
 def test_typed_cast(spark, role, raw, value, reject):
     row = T.typed_cast(spark.createDataFrame([(role, raw)], "role string, raw string")).first()
     assert (row.value, row.reject) == (value, reject)
 
 
+def test_typed_parts(spark):
+    rows = [("damage", "2d10+3 E"), ("damage", "d6"), ("damage", "1d5 - 1 i"), ("rate", "S/3/10"), ("rate", "-/-/4"), ("range", "5–10"), ("range", "30")]
+    got = [tuple(r) for r in T.typed_cast(spark.createDataFrame(rows, "role string, raw string")).select("dice", "faces", "bonus", "kind", "single", "semi", "full", "lo", "hi", "reject").collect()]
+    none = (None,) * 3
+    assert got[:3] == [(2, 10, 3, "E", *none, None, None, False), (1, 6, 0, None, *none, None, None, False), (1, 5, -1, "I", *none, None, None, False)]
+    assert got[3:5] == [(None, *none, True, 3, 10, None, None, False), (None, *none, False, None, 4, None, None, False)]
+    assert [r[7:] for r in got[5:]] == [(5, 10, False), (30, 30, False)]
+
+
+def test_nothing_is_cut_off(spark):
+    """Levels, name lengths, passes, nesting and list places come from the data."""
+    ranks = spark.createDataFrame([("o", n, f"b{n}", 1) for n in range(1, 16)], "owner string, level int, box string, x int")
+    assert len(N.branch_paths(ranks).where("level = 15").first().path.split(" > ")) == 15
+    name = "Lord of the Seven Iron Gates"
+    tables = spark.createDataFrame([("b", 1, f"Gear of {name} here"), ("b", 2, "other")], "book string, ord int, title string")
+    owners = spark.createDataFrame([(name,)], "name string")
+    assert [(r.owner, r.how) for r in N.attach_tables(tables, owners).orderBy("ord").collect()] == [(name, "named"), (name, "before")]
+    gates = spark.createDataFrame([(1, "You must hold the one old iron key. She saw it."), (2, "Never the one old iron key")], "id int, text string")
+    keys = spark.createDataFrame([("the one old iron key",)], "name string")
+    assert sorted((r.id, r.kind) for r in N.name_gates(gates, keys).collect()) == [(1, "requires"), (2, "forbids")]
+    word = lambda p, c, x: (1, 0, p, p, f"w{p}", 10.0 * x, 0.0, 10.0 * x + 5, 5.0, c)
+    words = spark.createDataFrame([word(0, 90, 0), word(1, 90, 0), word(2, 90, 1), word(4, 90, 2)], "doc_id long, page long, ord long, pass int, text string, x0 double, y0 double, x1 double, y1 double, confidence int")
+    assert sorted(r.text for r in R.merge_passes(words).collect()) == ["w0", "w2", "w4"]
+    deep = "{" + "".join(f'"k{i}":{{' for i in range(10)) + '"z":1,"s":"{{"' + "}" * 11
+    leaves = spark.createDataFrame([(deep,)], "j string").selectExpr("parse_json(j) as doc").select(leaf_array("doc").alias("l")).first().l
+    path = ".".join(f"k{i}" for i in range(10))
+    assert sorted((x.path, x.value) for x in leaves) == [(f"{path}.s", '"{{"'), (f"{path}.z", "1")]
+    blocks = spark.createDataFrame([("p", 0, n, n, f"h{n}") for n in range(1, 8)] + [("p", 0, 8, None, "body")], "doc string, seg int, n int, level int, text string")
+    path = X.section_path(blocks, ["doc"], "seg", "n", F.col("level"), "text").where("n = 8").first().path
+    assert path == [f"h{n}" for n in range(1, 8)]
+
+
 def test_roll_table_with_broken_range_and_notes(spark):
     rows = [("t", 1, "1-", "a"), ("t", 2, "5", "b"), ("t", 3, "6-9", "c"), ("t", 4, "10+", "d"), ("t", 5, "Note", "e"), ("u", 1, "2-3", "x")]
     got = T.roll_tables(spark.createDataFrame(rows, "table_id string, row_no int, roll string, outcome string")).orderBy("row_no").collect()
