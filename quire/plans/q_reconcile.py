@@ -8,17 +8,18 @@ from quire.operators import grids as H, layout as L, reconcile as R
 from quire.plans.q_layout import LINES
 from quire.plans.registry import query
 
-BODY = LINES.replace("FROM v_full_runs", "FROM v_runs WHERE size = 10")
+BODY = LINES.replace("FROM v_full_runs", "FROM v_runs")
 BOXES = f"""
 {BODY},
 bx AS (SELECT doc_id, page, col, line, min(x) AS lx0, max(x + width) AS lx1, min(y) - 2 AS ly0, max(y) + 8 AS ly1, max(size) AS lsize FROM lined GROUP BY ALL),
-asg AS (SELECT w.doc_id, w.page, w.ord, bx.col, bx.line FROM v_ocr w JOIN bx ON bx.doc_id = w.doc_id AND bx.page = w.page AND w.x1 >= lx0 - lsize AND w.x0 <= lx1 + lsize AND least(y1, ly1) - greatest(y0, ly0) > 0
+asg AS (SELECT w.doc_id, w.page, w.ord, bx.col, bx.line FROM (SELECT *, unnest(range(floor(y0 / 12)::BIGINT, floor(y1 / 12)::BIGINT + 1)) AS band FROM v_ocr) w JOIN (SELECT *, unnest(range(floor(ly0 / 12)::BIGINT, floor(ly1 / 12)::BIGINT + 1)) AS band FROM bx) bx
+    ON bx.doc_id = w.doc_id AND bx.page = w.page AND bx.band = w.band AND w.x1 >= lx0 - 0.5 * lsize AND w.x0 <= lx1 + 0.5 * lsize AND least(y1, ly1) - greatest(y0, ly0) > 0
   QUALIFY row_number() OVER (PARTITION BY w.doc_id, w.page, w.ord ORDER BY least(y1, ly1) - greatest(y0, ly0) DESC, bx.col, bx.line) = 1)
 """
 
 
 def body_lines(t):
-    return L.group_lines(t.runs.where("size = 10"))
+    return L.group_lines(t.runs)
 
 
 def assigned(t):
