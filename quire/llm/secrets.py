@@ -44,6 +44,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
 )
 BASE = ("assign", "access", "hex")
+#: Places at which the paths of one blob meet its findings.
+SALTS = 8
 SPANS = "array<struct<start:int,place:int,kind:string,end:int>>"
 
 
@@ -108,8 +110,10 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     some = ledger.where(F.size("spans") > 0).select("blob", "spans")
     some = some.select("blob", F.filter("spans", lambda s: F.array_contains(wanted, s["kind"])).alias("spans"))
     some = some.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("secret_spans"))
-    paths = with_blob(versions, text).join(some, "blob", "left")
-    return paths.withColumn("secret_spans", F.coalesce("secret_spans", F.array().cast(SPANS))).drop("blob")
+    # a blob that very many paths hold is met in several places; findings are few and are sent to each
+    paths = with_blob(versions, text).withColumn("salt", F.pmod(F.xxhash64(*[c for c in versions.columns if c != text]), F.lit(SALTS)))
+    some = some.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return paths.join(some, ["blob", "salt"], "left").select(*versions.columns, F.coalesce("secret_spans", F.array().cast(SPANS)).alias("secret_spans"))
 
 
 def told(spans: Column) -> Column:
