@@ -9,6 +9,8 @@ in the near-duplicate stage. Empty tables pass through.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +18,39 @@ from quire.llm import minhash, packing, repeats, secrets, toxicity
 from quire.llm.shared import stored
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plain_names(stage):
+    """A stage that sees extra columns under names of their own, so that none can clash with what operators add."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in COLUMNS else f"extra_{k}" for k, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*plain), sf_dir).select(*plain).toDF(*docs.columns)
+
+    return run_stage
+
+
+@plain_names
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
     return toxicity.scored(docs, model).where("score < 0.5").select(*docs.columns)
 
 
+@plain_names
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
+@plain_names
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return measured(repeats.trimmed(repeats.without_repeats(docs)), docs)
 
 
+@plain_names
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return measured(secrets.redacted(secrets.scanned(docs)), docs)
 

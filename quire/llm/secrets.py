@@ -70,10 +70,6 @@ def found_by(text: Column, rule: Rule, place: int) -> Column:
     return F.when(there & text.rlike(rule.pattern), spans).otherwise(F.array().cast(SPANS))
 
 
-def with_blob(versions: DataFrame, text: str = "text") -> DataFrame:
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-
-
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """New ledger rows ``blob, rules, spans``: for each blob the rule versions run now and all that they found."""
     blobs = (
@@ -104,16 +100,19 @@ def advance(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ..
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """All paths of ``versions`` with ``secret_spans``: what rules of the given versions found in their blob, in order."""
+    """All paths of ``versions`` with ``secret_spans``: what rules of the given versions found in their blob, in order. A
+    column of that name is replaced."""
+    versions = versions.drop("secret_spans")
     names = [r.kind for r in rules]
     wanted = F.array(*[F.lit(x) for x in names])
     some = ledger.where(F.size("spans") > 0).select("blob", "spans")
     some = some.select("blob", F.filter("spans", lambda s: F.array_contains(wanted, s["kind"])).alias("spans"))
     some = some.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("secret_spans"))
     # a blob that very many paths hold is met in several places; findings are few and are sent to each
-    paths = with_blob(versions, text).withColumn("salt", F.pmod(F.xxhash64(*[c for c in versions.columns if c != text]), F.lit(SALTS)))
-    some = some.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return paths.join(some, ["blob", "salt"], "left").select(*versions.columns, F.coalesce("secret_spans", F.array().cast(SPANS)).alias("secret_spans"))
+    others = [c for c in versions.columns if c != text] or [F.rand(0)]
+    paths = versions.withColumns({"__blob": F.sha2(F.coalesce(F.col(text), F.lit("")), 256), "__salt": F.pmod(F.xxhash64(*others), F.lit(SALTS))})
+    some = some.withColumnRenamed("blob", "__blob").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return paths.join(some, ["__blob", "__salt"], "left").select(*versions.columns, F.coalesce("secret_spans", F.array().cast(SPANS)).alias("secret_spans"))
 
 
 def told(spans: Column) -> Column:
