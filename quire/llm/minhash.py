@@ -145,7 +145,8 @@ def components(edges: DataFrame) -> DataFrame:
 def links(reps: DataFrame, docs: DataFrame, key: str, text: str, threshold: int = THRESHOLD, small: int = SMALL) -> DataFrame:
     """Verified links (a, b) between representatives ``id, n, bands`` that suffice to connect all that are linked."""
     banded = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("many")).where(F.col("many") > 1)
+    # written (as the centres below), so that joins meet two shuffles and adaptive execution can split a frequent bucket
+    sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("many")).where(F.col("many") > 1))
     members = cut(banded.join(sizes, "bucket"))
     alike = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
@@ -171,7 +172,7 @@ def links(reps: DataFrame, docs: DataFrame, key: str, text: str, threshold: int
     rows = sets.join(crowd, "id", "left_semi").mapInArrow(exploded, "id long, element long")
     owned = rows.groupBy("element").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
     large = cut(large.join(owned, "id", "left").fillna(0, ["own"]))
-    centres = large.groupBy("bucket").agg(F.min(F.struct("own", "id", "n")).alias("c"), F.min("n").alias("least_n"))
+    centres = cut(large.groupBy("bucket").agg(F.min(F.struct("own", "id", "n")).alias("c"), F.min("n").alias("least_n")))
     large = large.join(centres, "bucket").withColumns({"a": F.least("id", "c.id"), "b": F.greatest("id", "c.id")})
     star = cut(overlaps(large.where((F.col("id") != F.col("c.id")) & alike(F.col("n"), F.col("c.n"))).select("a", "b").distinct(), sets))
     found = cut(linked(overlaps(pairs, sets).unionByName(star), threshold))

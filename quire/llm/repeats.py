@@ -209,7 +209,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     """``id, begin, stop``: byte ranges (that may overlap) of all that is to be removed."""
     docs = docs.where(F.col(key).isNotNull())
     anchors = anchored(docs, key, text, length, content)
-    met = anchors.groupBy("content").agg(F.count("*").alias("many")).where("many > 1").select("content")
+    # written, so that the join below meets two shuffles and adaptive execution can split a frequent content
+    met = cut(anchors.groupBy("content").agg(F.count("*").alias("many")).where("many > 1").select("content"))
     marks = cut(anchors.join(met, "content", "left_semi"))
     spans = marks.groupBy("content", "s1", "s2").agg(F.count("*").alias("many"), F.min(F.struct("id", "at", "lo", "hi")).alias("one"))
     spans = cut(spans)
