@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.shared import cut
+
 #: Contract rules: action, host, beginning of the path.
 RULES = (
     ("allow", "org", "/"),
@@ -53,7 +55,8 @@ def with_levels(df: DataFrame) -> DataFrame:
 
 def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
     """For each level the posterior ``a, b`` of each unit with outcomes (``host``, ``bad`` 0 or 1), and ``corpus`` for all."""
-    hosts = with_levels(outcomes).groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
+    # one row for each host; written, as each level below is, for the next ones use it several times
+    hosts = cut(with_levels(outcomes).groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("k")))
     whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
     above = whole.select((F.col("k") + 0.5).alias("a"), (F.col("n") - F.col("k") + 0.5).alias("b"))
     found = {"corpus": above}
@@ -72,7 +75,7 @@ def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
         above = units.crossJoin(F.broadcast(strength)).select(  # one row
             level, (F.col("s") * F.col("p") + F.col("k")).alias("a"), (F.col("s") * (1 - F.col("p")) + F.col("n") - F.col("k")).alias("b")
         )
-        found[level] = above
+        found[level] = above = cut(above)
         upper = level
     return found
 
