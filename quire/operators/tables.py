@@ -302,14 +302,14 @@ def typed_cast(long: DataFrame) -> DataFrame:
 
 
 def grade_of(raw: Column, grades: list[str] = AVAILABILITY) -> Column:
-    """A grade by its name, its initials, an opening of at least three letters, or its consonants, in this order."""
+    """A grade by its name, its initials, an opening of at least two letters, or its first letter and others in order."""
     key = F.lower(F.regexp_replace(raw, r"[^\p{L}]+", ""))
-    bones = F.regexp_replace(key, "[aeiou]", "")
+    letters = F.concat(F.lit("^"), F.regexp_replace(key, "(.)", "$1.*"))
     tests = [
         lambda g: key == F.lit(g.lower().replace(" ", "")),
         lambda g: (key == F.lit("".join(w[0] for w in g.lower().split()))) if " " in g else F.lit(False),
-        lambda g: (F.length(key) >= 3) & F.lit(g.lower().replace(" ", "")).startswith(key),
-        lambda g: (F.length(bones) >= 3) & (bones == F.lit("".join(c for c in g.lower() if c not in "aeiou "))),
+        lambda g: (F.length(key) >= 2) & F.lit(g.lower().replace(" ", "")).startswith(key),
+        lambda g: (F.length(key) >= 2) & F.rlike(F.lit(g.lower().replace(" ", "")), letters),
     ]
     chain = None
     for test in tests:

@@ -155,6 +155,11 @@ def test_typed_cast(spark, role, raw, value, reject):
     assert (row.value, row.reject) == (value, reject)
 
 
+@pytest.mark.parametrize("raw, want", [("Sc", "Scarce"), ("Cm", "Common"), ("VR", "Very Rare"), ("plntfl", "Plentiful"), ("Near Uni", "Near Unique"), ("Zq", None), ("c", None)])
+def test_grades(spark, raw, want):
+    assert one(spark, T.grade_of(F.lit(raw))) == want
+
+
 def test_typed_parts(spark):
     rows = [("damage", "2d10+3 E"), ("damage", "d6"), ("damage", "1d5 - 1 i"), ("rate", "S/3/10"), ("rate", "-/-/4"), ("range", "5–10"), ("range", "30")]
     got = [tuple(r) for r in T.typed_cast(spark.createDataFrame(rows, "role string, raw string")).select("dice", "faces", "bonus", "kind", "single", "semi", "full", "lo", "hi", "reject").collect()]
