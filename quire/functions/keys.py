@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-# Accented Latin letters and the plain letters they sort under.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that decompose into a plain letter and marks, and those plain letters; then the marks, which go."""
+    letters = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower()}
+    folded = {c: base for c, base in letters.items() if base != c and base.isascii()}
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(folded) + marks, "".join(folded.values())
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def plain(text: Column) -> Column:

@@ -48,7 +48,9 @@ def grids(runs: DataFrame) -> DataFrame:
     labels = runs.where("size < 8").select(*PAGE, F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("text").alias("label"), F.floor(F.col("y") / 32).alias("band"))
     near = cells.select("*", F.explode(F.array(F.floor(F.col("y") / 32), F.floor(F.col("y") / 32) + 1)).alias("band")).join(labels, [*PAGE, "band"])
     near = near.where("ly > y and ly - y <= 20 and abs(lx - x) <= 20")
-    named = near.groupBy(*group, "row", "column", "text").agg(F.min_by("label", F.struct(F.col("ly") - F.col("y"), F.abs(F.col("lx") - F.col("x")), "label")).alias("label"))
+    found = near.groupBy(*group, "row", "column").agg(F.min_by("label", F.struct(F.col("ly") - F.col("y"), F.abs(F.col("lx") - F.col("x")), "label")).alias("label"))
+    # a value without a label keeps its place
+    named = cells.join(found, [*group, "row", "column"], "left").withColumn("label", F.coalesce("label", F.lit("")))
     values = named.groupBy(*group).agg(
         F.sort_array(F.collect_list(F.struct("row", "column", "label", F.col("text").cast("int").alias("value")))).alias("cells")
     )

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.geometry import quantise
 from quire.functions.jsonleaf import leaf_array
+from quire.functions.keys import name_key
 from quire.functions.text import canonical_text
-from quire.operators import entities as N, layout as L, reconcile as R, regions as G, score as S, sections as X, sync as Y, tables as T
+from quire.operators import entities as N, grids as H, layout as L, reconcile as R, regions as G, score as S, sections as X, sync as Y, tables as T
 from quire.sources import packs as P
 
 
@@ -160,6 +161,22 @@ def test_grades(spark, raw, want):
     assert one(spark, T.grade_of(F.lit(raw))) == want
 
 
+def test_names_meet_without_accents(spark):
+    assert one(spark, name_key(F.lit("Čaroděj Őr Ørsted e\u0301"))) == "carodejorørstede"
+
+
+def test_grid_keeps_values_without_label(spark):
+    runs = [(1, 0, 100 + 60 * (k % 3), 500 - 40 * (k // 3), 12, "bold", str(10 + k), k) for k in range(9)]
+    runs += [(1, 0, 100 + 60 * (k % 3), 514 - 40 * (k // 3), 6, "normal", f"L{k}", 20 + k) for k in range(9) if k != 4]
+    row = H.grids(spark.createDataFrame(runs, "doc_id long, page long, x long, y long, size int, weight string, text string, ord long")).first()
+    assert (row["values"], row.labels) == ("10,11,12,13,14,15,16,17,18", "L0,L1,L2,L3,,L5,L6,L7,L8")
+
+
+def test_letters_of_the_layer_survive_a_tab(spark):
+    groups = spark.createDataFrame([("ab\tcd", "ab cd", 90)], "layer string, read string, confidence int")
+    assert R.resolve(groups).first().resolved == "ab cd"
+
+
 def test_typed_parts(spark):
     rows = [("damage", "2d10+3 E"), ("damage", "d6"), ("damage", "1d5 - 1 i"), ("rate", "S/3/10"), ("rate", "-/-/4"), ("range", "5–10"), ("range", "30")]
     got = [tuple(r) for r in T.typed_cast(spark.createDataFrame(rows, "role string, raw string")).select("dice", "faces", "bonus", "kind", "single", "semi", "full", "lo", "hi", "reject").collect()]
