@@ -2,8 +2,10 @@
 
 Each of ``TREES`` trees is an array of hash strings in order; a string's symbols are signed axes, those nearest to the
 vector after random rotations (2d symbols for d dimensions). A query descends to the longest prefixes that items share
-with it and ascends in all trees at once, one symbol at a time, until the trees hold ``LEAST`` items with its prefix; at
-the root that is every item. All of these are compared exactly, by cosine in double precision.
+with it and ascends in all trees at once, one symbol at a time, until the trees together count ``LEAST`` items and ``SHARE``
+of all items with its prefix (one found by several trees counts for each); at the root that is every item. All of these
+are compared exactly, by cosine in double precision. The share keeps recall where the table grows: unstructured vectors
+need about a fifth of all as candidates, however many there are.
 
 The strings are built from every row, nothing is fitted or sampled. Equal vectors are one item with its smallest ids, so a
 vector that fills a third of the table is one row of the forest. A tree's items lie in parts by first symbol, larger ones
@@ -25,6 +27,7 @@ from quire.llm.shared import cut
 
 TREES, DEPTH = 36, 3
 LEAST = 8192
+SHARE = 0.25
 PART = 20_000
 NEIGHBOURS = 5
 
@@ -72,7 +75,7 @@ def best(query: np.ndarray, items: np.ndarray, ids: np.ndarray, spans: list[tupl
             yield from ((begin + j, lo + int(i), float(own[i])) for i in hit[order])
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, depth: int = DEPTH, least: int = LEAST, part: int = PART) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, depth: int = DEPTH, least: int = LEAST, share: float = SHARE, part: int = PART) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows of ``df`` for each id in ``queries`` (one column), but itself."""
     spark = df.sparkSession
     rows, dim = sound(df, key, vector)
@@ -106,7 +109,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, key: str = "
     levels = lambda d: strings(d).select("item", "tree", F.explode(F.array(*[F.struct(F.lit(x).alias("depth"), prefix(x).alias("prefix")) for x in range(1, depth + 1)])).alias("p")).select("item", "tree", "p.*")
     counts = levels(items).groupBy("tree", "depth", "prefix").agg(F.count("*").alias("many"))
     held = levels(vectors).join(counts, ["tree", "depth", "prefix"]).groupBy("item", "depth").agg(F.sum("many").alias("many"))
-    chosen = held.where(F.col("many") >= least).groupBy("item").agg(F.max("depth").alias("depth"))
+    chosen = held.where(F.col("many") >= max(least, share * n)).groupBy("item").agg(F.max("depth").alias("depth"))
     chosen = vectors.join(chosen, "item", "left").select("item", "v", "codes", F.coalesce("depth", F.lit(0)).alias("depth"))
     chosen = cut(chosen)
 
@@ -114,17 +117,17 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, key: str = "
     sizes = counts.where("depth = 1").select("tree", F.col("prefix").alias("symbol"), F.ceil(F.col("many") / part).cast("int").alias("shares"))
     blocks = max(1, -(-n // part))
     tree_of = lambda d: d.select("*", F.posexplode("codes").alias("tree", "code")).drop("codes").withColumn("symbol", prefix(1))
-    share = lambda shares: F.pmod(F.xxhash64("item"), shares).cast("int")
+    dealt = lambda shares: F.pmod(F.xxhash64("item"), shares).cast("int")
     columns = ("tree", "symbol", "share", "item", "v", "code")
     deep = chosen.where("depth > 0")
     some_root, some_deep = chosen.where("depth = 0").limit(1).count() > 0, deep.limit(1).count() > 0
     pairs = []
     if some_deep:
         sized = F.broadcast(sizes)  # at most trees * 2 * dimensions rows
-        pairs.append((tree_of(items).join(sized, ["tree", "symbol"]).withColumn("share", share(F.col("shares"))).select(*columns), tree_of(deep).join(sized, ["tree", "symbol"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(*columns, "depth")))
+        pairs.append((tree_of(items).join(sized, ["tree", "symbol"]).withColumn("share", dealt(F.col("shares"))).select(*columns), tree_of(deep).join(sized, ["tree", "symbol"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(*columns, "depth")))
     if some_root:
         at_root = {"tree": F.lit(-1), "symbol": F.lit(0).cast("long"), "code": F.lit(0).cast("long")}
-        own = items.withColumns(at_root | {"share": share(F.lit(blocks))}).select(*columns)
+        own = items.withColumns(at_root | {"share": dealt(F.lit(blocks))}).select(*columns)
         asks = chosen.where("depth = 0").withColumns(at_root | {"share": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))}).select(*columns, "depth")
         pairs.append((own, asks))
 

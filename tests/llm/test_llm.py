@@ -403,6 +403,18 @@ def test_vectors(spark, least):
     assert vectors.nearest(df.where("vec_id in (5, 50)"), df.where("vec_id = 50").select("vec_id")).count() == 1
 
 
+def test_vectors_candidates_grow_with_the_table(spark):
+    """Unstructured vectors of which two symbols leave far more than ``least``, but too few for recall."""
+    x = np.random.default_rng(4).normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in vectors.nearest(df, df.where("vec_id % 100 = 0").select("vec_id"), least=100).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = sum(len(got[i] & {*np.argsort(-(unit @ unit[i]))[1:6].tolist()}) for i in range(0, 6000, 100))
+    assert len(got) == 60 and hits >= 0.9 * 5 * 60
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_matches_sql(spark, name):
     from compare import compare, connect
