@@ -1,14 +1,15 @@
 """Toxicity from the nearest labelled examples (operator 2).
 
-Terms are words and beginnings (four to eight letters) of longer words, whose presence is associated with the label (G-squared and
-lift over the training rows). Examples are TF-IDF vectors over these terms in a block-max inverted index: each term's
-postings lie in blocks of examples with their greatest weight, blocks are visited in the order of their upper bounds, and
-the search ends when no bound reaches the k-th best: the neighbours are the exact ones. Their labels are voted with their
+Terms are all words of at least ``WORD_DOCS`` training rows, and beginnings (four to eight letters) of longer words, as far as
+their presence is associated with the label (G-squared and lift over the training rows). Examples are TF-IDF vectors over
+these terms, in which association is a weight, in a block-max inverted index: each term's postings lie in blocks of
+examples with their greatest weight, blocks are visited in the order of their upper bounds, some at a time, and the
+search ends when no bound reaches the k-th best: the neighbours are the exact ones. Their labels are voted with their
 cosines as weights; votes become probabilities by a monotone fit on votes that the examples get from the others. The
 neighbours are returned as evidence.
 
 Fit: at most ``SAMPLE`` labelled rows, those with the least hash of their id, all if there are fewer. Only text is scored.
-Null texts count as empty; a text without terms gets the rate of training rows without terms. Repeated rows are scored
+Null texts count as empty; a text without a known word gets the rate of training rows without one. Repeated rows are scored
 each. Labels that are null are left out; of several labels of one document the greatest counts. Without labels, every
 score is the prior. An empty table gives no rows.
 """
@@ -29,11 +30,13 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 from quire.llm.blocks import strings, text_blocks
 
 SAMPLE = 16_000
-TERMS = 4096
+WORD_DOCS = 2
+TERMS = 4096  # beginnings at most
 LEAST_DOCS, LEAST_G2, LEAST_LIFT = 4, 20.0, 20.0
 BEGINNINGS = range(4, 9)
 NEIGHBOURS = 16
 BLOCK = 64
+VOTERS = 12  # tasks of the votes on examples
 PRIOR = 0.1
 _WORD = re.compile(r"[^\W_]+")
 
@@ -67,13 +70,21 @@ class Terms:
         return Counter(i for c in chunks if (got := known[c]) for i in got)
 
 
+def weighted(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term ids and weights of length one."""
+    w = (1 + np.log(counts)) * idf[ids]
+    return ids, w / math.sqrt(float(w @ w)) if len(w) else w
+
+
 def vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term ids in order and weights of length one."""
     ids = np.array(sorted(counts), np.int64)
-    if not len(ids):
-        return ids, np.zeros(0)
-    w = (1 + np.log(np.array([counts[i] for i in ids.tolist()], float))) * idf[ids]
-    return ids, w / math.sqrt(float(w @ w))
+    return weighted(ids, np.array([counts[i] for i in ids.tolist()], float), idf)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sizes[i]`` numbers from ``starts[i]`` on, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 class BlockMax:
@@ -81,56 +92,70 @@ class BlockMax:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        postings: dict[int, tuple[list[int], list[float]]] = {}
-        for k, (ids, weights) in enumerate(vectors):
-            for i, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                at, ws = postings.setdefault(i, ([], []))
-                at.append(k)
-                ws.append(w)
-        self.postings = {}
-        for i, (at, ws) in postings.items():
-            at, ws = np.array(at), np.array(ws)
-            blocks, begins = np.unique(at // block, return_index=True)
-            self.postings[i] = (at, ws, blocks, np.append(begins, len(at)), np.maximum.reduceat(ws, begins))
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+        term = joined([i for i, _ in vectors], np.int32)
+        order = np.argsort(term, kind="stable")
+        term = term[order]
+        self.place = np.repeat(np.arange(self.n, dtype=np.int32), [len(i) for i, _ in vectors])[order]
+        self.weight = joined([w for _, w in vectors], np.float64)[order]
+        blocks = self.place // block
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (blocks[1:] != blocks[:-1])
+        begins = np.flatnonzero(new)
+        # a part is one term's postings in one block
+        self.part_block, self.part_begin = blocks[begins], np.append(begins, len(term))
+        self.part_most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
+        self.terms = int(term[-1]) + 1 if len(term) else 0
+        self.first = np.searchsorted(term[begins], np.arange(self.terms + 1))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest that share a term, nearest first, ties to the smaller place."""
-        terms = [(w, self.postings[i]) for i, w in zip(ids.tolist(), weights.tolist(), strict=True) if i in self.postings]
-        if not terms:
-            return np.zeros(0, np.int64), np.zeros(0)
-        upper = np.zeros(-(-self.n // self.block))
-        for w, (_, _, blocks, _, most) in terms:
-            upper[blocks] += w * most
+        known = ids < self.terms
+        ids, weights = ids[known], weights[known]
+        sizes = self.first[ids + 1] - self.first[ids]
+        parts, w = ranges(self.first[ids], sizes), np.repeat(weights, sizes)
+        blocks = self.part_block[parts]
+        upper = np.bincount(blocks, w * self.part_most[parts], minlength=-(-self.n // self.block))
+        order = np.argsort(-upper, kind="stable")
+        order = order[upper[order] > 0]
         at, score = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-upper, kind="stable").tolist():
-            if upper[b] <= 0 or len(at) == k and upper[b] < score[-1] - 1e-12:
-                break
-            own = np.zeros(self.block)
-            for w, (places, ws, blocks, begins, _) in terms:
-                j = int(np.searchsorted(blocks, b))
-                if j < len(blocks) and blocks[j] == b:
-                    lo, hi = begins[j], begins[j + 1]
-                    own[places[lo:hi] - b * self.block] += w * ws[lo:hi]
+        begin, step = 0, 8
+        while begin < len(order):
+            now = order[begin : begin + step]
+            if len(at) == k:
+                now = now[upper[now] >= score[-1] - 1e-12]
+                if not len(now):
+                    break
+            begin, step = begin + step, 4 * step
+            chosen = np.zeros(len(upper), bool)
+            chosen[now] = True
+            mine = chosen[blocks]
+            of = parts[mine]
+            many = self.part_begin[of + 1] - self.part_begin[of]
+            posts = ranges(self.part_begin[of], many)
+            own = np.bincount(self.place[posts], np.repeat(w[mine], many) * self.weight[posts], minlength=self.n)
             hit = np.flatnonzero(own > 0)
-            at, score = np.append(at, hit + b * self.block), np.append(score, own[hit])
+            at, score = np.append(at, hit), np.append(score, own[hit])
             best = np.lexsort((at, -np.round(score, 12)))[:k]
             at, score = at[best], score[best]
         return at, score
 
 
 class Model:
-    """Terms, index, label counts of each indexed vector and the fitted steps from votes to scores."""
+    """Terms, index, label counts of each indexed vector and the fitted steps from votes to scores.
 
-    def __init__(self, ids: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int = NEIGHBOURS):
+    ``examples`` are document, label, term ids in order and their counts."""
+
+    def __init__(self, ids: dict[str, int], idf: np.ndarray, examples: Iterator[tuple[int, int, np.ndarray, np.ndarray]], k: int = NEIGHBOURS):
         self.ids, self.idf, self.k = ids, idf, k
         groups: dict[tuple, list] = {}
         self.none = [0, 0]
-        for doc, label, counts in examples:
-            if not counts:
+        for doc, label, terms, counts in examples:
+            if not len(terms):
                 self.none[0] += 1
                 self.none[1] += label
                 continue
-            g = groups.setdefault(tuple(sorted(counts.items())), [0, 0, doc])
+            g = groups.setdefault((terms.astype(">i4").tobytes(), counts.astype(">i4").tobytes()), [0, 0, doc])
             g[0] += 1
             g[1] += label
             g[2] = min(g[2], doc)
@@ -138,14 +163,32 @@ class Model:
         self.rows = np.array([groups[x][0] for x in keys], float)
         self.toxic = np.array([groups[x][1] for x in keys], float)
         self.docs = [groups[x][2] for x in keys]
-        self.index = BlockMax([vector(Counter(dict(x)), idf) for x in keys])
+        # one after the other and small, for this is what is sent; the index is built where it is used
+        self.offsets = np.cumsum([0, *(len(t) // 4 for t, _ in keys)])
+        self.terms = np.frombuffer(b"".join(t for t, _ in keys), ">i4").astype(np.int32)
+        counts = np.frombuffer(b"".join(c for _, c in keys), ">i4")
+        self.counts = counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.int32)
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
-        votes = []
-        for place, x in enumerate(keys):  # each example is voted on by the others
-            for label, many in ((1, self.toxic[place]), (0, self.rows[place] - self.toxic[place])):
-                if many:
-                    votes.append((self.vote(*vector(Counter(dict(x)), idf), without=(place, label))[0], label, many))
-        self.fit(votes)
+        self.built: BlockMax | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"built": None}
+
+    @property
+    def index(self) -> BlockMax:
+        if self.built is None:
+            self.built = BlockMax([self.example(i) for i in range(len(self.docs))])
+        return self.built
+
+    def example(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.offsets[place], self.offsets[place + 1])
+        return weighted(self.terms[own].astype(np.int64), self.counts[own].astype(float), self.idf)
+
+    def votes_on(self, place: int) -> Iterator[tuple[float, int, float]]:
+        """The vote of the other examples on one, its label and how many rows it stands for."""
+        for label, many in ((1, self.toxic[place]), (0, self.rows[place] - self.toxic[place])):
+            if many:
+                yield self.vote(*self.example(place), without=(place, label))[0], label, many
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, without: tuple[int, int] | None = None):
         at, near = self.index.nearest(ids, weights, self.k + (without is not None))
@@ -213,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     n0, n1 = sizes.get(False, 0), sizes.get(True, 0)
     ids: dict[str, int] = {}
     idf = np.zeros(0)
+    spark = docs.sparkSession
     if n0 and n1:
         seen = rows.mapInArrow(present, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
         part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
@@ -220,22 +264,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         cells = [(F.col("t"), n1, df), (F.col("c"), n0, df), (n1 - F.col("t"), n1, n - df), (n0 - F.col("c"), n0, n - df)]
         g2 = 2 * sum((part(o, side * total / n) for o, side, total in cells), F.lit(0.0))
         lift = ((F.col("t") + 0.5) / (n1 + 1)) / ((F.col("c") + 0.5) / (n0 + 1))
-        kept = seen.where((df >= LEAST_DOCS) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))).withColumns({"g2": g2, "df": df})
-        best = kept.where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS).select("term", "df").collect()
-        ids = {r.term: i for i, r in enumerate(best)}
-        idf = np.array([math.log((1 + n) / (1 + r.df)) + 1 for r in best])
+        seen = seen.withColumns({"g2": g2, "df": df, "lift": lift, "beginning": F.col("term").endswith("*")})
+        tied = ((F.col("lift") >= LEAST_LIFT) | (F.col("lift") <= 1 / LEAST_LIFT)) & (F.col("g2") >= LEAST_G2) & (F.col("df") >= LEAST_DOCS)
+        first = seen.where(F.col("beginning") & tied).orderBy(F.desc("g2"), "term").limit(TERMS)
+        kept = seen.where(~F.col("beginning") & (F.col("df") >= WORD_DOCS)).unionByName(first)  # bounded by the words of the sample
+        best = kept.select("term", "df", "g2", "lift").toArrow().sort_by([("g2", "descending"), ("term", "ascending")])
+        ids = {t: i for i, t in enumerate(best.column("term").to_pylist())}
+        many, g2, lift = (best.column(c).to_numpy() for c in ("df", "g2", "lift"))
+        tie = np.sqrt(np.maximum(0, g2 - LEAST_G2)) * np.minimum(1, np.abs(np.log(lift)) / math.log(LEAST_LIFT))
+        idf = (np.log((1 + n) / (1 + many)) + 1) * (1 + tie)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(ids)
         for block in text_blocks(batches, text):
             counts = [terms.count(t) for t in strings(block.column(text))]
             yield pa.RecordBatch.from_arrays(
-                [block.column(key), block.column("label"), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
+                [block.column(key), block.column("label"), pa.array([sorted(c) for c in counts], pa.list_(pa.int32())), pa.array([[c[i] for i in sorted(c)] for c in counts], pa.list_(pa.int32()))],
                 names=["id", "label", "terms", "counts"],
             )
 
-    vectors = rows.mapInArrow(counted, f"id {docs.schema[key].dataType.simpleString()}, label int, terms array<int>, counts array<int>").collect()  # at most `sample`
-    return Model(ids, idf, [(r.id, int(r.label > 0), dict(zip(r.terms, r.counts, strict=True))) for r in vectors], k)
+    vectors = rows.mapInArrow(counted, f"id {docs.schema[key].dataType.simpleString()}, label int, terms array<int>, counts array<int>").toArrow()  # at most `sample`
+
+    def examples() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for batch in vectors.to_batches():
+            for i, y, t, c in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("terms"), batch.column("counts"), strict=True):
+                yield i, int(y > 0), t.values.to_numpy(), c.values.to_numpy()
+
+    model = Model(ids, idf, examples(), k)
+    shared = spark.sparkContext.broadcast(model)
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            got = [v for place in batch.column("id").to_pylist() for v in m.votes_on(place)]
+            yield pa.RecordBatch.from_arrays([pa.array([v[j] for v in got], t) for j, t in enumerate((pa.float64(), pa.int32(), pa.float64()))], names=["vote", "label", "many"])
+
+    votes = spark.range(0, len(model.docs), 1, VOTERS).mapInArrow(voted, "vote double, label int, many double").toArrow()
+    model.fit(list(zip(*(c.to_pylist() for c in votes.columns), strict=True)))
+    shared.destroy()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

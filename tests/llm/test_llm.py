@@ -111,6 +111,22 @@ def test_toxicity_held_out(spark):
     assert {r.predicted for r in toxicity.judged(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_without_telling_words(spark):
+    """Every word stands in clean texts too, only more seldom; all texts have neighbours."""
+    rnd = random.Random(12)
+    lean, plain = ([f"{c}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)] for c in "qz")
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(rnd.choice(lean if rnd.random() < (0.7 if bad else 0.2) else plain) for _ in range(40))))
+        labels.append((i, int(bad)))
+    rows += [(400, "zaa zab"), (401, "unseen words"), (402, None)]
+    got = {r.doc_id: r for r in toxicity.judged(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(got[i].evidence for i in range(401)) and not got[401].evidence and not got[402].evidence
+    held = [(i, y) for i, y in labels if got[i].held_out]
+    assert sum(got[i].predicted == y for i, y in held) >= 0.9 * len(held) and sum(got[i].predicted for i, y in held if y) >= 0.8 * sum(y for _, y in held)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     vs = []
