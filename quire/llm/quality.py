@@ -1,10 +1,10 @@
 """Quality rules by a hashed n-gram log-likelihood ratio (operator 3).
 
-Every text gives counts of its byte n-grams, hashed to ``BUCKETS``. One multinomial is of the trusted target (texts that a
-bounded number of labels, documented below, calls good), the other of the raw corpus, counted over all documents. A text's
+Every text gives counts of its byte n-grams, hashed to ``BUCKETS``. One multinomial is of the trusted target (all texts that
+labels call good), the other of the raw corpus, counted over all documents. Labels meet documents in a join. A text's
 score is the mean log ratio of its n-grams, so length does not matter; it is kept if the score reaches a threshold that is
 fixed once for all documents: the cut between labelled good and bad texts that errs least, where losing a good text weighs
-``LOSS`` times as much; the lowest of equal ones.
+``LOSS`` times as much; the lowest of equal ones. The cut is sought in a histogram of all labelled scores, rounded to ``DIGITS`` digits.
 
 Base counts are of whole texts. Words are ``[^\\x20\\x09-\\x0D]+``; null texts have none. A text without an n-gram scores 0.
 Without labels the target is the raw corpus, every score is 0, and the base rules decide alone. Labels that are null are
@@ -25,8 +25,7 @@ from quire.llm.shingles import SPACE, word_values
 
 GRAM = 4
 BUCKETS = 1 << 16
-#: Labelled rows that the target and the threshold are fitted on at most: those with the least hash of their id.
-SAMPLE = 20_000
+DIGITS = 4
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 10, 20
 LOSS = 10
@@ -120,38 +119,34 @@ class Ratio:
         return total / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
 
 
-def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
+def best_cut(scores: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
     """The cut with the least sum of error rates, a lost good text weighing ``LOSS`` times as much, midway between the scores
-    on its sides; minus infinity if one kind is missing."""
-    if good.all() or not good.any():
+    on its sides; minus infinity if one kind is missing. Scores are distinct and in order, with counts of good and bad texts."""
+    if not good.sum() or not bad.sum():
         return float("-inf")
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    lost = np.concatenate([[0], np.cumsum(g)]) / g.sum()  # good ones below the cut
-    let = 1 - np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
-    possible = np.concatenate([[True], s[1:] > s[:-1], [True]])
-    k = int(np.argmin(np.where(possible, LOSS * lost + let, 2.0 * LOSS)))
-    return float("-inf") if k == 0 else float("inf") if k == len(s) else float((s[k - 1] + s[k]) / 2)
+    lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()  # good ones below the cut
+    let = 1 - np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
+    k = int(np.argmin(LOSS * lost + let))
+    return float("-inf") if k == 0 else float("inf") if k == len(scores) else float((scores[k - 1] + scores[k]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, buckets: int = BUCKETS) -> Ratio:
-    """Counts over all documents and the trusted ones among the sampled labels, summed in partitions before they meet."""
-    known = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("good"))
-    few = known.orderBy(F.xxhash64(key), key).limit(sample).collect()  # at most `sample`
-    shared = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] > 0 for r in few})
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> Ratio:
+    """Counts over all documents and all trusted ones, summed in partitions before they meet."""
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("labelled")).agg((F.min(label) > 0).alias("good"))
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    meet = F.col("id") == F.col("labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = shared.value
         raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for block in text_blocks(batches, text):
-            bucket, owner = grams(block.column(text), buckets=buckets)
+        for block in text_blocks(batches, "text"):
+            bucket, owner = grams(block.column("text"), buckets=buckets)
             raw += np.bincount(bucket, minlength=buckets)
-            mine = np.array([good.get(i, False) for i in block.column(key).to_pylist()], bool)
+            mine = block.column("good").fill_null(False).to_numpy(zero_copy_only=False)
             trusted += np.bincount(bucket[mine[owner]], minlength=buckets)
         there = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(trusted[there])], names=["bucket", "raw", "trusted"])
 
-    rows = docs.select(key, text).mapInArrow(counted, "bucket long, raw long, trusted long")
+    rows = texts.join(known, meet, "left").select("text", "good").mapInArrow(counted, "bucket long, raw long, trusted long")
     rows = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect()  # at most `buckets`
     raw, trusted = np.zeros(buckets), np.zeros(buckets)
     for r in rows:
@@ -160,16 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     ratio = docs.sparkSession.sparkContext.broadcast(model)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = shared.value
-        for batch in batches:
-            mine = batch.filter(pa.array([i in good for i in batch.column(key).to_pylist()], pa.bool_()))
-            for block in text_blocks(iter([mine]), text):
-                marks = [good[i] for i in block.column(key).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ratio.value.scores(block.column(text))), pa.array(marks)], names=["score", "good"])
-
-    seen = docs.select(key, text).mapInArrow(labelled, "score double, good boolean").groupBy(F.round("score", 6).alias("score"), "good").agg(F.count("*").alias("n"))
-    seen = seen.orderBy("score", "good").collect()  # at most one row for each sampled label
-    model.threshold = best_cut(np.repeat([r.score for r in seen], [r.n for r in seen]), np.repeat([r.good for r in seen], [r.n for r in seen])) if seen else float("-inf")
+        for block in text_blocks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(ratio.value.scores(block.column("text"))), block.column("good")], names=["score", "good"])
+
+    seen = texts.join(known, meet).select("text", "good").mapInArrow(labelled, "score double, good boolean").groupBy(F.round("score", DIGITS).alias("score"))
+    seen = seen.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("score").collect()  # one row for each rounded score
+    model.threshold = best_cut(*(np.array([r[c] for r in seen], float) for c in range(3)))
     return model
 
 

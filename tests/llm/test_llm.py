@@ -177,6 +177,20 @@ def test_quality_counts_and_verdicts(spark, odd, none):
     assert all(r.kept != r.base_failed for r in quality.judged(docs, labels.limit(0)).collect())
 
 
+def test_quality_uses_all_labels(spark):
+    """Over 20,000 labels: all trusted texts are counted, and all scores are in the cut."""
+    rows = [(i, "good words" if i % 2 else "bad grams") for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    import pyarrow as pa
+
+    both = [np.bincount(quality.grams(pa.array([t]))[0], minlength=quality.BUCKETS) * 12_000.0 for t in ("good words", "bad grams")]
+    want = quality.Ratio(both[0] + both[1], both[0])
+    assert np.allclose(model.log, want.log, rtol=0, atol=1e-12)
+    good, bad = np.round(want.scores(pa.array(["good words", "bad grams"])), quality.DIGITS)
+    assert math.isclose(model.threshold, (good + bad) / 2)
+
+
 def test_quality_score_is_mean_log_ratio():
     import pyarrow as pa
 
