@@ -1,6 +1,9 @@
 """License scans by patience alignment (operator 9).
 
-A text's words that are key words of a template gather in places; around each place text and template are aligned: equal
+A text's words that are key words of a template gather in places. In a place, a copy of the template shows as key words that
+stand as far from its begin as in the template, within a quarter of its length: each such copy is aligned in a window of
+its own, so that copies in a row and everyday words around do not hide one another. A place without such a copy found is
+aligned as a whole (copies with much put between). Alignment: equal
 beginnings and ends first, then words that both hold exactly once are anchors, the longest increasing subsequence of
 anchors stays, and the gaps between anchors are aligned in the same way. Coverage is the share of the template's words
 that found a partner; a template is found where it is ``LEAST`` or more.
@@ -109,19 +112,43 @@ def aligned(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def begins(hits: list[tuple[int, str]], at: dict[str, int], drift: int) -> Iterator[tuple[int, int]]:
+    """Least and greatest place where a copy would begin by its key words, of each group within ``drift`` that holds at least
+    half of the key words ``at`` (with their places in the template), the fullest of overlapping groups."""
+    seen = sorted((i - at[w], w) for i, w in hits if w in at)
+    many: Counter = Counter()
+    stop, best = 0, None
+    for first, (low, word) in enumerate(seen):
+        if best is not None and low > best[2]:
+            yield best[1:]
+            best = None
+        while stop < len(seen) and seen[stop][0] <= low + drift:
+            many[seen[stop][1]] += 1
+            stop += 1
+        if len(many) * 2 >= len(at) and (best is None or len(many) > best[0]):
+            best = (len(many), low, seen[stop - 1][0])
+        many[word] -= 1
+        if not many[word]:
+            del many[word]
+    if best is not None:
+        yield best[1:]
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, least: float = LEAST):
         self.least = least
         self.templates = [(name, words_of(body)) for name, body in templates]
         self.keys = [frozenset(words) - COMMON for _, words in self.templates]
         self.any_key = frozenset().union(*self.keys)
+        # key words that a template holds once, with their places
+        self.places = [{w: j for j, w in enumerate(words) if w in keys and words.count(w) == 1} for (_, words), keys in zip(self.templates, self.keys, strict=True)]
 
     def found(self, text: str) -> list[tuple[float, int, str, int, int]]:
         """Coverage, matched words, name, first and last word (exclusive) of each place, the best first."""
         words = words_of(text)
         hits = [i for i, w in enumerate(words) if w in self.any_key]
         out = []
-        for (name, template), keys in zip(self.templates, self.keys, strict=True) if hits else ():
+        for (name, template), keys, at in zip(self.templates, self.keys, self.places, strict=True) if hits else ():
             own = [i for i in hits if words[i] in keys]
             n = len(template)
             lead = next(k for k, w in enumerate(template) if w in keys)
@@ -132,6 +159,14 @@ class Scanner:
                 place, begin = own[begin:k], k
                 if len({words[i] for i in place}) * 2 < len(keys):
                     continue
+                before, drift = len(out), n // 4 + 1
+                for low, high in begins([(i, words[i]) for i in place], at, drift):
+                    start = max(0, low - drift)
+                    pairs = aligned(words[start : high + n + drift], template)
+                    if len(pairs) >= self.least * n:
+                        out.append((len(pairs) / n, len(pairs), name, start + pairs[0][0], start + pairs[-1][0] + 1))
+                if len(out) > before:
+                    continue
                 stop = min(len(words), place[-1] + n + 1)
                 for start in (place[0] - n, place[0] - lead):  # with room before it, or where the template would begin
                     start = max(0, start)

@@ -390,6 +390,17 @@ def test_licenses(docs, odd, none):
     assert licenses.scanned(none).count() == 0
 
 
+def test_licenses_copies_in_a_row():
+    """Key words before the first copy and text after the last; each copy is judged apart."""
+    scanner = licenses.Scanner()
+    for k in (1, 4, 6, 8):
+        name, body = licenses.TEMPLATES[k]
+        n = len(licenses.words_of(body))
+        text = "this software includes a copy without restriction " + f"{body} " * 3 + "so you may not use the software without a copy of all this"
+        own = sorted(f[3:] for f in scanner.found(text) if f[1:3] == (n, name))
+        assert own == [(7 + n * c, 7 + n * c + n) for c in range(3)], (name, own)
+
+
 def test_patience_alignment_is_in_order():
     rnd = random.Random(7)
     for _ in range(200):
