@@ -163,6 +163,12 @@ class Scanner:
                 for low, high in begins([(i, words[i]) for i in place], at, drift):
                     start = max(0, low - drift)
                     pairs = aligned(words[start : high + n + drift], template)
+                    if len(pairs) >= self.least * n:  # equal words at the ends of the window may lie outside the copy
+                        middle = pairs[len(pairs) // 2]
+                        close = max(0, start + middle[0] - middle[1])
+                        near = aligned(words[close : close + n], template)
+                        if len(near) >= len(pairs):
+                            start, pairs = close, near
                     if len(pairs) >= self.least * n:
                         out.append((len(pairs) / n, len(pairs), name, start + pairs[0][0], start + pairs[-1][0] + 1))
                 if len(out) > before:
