@@ -154,11 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     model = Ratio(raw, trusted)
     ratio = docs.sparkSession.sparkContext.broadcast(model)
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(ratio.value.scores(block.column("text"))), block.column("good")], names=["score", "good"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(ratio.value.scores(block.column("text")))], names=["id", "score"])
 
-    seen = texts.join(known, meet).select("text", "good").mapInArrow(labelled, "score double, good boolean").groupBy(F.round("score", DIGITS).alias("score"))
+    scores = texts.mapInArrow(scored, f"id {docs.schema[key].dataType.simpleString()}, score double")  # no text is shuffled for the cut
+    seen = scores.join(known, meet).groupBy(F.round("score", DIGITS).alias("score"))
     seen = seen.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("score").collect()  # one row for each rounded score
     model.threshold = best_cut(*(np.array([r[c] for r in seen], float) for c in range(3)))
     return model
