@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, licenses, minhash, packing, quality, repeats, secrets, toxicity, urls, vectors
+from quire.llm import bpe, lexical, licenses, minhash, packing, periods, quality, repeats, secrets, toxicity, urls, vectors, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,18 @@ def op10_prefix_forest(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_license_alignment")
 def op9_license_alignment(spark: SparkSession, root: str) -> DataFrame:
     return licenses.scanned(table(spark, root, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    return periods.digest(periods.periodic(table(spark, root, "documents"), repeat=True))
+
+
+@query("op12_document_tree", lexical.oracle_sql())
+def op12_document_tree(spark: SparkSession, root: str) -> DataFrame:
+    return lexical.ranked(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query("op13_window_dedup", windows.oracle_sql())
+def op13_window_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return windows.digest(windows.without_windows(table(spark, root, "documents")))
