@@ -2,10 +2,9 @@
 
 Terms are all words of at least ``WORD_DOCS`` training rows, and beginnings (four to eight letters) of longer words, as far as
 their presence is associated with the label (G-squared and lift over the training rows). Examples are TF-IDF vectors over
-these terms, in which association is a weight, in a block-max inverted index: each term's postings lie in blocks of
-examples with their greatest weight, blocks are visited in the order of their upper bounds, some at a time, and the
-search ends when no bound reaches the k-th best: the neighbours are the exact ones. Their labels are voted with their
-cosines as weights; votes become probabilities by a monotone fit on votes that the examples get from the others. The
+these terms, in which association is a weight, in a block-max inverted index: postings of the rarer terms are summed, the
+greatest weights of blocks of examples bound what common terms add, and only examples whose bound reaches the k-th best
+are completed: the neighbours are the exact ones. Their labels are voted with their cosines as weights; votes become probabilities by a monotone fit on votes that the examples get from the others. The
 neighbours are returned as evidence.
 
 Fit: at most ``SAMPLE`` labelled rows, those with the least hash of their id, all if there are fewer. Only text is scored.
@@ -31,11 +30,12 @@ from quire.llm.blocks import strings, text_blocks
 
 SAMPLE = 16_000
 WORD_DOCS = 2
-TERMS = 4096  # beginnings at most
 LEAST_DOCS, LEAST_G2, LEAST_LIFT = 4, 20.0, 20.0
 BEGINNINGS = range(4, 9)
 NEIGHBOURS = 16
 BLOCK = 64
+COMMON = 512  # terms that are held as rows
+TOGETHER = 32  # texts that are searched at a time
 VOTERS = 12  # tasks of the votes on examples
 PRIOR = 0.1
 _WORD = re.compile(r"[^\W_]+")
@@ -57,7 +57,7 @@ def features(chunk: str) -> list[str]:
 class Terms:
     """Counts of known terms in texts; what a chunk holds is remembered."""
 
-    def __init__(self, ids: dict[str, int], most: int = 300_000):
+    def __init__(self, ids: dict[str, int], most: int = 50_000):
         self.ids, self.most, self.known = ids, most, {}
 
     def count(self, text: str) -> Counter:
@@ -88,57 +88,91 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class BlockMax:
-    """Exact nearest vectors by cosine. Vectors are in order of their terms, so that blocks are alike."""
+    """Exact nearest vectors by cosine. Vectors lie in blocks of like length, so that their weights are alike.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK):
+    The terms of most vectors (``COMMON`` of them) are held as rows of the vectors, with the greatest weight of each block;
+    the postings of all others by term. A search adds up the postings, which gives every vector's exact share of the rarer
+    terms, bounds what the common terms can add by the blocks' greatest weights, and completes only vectors whose bound
+    reaches the k-th best, in 64 bits.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK, common: int = COMMON):
         self.n, self.block = len(vectors), block
-        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-        term = joined([i for i, _ in vectors], np.int32)
+        sizes = np.array([len(i) for i, _ in vectors], np.int64)
+        self.place = np.argsort(sizes, kind="stable").astype(np.int32)  # the vector at each inner place
+        inner = np.empty(self.n, np.int32)
+        inner[self.place] = np.arange(self.n, dtype=np.int32)
+        term = np.concatenate([np.zeros(0, np.int32), *(i.astype(np.int32) for i, _ in vectors)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        at = np.repeat(inner, sizes)
+        df = np.bincount(term)
+        self.terms = len(df)
+        most = np.sort(np.argsort(-df, kind="stable")[:common])
+        self.row = np.full(self.terms, -1, np.int32)  # the column of a common term
+        self.row[most] = np.arange(len(most), dtype=np.int32)
+        own = self.row[term] >= 0
+        self.dense = np.zeros((self.n, len(most)), np.float32)
+        self.dense[at[own], self.row[term[own]]] = weight[own]
+        self.rest = np.zeros_like(self.dense)  # what 32 bits leave of the weights
+        self.rest[at[own], self.row[term[own]]] = weight[own] - weight[own].astype(np.float32)
+        blocks = np.arange(0, self.n, block)
+        self.most = np.maximum.reduceat(self.dense, blocks, axis=0) if self.n else self.dense
+        term, at, weight = term[~own], at[~own], weight[~own]
         order = np.argsort(term, kind="stable")
-        term = term[order]
-        self.place = np.repeat(np.arange(self.n, dtype=np.int32), [len(i) for i, _ in vectors])[order]
-        self.weight = joined([w for _, w in vectors], np.float64)[order]
-        blocks = self.place // block
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (blocks[1:] != blocks[:-1])
-        begins = np.flatnonzero(new)
-        # a part is one term's postings in one block
-        self.part_block, self.part_begin = blocks[begins], np.append(begins, len(term))
-        self.part_most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
-        self.terms = int(term[-1]) + 1 if len(term) else 0
-        self.first = np.searchsorted(term[begins], np.arange(self.terms + 1))
+        self.at, self.weight = at[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(self.terms + 1))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest that share a term, nearest first, ties to the smaller place."""
-        known = ids < self.terms
-        ids, weights = ids[known], weights[known]
-        sizes = self.first[ids + 1] - self.first[ids]
-        parts, w = ranges(self.first[ids], sizes), np.repeat(weights, sizes)
-        blocks = self.part_block[parts]
-        upper = np.bincount(blocks, w * self.part_most[parts], minlength=-(-self.n // self.block))
-        order = np.argsort(-upper, kind="stable")
-        order = order[upper[order] > 0]
-        at, score = np.zeros(0, np.int64), np.zeros(0)
-        begin, step = 0, 8
-        while begin < len(order):
-            now = order[begin : begin + step]
-            if len(at) == k:
-                now = now[upper[now] >= score[-1] - 1e-12]
-                if not len(now):
-                    break
-            begin, step = begin + step, 4 * step
-            chosen = np.zeros(len(upper), bool)
-            chosen[now] = True
-            mine = chosen[blocks]
-            of = parts[mine]
-            many = self.part_begin[of + 1] - self.part_begin[of]
-            posts = ranges(self.part_begin[of], many)
-            own = np.bincount(self.place[posts], np.repeat(w[mine], many) * self.weight[posts], minlength=self.n)
-            hit = np.flatnonzero(own > 0)
-            at, score = np.append(at, hit), np.append(score, own[hit])
-            best = np.lexsort((at, -np.round(score, 12)))[:k]
-            at, score = at[best], score[best]
-        return at, score
+        return self.nearest_of([(ids, weights)], k)[0]
+
+    def nearest_of(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for several vectors, which meet each block together."""
+        if not self.n or not self.terms:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked]
+        blocks = len(self.most)
+        share = np.zeros((len(asked), blocks * self.block))
+        common = np.zeros((len(asked), self.dense.shape[1]))
+        for q, (ids, weights) in enumerate(asked):
+            known = ids < self.terms
+            ids, weights = ids[known], weights[known]
+            column = self.row[ids]
+            rare = column < 0
+            common[q, column[~rare]] = weights[~rare]
+            many = self.first[ids[rare] + 1] - self.first[ids[rare]]
+            posts = ranges(self.first[ids[rare]], many)
+            share[q] = np.bincount(self.at[posts], np.repeat(weights[rare], many) * self.weight[posts], minlength=share.shape[1])
+        short = common.astype(np.float32)
+        upper = share.reshape(len(asked), blocks, self.block).max(2) + (short @ self.most.T) * 1.00001 + 1e-6  # of 32-bit sums
+        score = np.full(share.shape, -1.0)
+        floor = np.full(len(asked), 1e-9)
+        order = np.argsort(-upper, axis=1)[:, : 2 + k // self.block * 2]
+        todo = np.zeros(upper.shape, bool)
+        np.put_along_axis(todo, order, True, axis=1)
+        done = np.zeros(upper.shape, bool)
+        for last in (False, True):  # the most promising blocks give a floor, then all that reach it
+            for b in np.flatnonzero(todo.any(0)):
+                own = np.flatnonzero(todo[:, b])
+                at = slice(b * self.block, min((b + 1) * self.block, self.n))
+                score[own, at] = share[own, at] + short[own] @ self.dense[at].T
+            if not last:
+                for q in range(len(asked)):
+                    some = score[q][score[q] >= 0]
+                    if len(some) >= k:
+                        floor[q] = max(floor[q], np.partition(some, -k)[-k] - 1e-5)
+                todo = (upper >= floor[:, None]) & ~todo
+        out = []
+        for q in range(len(asked)):
+            hit = np.flatnonzero(score[q] >= floor[q])
+            if len(hit) > k:
+                hit = hit[score[q, hit] >= np.partition(score[q, hit], -k)[-k] - 1e-5]
+            column = np.flatnonzero(common[q])
+            rows = self.dense[hit[:, None], column].astype(np.float64) + self.rest[hit[:, None], column]
+            exact = share[q, hit] + rows @ common[q, column]
+            hit, exact = hit[exact > 0], exact[exact > 0]
+            best = np.lexsort((self.place[hit], -np.round(exact, 12)))[:k]
+            out.append((self.place[hit[best]].astype(np.int64), exact[best]))
+        return out
 
 
 class Model:
@@ -184,20 +218,23 @@ class Model:
         own = slice(self.offsets[place], self.offsets[place + 1])
         return weighted(self.terms[own].astype(np.int64), self.counts[own].astype(float), self.idf)
 
-    def votes_on(self, place: int) -> Iterator[tuple[float, int, float]]:
-        """The vote of the other examples on one, its label and how many rows it stands for."""
-        for label, many in ((1, self.toxic[place]), (0, self.rows[place] - self.toxic[place])):
-            if many:
-                yield self.vote(*self.example(place), without=(place, label))[0], label, many
-
-    def vote(self, ids: np.ndarray, weights: np.ndarray, without: tuple[int, int] | None = None):
-        at, near = self.index.nearest(ids, weights, self.k + (without is not None))
+    def votes_on(self, places: list[int]) -> Iterator[tuple[float, int, float]]:
+        """The vote of the other examples on each, its label and how many rows it stands for."""
+        for begin in range(0, len(places), TOGETHER):
+            some = places[begin : begin + TOGETHER]
+            for place, (at, near) in zip(some, self.index.nearest_of([self.example(p) for p in some], self.k + 1), strict=True):
+                for label, many in ((1, self.toxic[place]), (0, self.rows[place] - self.toxic[place])):
+                    if many:
+                        yield self.vote(at, near, (place, label)), label, many
+
+    def vote(self, at: np.ndarray, near: np.ndarray, without: tuple[int, int] | None = None) -> float:
+        """The toxic share of neighbours, weighted by cosine; -1 if there are none."""
         rows, toxic = self.rows[at], self.toxic[at]
         if without is not None:
             own = at == without[0]
             rows, toxic = rows - own, toxic - own * without[1]
         total = float(near @ rows)
-        return (float(near @ toxic) / total if total > 0 else -1.0), at, near
+        return float(near @ toxic) / total if total > 0 else -1.0
 
     def rate(self, rows: float, toxic: float) -> float:
         return (toxic + PRIOR) / (rows + 1)
@@ -213,16 +250,18 @@ class Model:
                 pools[-1][2] += t2
         self.steps = (np.array([p[0] for p in pools]), np.array([self.rate(p[1], p[2]) for p in pools]))
 
-    def score(self, counts: Counter):
-        ids, weights = vector(counts, self.idf)
-        if not len(ids):
-            return self.rate(*self.none), []
-        v, at, near = self.vote(ids, weights)
+    def scores(self, counts: list[Counter]) -> list[tuple[float, list[tuple[int, float, float]]]]:
+        """The score of each text's terms, and its neighbours with cosines and labels."""
         starts, values = self.steps
-        if not len(starts):
-            return self.rate(*self.none), []
-        score = float(values[max(0, int(np.searchsorted(starts, v, side="right")) - 1)])
-        return score, [(self.docs[i], s, float(self.toxic[i] / self.rows[i])) for i, s in zip(at.tolist(), near.tolist(), strict=True)]
+        out: list = [(self.rate(*self.none), [])] * len(counts)
+        full = [i for i, c in enumerate(counts) if c] if len(starts) else []
+        for begin in range(0, len(full), TOGETHER):
+            some = full[begin : begin + TOGETHER]
+            for i, (at, near) in zip(some, self.index.nearest_of([vector(counts[i], self.idf) for i in some], self.k), strict=True):
+                step = int(np.searchsorted(starts, self.vote(at, near), side="right")) - 1
+                share = self.toxic[at] / self.rows[at]
+                out[i] = float(values[max(0, step)]), [(self.docs[j], s, y) for j, s, y in zip(at.tolist(), near.tolist(), share.tolist(), strict=True)]
+        return out
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, sample: int) -> DataFrame:
@@ -266,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         lift = ((F.col("t") + 0.5) / (n1 + 1)) / ((F.col("c") + 0.5) / (n0 + 1))
         seen = seen.withColumns({"g2": g2, "df": df, "lift": lift, "beginning": F.col("term").endswith("*")})
         tied = ((F.col("lift") >= LEAST_LIFT) | (F.col("lift") <= 1 / LEAST_LIFT)) & (F.col("g2") >= LEAST_G2) & (F.col("df") >= LEAST_DOCS)
-        first = seen.where(F.col("beginning") & tied).orderBy(F.desc("g2"), "term").limit(TERMS)
+        first = seen.where(F.col("beginning") & tied)
         kept = seen.where(~F.col("beginning") & (F.col("df") >= WORD_DOCS)).unionByName(first)  # bounded by the words of the sample
         best = kept.select("term", "df", "g2", "lift").toArrow().sort_by([("g2", "descending"), ("term", "ascending")])
         ids = {t: i for i, t in enumerate(best.column("term").to_pylist())}
@@ -296,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            got = [v for place in batch.column("id").to_pylist() for v in m.votes_on(place)]
+            got = list(m.votes_on(batch.column("id").to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([v[j] for v in got], t) for j, t in enumerate((pa.float64(), pa.int32(), pa.float64()))], names=["vote", "label", "many"])
 
     votes = spark.range(0, len(model.docs), 1, VOTERS).mapInArrow(voted, "vote double, label int, many double").toArrow()
@@ -315,7 +354,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         terms = Terms(m.ids)
         kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.float64())]))
         for block in text_blocks(batches, text):
-            got = [m.score(terms.count(t)) for t in strings(block.column(text))]
+            got = m.scores([terms.count(t) for t in strings(block.column(text))])
             told = [[{"example": d, "cosine": c, "label": y} for d, c, y in e] for _, e in got]
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in kept), pa.array([s for s, _ in got], pa.float64()), pa.array(told, kind)], names=[*kept, "score", "evidence"])
 
