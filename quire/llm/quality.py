@@ -1,7 +1,8 @@
 """Quality rules by a hashed n-gram log-likelihood ratio (operator 3).
 
 Every text gives counts of its byte n-grams, hashed to ``BUCKETS``. One multinomial is of the trusted target (all texts that
-labels call good), the other of the raw corpus, counted over all documents. Labels meet documents in a join. A text's
+labels call good), the other of the raw corpus, counted over all documents. Only texts that a filter of the good ids lets through
+meet the labels in a join. A text's
 score is the mean log ratio of its n-grams, so length does not matter; it is kept if the score reaches a threshold that is
 fixed once for all documents: the cut between labelled good and bad texts that errs least, where losing a good text weighs
 ``LOSS`` times as much; the lowest of equal ones. The cut is sought in a histogram of all labelled scores, rounded to ``DIGITS`` digits.
@@ -25,6 +26,7 @@ from quire.llm.shingles import SPACE, word_values
 
 GRAM = 4
 BUCKETS = 1 << 16
+FILTER_BITS = 1 << 24  # of labelled ids, 2 MB
 DIGITS = 4
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -130,6 +132,28 @@ def best_cut(scores: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
     return float("-inf") if k == 0 else float("inf") if k == len(scores) else float((scores[k - 1] + scores[k]) / 2)
 
 
+def likely(texts: DataFrame, good: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Texts whose id may be in ``good``, by a Bloom filter: only they need to move to the labels. None that is in is lost;
+    where ids fill the filter, more texts move."""
+    places = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(2)]
+    ids = good.select(F.col("labelled").alias("id")).select(F.explode(F.array(*places)).alias("at"))
+    words = ids.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(table)  # of fixed size
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = np.ones(batch.num_rows, bool)
+            for name in ("p0", "p1"):
+                at = batch.column(name).to_numpy()
+                there &= shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) > 0
+            yield batch.select(["id", "text"]).filter(pa.array(there))
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.where(F.col("id").isNotNull()).select("id", "text", *(p.alias(f"p{k}") for k, p in enumerate(places))).mapInArrow(kept, f"id {kind}, text string")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> Ratio:
     """Counts over all documents and all trusted ones, summed in partitions before they meet."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("labelled")).agg((F.min(label) > 0).alias("good"))
@@ -137,20 +161,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     meet = F.col("id") == F.col("labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        found = np.zeros(buckets, np.int64)
         for block in text_blocks(batches, "text"):
-            bucket, owner = grams(block.column("text"), buckets=buckets)
-            raw += np.bincount(bucket, minlength=buckets)
-            mine = block.column("good").fill_null(False).to_numpy(zero_copy_only=False)
-            trusted += np.bincount(bucket[mine[owner]], minlength=buckets)
-        there = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(trusted[there])], names=["bucket", "raw", "trusted"])
-
-    rows = texts.join(known, meet, "left").select("text", "good").mapInArrow(counted, "bucket long, raw long, trusted long")
-    rows = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect()  # at most `buckets`
-    raw, trusted = np.zeros(buckets), np.zeros(buckets)
-    for r in rows:
-        raw[r.bucket], trusted[r.bucket] = r.raw, r.trusted
+            found += np.bincount(grams(block.column("text"), buckets=buckets)[0], minlength=buckets)
+        there = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(found[there])], names=["bucket", "n"])
+
+    def sums(rows: DataFrame) -> np.ndarray:
+        out = np.zeros(buckets)
+        for r in rows.select("text").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most `buckets`
+            out[r.bucket] = r.n
+        return out
+
+    good = known.where("good").select("labelled")
+    raw, trusted = sums(texts), sums(likely(texts, good).join(good.hint("merge"), meet, "left_semi"))
     model = Ratio(raw, trusted)
     ratio = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -159,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(ratio.value.scores(block.column("text")))], names=["id", "score"])
 
     scores = texts.mapInArrow(scored, f"id {docs.schema[key].dataType.simpleString()}, score double")  # no text is shuffled for the cut
-    seen = scores.join(known, meet).groupBy(F.round("score", DIGITS).alias("score"))
+    seen = scores.join(known.hint("merge"), meet).groupBy(F.round("score", DIGITS).alias("score"))
     seen = seen.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("score").collect()  # one row for each rounded score
     model.threshold = best_cut(*(np.array([r[c] for r in seen], float) for c in range(3)))
     return model
