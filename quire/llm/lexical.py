@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from quire.llm.blocks import text_blocks
-from quire.llm.words import MARKS, Words
+from quire.llm.words import MARKS, WORD_BLOCK, Words
 
 TOP = 20
 #: Items of a block, documents of a leaf, bytes of texts of one tree.
@@ -62,7 +62,7 @@ def statistics(df: DataFrame, known: np.ndarray, key: str, text: str) -> tuple[i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, many = np.zeros(len(asked.value), np.int64), 0, 0
-        for block in text_blocks(batches, text):
+        for block in text_blocks(batches, text, WORD_BLOCK):
             found, begins = terms(block.column(text))
             sizes = np.diff(begins)
             held += int((sizes > 0).sum())
@@ -246,7 +246,7 @@ def found(docs: DataFrame, asked: list[tuple[int, Counter]], top: int, key: str,
 def trees(batches: Iterator[pa.RecordBatch], key: str, text: str, known: np.ndarray) -> Iterator[tuple]:
     """Restricted vectors of about ``TREE_BYTES`` of texts: ids, then term, text and tf of each entry, then the texts' numbers of terms."""
     held, size, base = [], 0, 0
-    for block in text_blocks(batches, text):
+    for block in text_blocks(batches, text, WORD_BLOCK):
         values, begins = terms(block.column(text))
         place, of, tf = restricted(values, begins, known)
         held.append((block.column(key).to_numpy(zero_copy_only=False).astype(np.int64), place, of + base, tf, np.diff(begins)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import mix, text_blocks
-from quire.llm.words import Words
+from quire.llm.words import WORD_BLOCK, Words
 
 LEAST = 24
 FIRST_LEVEL = 8
@@ -107,7 +107,7 @@ def periodic(df: DataFrame, key: str = "doc_id", text: str = "text", least: int
     run after its first period. ``repeat`` first rewrites texts as ``rewritten`` says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, "text", WORD_BLOCK):
             words = Words(block.column("text"))
             values, begins, counts = words.values(), words.begins, words.counts()
             take = np.arange(len(values))

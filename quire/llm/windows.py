@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import mix, text_blocks
-from quire.llm.words import Words, grams
+from quire.llm.words import WORD_BLOCK, Words, grams
 
 SIZE = 13
 BITS, LEAST_BITS = 30, 20
@@ -115,7 +115,7 @@ def sketch(df: DataFrame, bits: int, size: int = SIZE, key: str = "doc_id", text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketch(bits)
-        for block in text_blocks(batches, text):
+        for block in text_blocks(batches, text, WORD_BLOCK):
             words, first, hashes, _ = block_windows(block.column(text), size)
             text_of = words.owners()[first]
             order = np.lexsort((hashes, text_of))
@@ -206,7 +206,7 @@ def keepers(df: DataFrame, estimates: Broadcast, bits: int, shards: int, size: i
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, many = Estimates(estimates.value, bits), [], 0
-        for block in text_blocks(batches, text):
+        for block in text_blocks(batches, text, WORD_BLOCK):
             words, first, one, two = block_windows(block.column(text), size)
             again = known.repeated(one)
             ids = block.column(key).to_numpy(zero_copy_only=False).astype(np.int64)[words.owners()[first[again]]]
@@ -254,7 +254,7 @@ def without_windows(df: DataFrame, size: int = SIZE, key: str = "doc_id", text:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Estimates(estimates.value, bits)
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, "text", WORD_BLOCK):
             words, first, one, _ = block_windows(block.column("text"), size)
             owners, ids = words.owners(), block.column("key")
             stays = block.column("stays")

@@ -13,6 +13,8 @@ _BACK = pow(_STEP, -1, 2**64)
 #: Bytes between words ``[^\x20\x09-\x0D]+``, and bytes between terms (all of ASCII but letters and digits).
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
+#: Bytes of texts whose words are taken at a time: each byte needs some thirty for a moment.
+WORD_BLOCK = 2 << 20
 MARKS = np.zeros(256, bool)
 MARKS[:128] = [not chr(c).isalnum() for c in range(128)]
 
