@@ -274,7 +274,8 @@ def kept_bytes(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> bytes
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept_sha256`` of ``without_repeats(docs)``."""
+    """``key, n_bytes, n_removed, n_spans, kept_sha256`` of ``without_repeats(docs)``, and ``text``, the remaining bytes as text
+    (without letters that are left in part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, text):
@@ -283,12 +284,14 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             for k, ranges in enumerate(block.column("removed")):
                 own = data[offsets[k] : offsets[k + 1]]
                 begins, stops = ranges_of(ranges) if ranges.is_valid else (np.zeros(0, np.int64),) * 2
-                rows.append((len(own), int((stops - begins).sum()), len(begins), hashlib.sha256(kept_bytes(own, begins, stops)).hexdigest()))
-            n, gone, spans, sha = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([block.column(key), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha)], names=["k", "n", "r", "s", "h"])
-
-    out = docs.select(key, text, "removed").mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, n long, r long, s long, h string")
-    return out.toDF(key, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+                kept = kept_bytes(own, begins, stops)
+                rows.append((len(own), int((stops - begins).sum()), len(begins), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+            n, gone, spans, sha, left = zip(*rows, strict=True)
+            names = ["k", "n", "r", "s", "h", "t"]
+            yield pa.RecordBatch.from_arrays([block.column(key), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha), pa.array(left)], names=names)
+
+    out = docs.select(key, text, "removed").mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, n long, r long, s long, h string, t string")
+    return out.toDF(key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def trimmed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
