@@ -49,7 +49,7 @@ def op8_fast_similarity_sketch(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
-    return repeats.digest(repeats.without_repeats(table(spark, root, "documents")))
+    return repeats.digest(repeats.without_repeats(table(spark, root, "documents")), with_text=True)
 
 
 @query("op2_toxicity")

@@ -273,9 +273,9 @@ def kept_bytes(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> bytes
     return b"".join(data[a:b].tobytes() for a, b in zip(places[::2].tolist(), places[1::2].tolist(), strict=True))
 
 
-def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept_sha256`` of ``without_repeats(docs)``, and ``text``, the remaining bytes as text
-    (without letters that are left in part)."""
+def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """``key, n_bytes, n_removed, n_spans, kept_sha256`` of ``without_repeats(docs)``; ``with_text`` adds the remaining bytes as
+    ``text`` (without letters that are left in part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, text):
@@ -285,13 +285,14 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 own = data[offsets[k] : offsets[k + 1]]
                 begins, stops = ranges_of(ranges) if ranges.is_valid else (np.zeros(0, np.int64),) * 2
                 kept = kept_bytes(own, begins, stops)
-                rows.append((len(own), int((stops - begins).sum()), len(begins), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+                rows.append((len(own), int((stops - begins).sum()), len(begins), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
             n, gone, spans, sha, left = zip(*rows, strict=True)
             names = ["k", "n", "r", "s", "h", "t"]
-            yield pa.RecordBatch.from_arrays([block.column(key), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha), pa.array(left)], names=names)
+            yield pa.RecordBatch.from_arrays([block.column(key), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha), pa.array(left, pa.string())], names=names)
 
     out = docs.select(key, text, "removed").mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, n long, r long, s long, h string, t string")
-    return out.toDF(key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+    out = out.toDF(key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+    return out if with_text else out.drop("text")
 
 
 def trimmed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
