@@ -154,3 +154,50 @@ def previous(df: DataFrame, keys: list[str], segment: str, order: list[str], val
     seg = df.groupBy(*keys, segment).agg(F.max_by("_v", F.struct(*order)).alias("_v"))
     past = _carry_segments(seg, keys, segment, "_v", "_past")
     return df.join(past, [*keys, segment]).withColumn(out, F.coalesce("_here", "_past")).drop("_v", "_here", "_past")
+
+
+def _over(state: Column, more: Column, step: float) -> Column:
+    """What stands after ``more`` is put on ``state``: entries that its greatest size covers go, its own come on top."""
+    left = F.filter(state["stack"], lambda e: e["size"] > more["most"] + F.lit(step))
+    return F.struct(F.greatest(state["most"], more["most"]).alias("most"), F.concat(left, more["stack"]).alias("stack"))
+
+
+def _states(parts: Column, kind: str, step: float) -> Column:
+    """The state before each of the ordered parts, and the one after them all."""
+    none = F.array(F.struct(F.lit(float("-inf")).alias("most"), F.array().cast(kind).alias("stack")))
+    return F.aggregate(parts, none, lambda seen, e: F.concat(seen, F.array(_over(F.element_at(seen, -1), e, step))))
+
+
+def carry_stack(
+    df: DataFrame, keys: list[str], segment: str, order: str, size: Column, stays: Column, item: Column, step: float, out: str, block: int = 64
+) -> DataFrame:
+    """``out``: the items of a monotone stack below each row, outermost first.
+
+    A row with a ``size`` takes off what is not larger than it by more than ``step`` and is put on top, where it counts with
+    the size ``stays``; rows without one only look. A stack made over a part of the rows acts on an earlier one by its
+    greatest size alone, so parts are folded inside (key, segment) and their results across segments, in blocks.
+    """
+    df = df.withColumns({"_size": size.cast("double"), "_stays": stays.cast("double"), "_item": item})
+    kind = f"array<struct<size: double, item: {df.schema['_item'].dataType.simpleString()}>>"
+    entry = F.struct(
+        F.col(order).alias("at"), F.col("_size").alias("most"), F.array(F.struct(F.col("_stays").alias("size"), F.col("_item").alias("item"))).cast(kind).alias("stack")
+    )
+    before = _before(W.partitionBy(*keys, segment).orderBy(order))
+    df = df.withColumn("_nth", F.count("_size").over(before))
+    own = df.groupBy(*keys, segment).agg(_states(F.sort_array(F.collect_list(F.when(F.col("_size").isNotNull(), entry))), kind, step).alias("_own"))
+    end = F.element_at("_own", -1)
+    seg = own.select(*keys, segment, F.floor(F.col(segment) / block).cast("long").alias("_blk"), end["most"].alias("most"), end["stack"].alias("stack"))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(segment).alias("at"), "most", "stack")))
+    blocks = seg.groupBy(*keys, "_blk").agg(parts.alias("_parts")).withColumn("_near", _states(F.col("_parts"), kind, step))
+    last = F.element_at("_near", -1)
+    whole = blocks.select(*keys, F.struct(F.col("_blk").alias("at"), last["most"].alias("most"), last["stack"].alias("stack")).alias("p"))
+    whole = whole.groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("_parts")).withColumn("_far", _states(F.col("_parts"), kind, step))
+    far = whole.select(*keys, F.explode(F.arrays_zip(F.col("_parts.at").alias("at"), F.slice("_far", 1, F.size("_parts")).alias("far"))).alias("p"))
+    far = far.select(*keys, F.col("p.at").alias("_blk"), F.col("p.far").alias("_far"))
+    near = blocks.select(*keys, "_blk", F.explode(F.arrays_zip(F.col("_parts.at").alias("at"), F.slice("_near", 1, F.size("_parts")).alias("near"))).alias("p"))
+    past = near.join(far, [*keys, "_blk"]).select(*keys, F.col("p.at").alias(segment), _over(F.col("_far"), F.col("p.near"), step).alias("_past"))
+    local = own.select(*keys, segment, F.posexplode("_own").alias("_nth", "_here")).withColumn("_nth", F.col("_nth").cast("long"))
+    rows = df.join(local, [*keys, segment, "_nth"]).join(past, [*keys, segment])
+    full = _over(F.col("_past"), F.col("_here"), step)["stack"]
+    standing = F.when(F.col("_size").isNull(), full).otherwise(F.filter(full, lambda e: e["size"] > F.col("_size") + F.lit(step)))
+    return rows.withColumn(out, F.transform(standing, lambda e: e["item"])).drop("_size", "_stays", "_item", "_nth", "_here", "_past")

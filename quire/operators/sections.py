@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quire.functions.scans import carry_last, carry_many, islands, prefix_sum, previous
+from quire.functions.scans import carry_last, carry_stack, islands, prefix_sum, previous, running_number
 from quire.functions.text import canonical_font
 
 COLUMN = ["doc_id", "page", "col"]
@@ -47,21 +47,45 @@ def chapter_titles(lines: DataFrame, body: DataFrame, factor: float = 3.5) -> Da
     return big.join(tops, COLUMN).where("y = top").drop("top", "body_size")
 
 
+#: Points between two heading levels, and the fewest headings without text that make a contents list.
+LEVEL_STEP, CONTENTS = 0.4, 4
+
+
+def contents_lists(blocks: DataFrame, keys: list[str], segment: str, order: str, size: Column, text: str, step: float = LEVEL_STEP, least: int = CONTENTS) -> DataFrame:
+    """``blocks`` with ``listed``: headings that at least ``least - 1`` like ones without text of their own stand before."""
+    rows = blocks.withColumns({"_s": size.cast("double"), "_chars": F.when(size.isNull(), F.length(F.trim(text))).otherwise(0)})
+    rows = prefix_sum(rows, keys, segment, [order], F.col("_chars"), "_upto")
+    heads = rows.where("_s is not null").select(*keys, segment, order, "_s", "_upto")
+    heads = previous(heads, keys, segment, [order], F.struct("_s", "_upto"), "_was")
+    alike = (F.abs(F.col("_was._s") - F.col("_s")) < step) & (F.col("_upto") - F.col("_was._upto") <= 2)
+    heads = heads.withColumn("_alike", F.coalesce(alike, F.lit(False)))
+    heads = running_number(heads, keys, segment, [order], "_no")
+    heads = carry_last(heads, keys, segment, [order], F.when(~F.col("_alike"), F.col("_no")), "_open")
+    heads = heads.select(*keys, order, (F.col("_no") - F.col("_open") >= least - 1).alias("listed"))
+    return rows.drop("_s", "_chars", "_upto").join(heads, [*keys, order], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
 def section_path(blocks: DataFrame, keys: list[str], segment: str, order: str, level: Column, label: str) -> DataFrame:
-    """Ancestors of each row: per level the last heading, unless a higher heading came after it. Levels are those of the data."""
-    blocks = blocks.withColumn("_l", level)
-    levels = [r[0] for r in blocks.select("_l").where("_l is not null").distinct().orderBy("_l").collect()]
-    marks = {f"l{i}": F.when(F.col("_l") == i, F.struct(F.col(order).alias("at"), F.col(label).alias("name"))) for i in levels}
-    rows = carry_many(blocks, keys, segment, [order], marks) if marks else blocks
-    parts = []
-    for i in levels:
-        higher = [F.coalesce(F.col(f"l{j}.at"), F.lit(-1)) for j in levels if j < i]
-        alive = F.col(f"l{i}.at") > (F.greatest(F.lit(-1), *higher) if higher else F.lit(-1))
-        # a heading is not its own ancestor
-        own = F.col("_l").isNotNull() & (F.col(f"l{i}.at") == F.col(order))
-        parts.append(F.when(alive & ~own, F.col(f"l{i}.name")))
-    path = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
-    return rows.withColumn("path", path).drop("_l", *marks)
+    """``size_path`` for headings that tell their level, 1 for the highest."""
+    return size_path(blocks, keys, segment, order, -level, label)
+
+
+def size_path(
+    blocks: DataFrame, keys: list[str], segment: str, order: str, size: Column, label: str, listed: Column | None = None,
+    until: Column | None = None, step: float = LEVEL_STEP,
+) -> DataFrame:
+    """``path``: the headings each row stands under, outermost first, by type size.
+
+    A heading ends all sections whose heading is not larger by more than ``step``. One that is ``listed`` in a contents list
+    heads only the text up to the next heading. ``until`` is where a caption's section ends with its table (null: it does not).
+    Sizes may be any number of different ones. ``keys`` and ``order`` name a row; rows without a size are text.
+    """
+    stays = size if listed is None else F.when(listed, F.lit(-1e300)).otherwise(size)  # below every size, above none at all
+    last = F.lit(None).cast(blocks.schema[order].dataType) if until is None else until
+    item = F.struct(F.col(label).alias("name"), last.alias("until"))
+    rows = carry_stack(blocks, keys, segment, order, size, stays, item, step, "_above")
+    open_ = F.filter("_above", lambda e: e["until"].isNull() | (F.col(order) < e["until"]))
+    return rows.withColumn("path", F.transform(open_, lambda e: e["name"])).drop("_above")
 
 
 def fields(lines: DataFrame, keys: list[str], segment: str, order: str) -> DataFrame:

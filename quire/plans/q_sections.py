@@ -65,6 +65,23 @@ def _(t):
     return out.select("page_id", "n", F.array_join("path", " > ").alias("path"))
 
 
+@query("g3_size_path", """
+WITH b AS (SELECT *, 36.0 - 6 * TRY_CAST(regexp_extract(tag, '^h([0-9])$', 1) AS INT) + (n % 3) * 0.25 AS size FROM v_blocks),
+u AS (SELECT *, sum(CASE WHEN size IS NULL THEN length(trim(text)) ELSE 0 END) OVER (PARTITION BY page_id ORDER BY n) AS upto FROM b),
+h AS (SELECT *, coalesce(abs(size - lag(size) OVER w) < 0.4 AND upto - lag(upto) OVER w <= 2, false) AS alike FROM u WHERE size IS NOT NULL WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+c AS (SELECT *, alike AND coalesce(lag(alike) OVER w, false) AND coalesce(lag(alike, 2) OVER w, false) AS listed FROM h WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+above AS (SELECT b.page_id, b.n, c.n AS hn, c.text FROM b JOIN c ON c.page_id = b.page_id AND c.n < b.n
+  WHERE NOT EXISTS (SELECT 1 FROM c k WHERE k.page_id = b.page_id AND k.n > c.n AND k.n <= b.n AND (c.listed OR c.size <= k.size + 0.4)))
+SELECT page_id, n, coalesce(string_agg(above.text, ' > ' ORDER BY hn), '') AS path FROM b LEFT JOIN above USING (page_id, n) GROUP BY ALL""")
+def _(t):
+    """Heading tags as type sizes, those of one tag slightly apart."""
+    blocks, level = leveled(t)
+    blocks = blocks.withColumn("size", F.lit(36.0) - 6 * level + (F.col("n") % 3) * 0.25)
+    rows = G.contents_lists(blocks, ["page_id"], "seg", "n", F.col("size"), "text")
+    out = G.size_path(rows, ["page_id"], "seg", "n", F.col("size"), "text", F.col("listed"))
+    return out.select("page_id", "n", F.array_join("path", " > ").alias("path"))
+
+
 @query("g4_fields", r"""
 WITH e AS (SELECT doc_id, quantile_disc("right", 0.9) AS edge FROM v_field_lines GROUP BY ALL),
 l AS (SELECT f.*, regexp_extract(text, '^(\p{Lu}[\p{L} ]{1,30}): (.*)$', 1) AS label, "right" >= edge OR regexp_matches(text, '[,\-(]$') AS goes FROM v_field_lines f JOIN e USING (doc_id)),
