@@ -81,14 +81,46 @@ def _(t):
     return R.region_columns(runs, R.own_layout(runs)).select("doc_id", "page", "ord", "column")
 
 
-@query("b16_cut_regions", """
-WITH a AS (SELECT *, sum(CASE WHEN d > 26 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, ord) AS n1
-  FROM (SELECT *, lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, ord) - y AS d FROM v_spanned_runs)),
-b AS (SELECT *, sum(CASE WHEN x - reach >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, n1 ORDER BY x, ord) AS n2
-  FROM (SELECT *, max(x + width) OVER (PARTITION BY doc_id, page, n1 ORDER BY x, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a))
-SELECT doc_id, page, ord, 'r.' || lpad(n1::BIGINT::VARCHAR, 10, '0') || '.' || lpad(n2::BIGINT::VARCHAR, 10, '0') AS region FROM b""")
+EDGES = """
+starts AS (SELECT doc_id, page, col, floor(x + 0.5) AS start, count(*) AS n FROM v_spanned_runs WHERE col > 0 AND trim(text) <> '' GROUP BY ALL),
+modal AS (SELECT doc_id, page, col, arg_min(start, [-n, start]) AS start FROM starts GROUP BY ALL),
+votes AS (SELECT doc_id, start::DOUBLE AS start, count(*) AS pages FROM modal GROUP BY ALL),
+strong AS (SELECT doc_id, start, pages FROM votes QUALIFY pages >= greatest(3, 0.05 * max(pages) OVER (PARTITION BY doc_id))),
+ranked AS (SELECT doc_id, list(start ORDER BY pages DESC, start) AS s FROM strong GROUP BY ALL),
+edges AS (SELECT doc_id, list_sort(list_reduce(s, lambda seen, x: CASE WHEN len(list_filter(seen, lambda k: abs(k - x) <= 3)) > 0 THEN seen ELSE list_append(seen, x) END, []::DOUBLE[])) AS e FROM ranked)"""
+
+
+@query("b16_column_edges", f"""
+WITH {EDGES},
+every AS (SELECT doc_id FROM votes GROUP BY doc_id)
+SELECT doc_id, coalesce(array_to_string(list_transform(e, lambda x: x::BIGINT), ','), '') AS edges FROM every LEFT JOIN edges USING (doc_id)""")
 def _(t):
-    return R.cut_regions(t.spanned_runs, depth=2).select("doc_id", "page", "ord", "region")
+    edges = R.column_edges(t.spanned_runs)
+    return edges.select("doc_id", F.array_join(F.transform("edges", lambda e: e.cast("long").cast("string")), ",").alias("edges"))
+
+
+@query("b16_cut_regions", f"""
+WITH RECURSIVE {EDGES},
+cut AS (
+  SELECT doc_id, page, ord, x, y, width, size AS height, 'r' AS region, 0 AS depth, true AS open, coalesce(e, []) AS e FROM v_spanned_runs LEFT JOIN edges USING (doc_id)
+  UNION ALL
+  SELECT doc_id, page, ord, x, y, width, height, CASE WHEN kind IS NULL THEN region ELSE region || '.' || CASE WHEN kind = 0 THEN (CASE WHEN x >= edge - 2 THEN 1 ELSE 0 END)
+      WHEN band < first THEN 0 WHEN band <= last THEN 1 ELSE 2 END END, depth + 1, kind IS NOT NULL, e
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, region, ord ORDER BY kind NULLS LAST, edge) AS rk
+    FROM (SELECT *, CASE WHEN edge - l < 36 OR r - edge < 36 THEN NULL WHEN nc = 0 AND nr > 0 AND nr < n THEN 0 WHEN first > 1 OR last < bands THEN 1 END AS kind
+      FROM (SELECT *, sum(c) OVER g AS nc, sum(CASE WHEN x >= edge - 2 THEN 1 ELSE 0 END) OVER g AS nr, count(*) OVER g AS n, min(x) OVER g AS l, max(x + width) OVER g AS r,
+          min(CASE WHEN c = 1 THEN band END) OVER g AS first, max(CASE WHEN c = 1 THEN band END) OVER g AS last, max(band) OVER g AS bands
+        FROM (SELECT *, CASE WHEN x < edge - 2 AND x + width > edge - 6 THEN 1 ELSE 0 END AS c
+          FROM (SELECT *, unnest(CASE WHEN len(e) = 0 THEN [-1e9] ELSE e END) AS edge
+            FROM (SELECT *, sum(CASE WHEN fl IS NULL OR y + height <= fl - 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, region ORDER BY y + height DESC, ord) AS band
+              FROM (SELECT *, min(y) OVER (PARTITION BY doc_id, page, region ORDER BY y + height DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fl
+                FROM cut WHERE open AND depth < 8))))
+        WINDOW g AS (PARTITION BY doc_id, page, region, edge)))) WHERE rk = 1)
+SELECT doc_id, page, ord, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY region) - 1)::INT AS region FROM cut WHERE NOT open OR depth = 8""")
+def _(t):
+    runs = t.spanned_runs.withColumn("height", F.col("size"))
+    return R.cut_regions(runs, R.column_edges(runs)).select("doc_id", "page", "ord", "region")
+
 
 
 @query("c6_drop_figures", rf"""
