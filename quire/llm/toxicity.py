@@ -59,15 +59,30 @@ class Terms:
 
     def __init__(self, ids: dict[str, int], most: int = 50_000):
         self.ids, self.most, self.known = ids, most, {}
+        self.stems = {t[: BEGINNINGS[0]] for t in ids if t.endswith("*")}
 
-    def count(self, text: str) -> Counter:
-        chunks = text.lower().split()
+    def terms(self, chunk: str) -> list[int]:
+        """The known ones of ``features(chunk)``."""
+        out = []
+        for w in (chunk,) if chunk.isalnum() else _WORD.findall(chunk):
+            if (i := self.ids.get(w)) is not None:
+                out.append(i)
+            if w[: BEGINNINGS[0]] in self.stems:
+                out += [i for k in BEGINNINGS if len(w) > k and (i := self.ids.get(w[:k] + "*")) is not None]
+        return out
+
+    def count(self, text: str) -> dict[int, int]:
+        chunks = Counter(text.lower().split())
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for c in set(chunks).difference(known):
-            known[c] = [i for f in features(c) if (i := self.ids.get(f)) is not None]
-        return Counter(i for c in chunks if (got := known[c]) for i in got)
+        out: dict[int, int] = {}
+        for c, n in chunks.items():
+            if (ids := known.get(c)) is None:
+                ids = known[c] = self.terms(c)
+            for i in ids:
+                out[i] = out.get(i, 0) + n
+        return out
 
 
 def weighted(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +91,11 @@ def weighted(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.n
     return ids, w / math.sqrt(float(w @ w)) if len(w) else w
 
 
-def vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term ids in order and weights of length one."""
-    ids = np.array(sorted(counts), np.int64)
-    return weighted(ids, np.array([counts[i] for i in ids.tolist()], float), idf)
+    ids = np.fromiter(counts, np.int64, len(counts))
+    order = np.argsort(ids)
+    return weighted(ids[order], np.fromiter(counts.values(), float, len(counts))[order], idf)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -152,8 +168,8 @@ class BlockMax:
         done = np.zeros(upper.shape, bool)
         for last in (False, True):  # the most promising blocks give a floor, then all that reach it
             for b in np.flatnonzero(todo.any(0)):
-                own = np.flatnonzero(todo[:, b])
                 at = slice(b * self.block, min((b + 1) * self.block, self.n))
+                own = todo[:, b] if 2 * todo[:, b].sum() < len(asked) else slice(None)  # for most is as dear as for all
                 score[own, at] = share[own, at] + short[own] @ self.dense[at].T
             if not last:
                 for q in range(len(asked)):
@@ -250,7 +266,7 @@ class Model:
                 pools[-1][2] += t2
         self.steps = (np.array([p[0] for p in pools]), np.array([self.rate(p[1], p[2]) for p in pools]))
 
-    def scores(self, counts: list[Counter]) -> list[tuple[float, list[tuple[int, float, float]]]]:
+    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, list[tuple[int, float, float]]]]:
         """The score of each text's terms, and its neighbours with cosines and labels."""
         starts, values = self.steps
         out: list = [(self.rate(*self.none), [])] * len(counts)
