@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quire.functions.jsonleaf import quoted
 from quire.functions.scans import first_row
 
 ID = (1, 16)
@@ -61,6 +62,23 @@ def merge_editions(fields: DataFrame, key: list[str], order: Column, lists: list
     return grouped.select(*key, "field", "canonical", value.alias("value"))
 
 
+def merge_leaves(leaf_rows: DataFrame, key: list[str]) -> DataFrame:
+    """Leaves (key, edition, path, value) of grouped readings to the leaves of the merged document.
+
+    Equal values stay, lists are united in byte order, other values become an object by edition. What only some editions
+    have is theirs alone: an object of those. A group has one reading of each edition.
+    """
+    grouped = leaf_rows.groupBy(*key, "path").agg(
+        F.count_distinct("value").alias("values"), F.sort_array(F.collect_list(F.struct("edition", "value"))).alias("by_edition")
+    ).join(leaf_rows.groupBy(*key).agg(F.count_distinct("edition").alias("editions")), key)
+    items = F.transform("by_edition", lambda e: F.transform(F.try_parse_json(e["value"]).cast("array<variant>"), lambda v: F.to_json(v)))
+    united = F.concat(F.lit("["), F.array_join(F.array_sort(F.array_distinct(F.flatten(items))), ","), F.lit("]"))
+    apart = F.concat(F.lit("{"), F.array_join(F.transform("by_edition", lambda e: F.concat(quoted(e["edition"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+    lists = F.forall("by_edition", lambda e: e["value"].startswith("["))
+    alike = (F.col("values") == 1) & (F.size("by_edition") == F.col("editions"))
+    return grouped.select(*key, "path", F.when(lists, united).when(alike, F.col("by_edition")[0]["value"]).otherwise(apart).alias("value"))
+
+
 def wrap_edition(docs: DataFrame, edition: Column, fields: list[str]) -> DataFrame:
     """Flat rules fields as maps by edition."""
     return docs.withColumns({f: F.create_map(edition, F.col(f)) for f in fields})

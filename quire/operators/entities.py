@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import keys as K
+from quire.functions.jsonleaf import nested as json_of
 from quire.functions.scans import as_of, carry_last, first_row
 
 
@@ -42,6 +43,11 @@ def deep_fill(leaf_rows: DataFrame, key: list[str], rank: list[str]) -> DataFram
     return filled.groupBy(*key, "path").agg(F.min_by("value", F.struct(*rank)).alias("value"))
 
 
+def rebuilt(leaf_rows: DataFrame, key: list[str]) -> DataFrame:
+    """One JSON document, ``doc``, for each entity's leaves."""
+    return leaf_rows.groupBy(*key).agg(F.collect_list(F.struct("path", "value")).alias("_l")).select(*key, json_of(F.col("_l")).alias("doc"))
+
+
 def cite(readings: DataFrame, key: list[str], tier: Column, page: str) -> DataFrame:
     """The page of the most trusted reading, the first such page."""
     return readings.groupBy(*key).agg(F.min_by(page, F.struct(tier.alias("t"), F.col(page))).alias("cited"))

@@ -43,6 +43,24 @@ def _(t):
     return N.deep_fill(rows, ["type", "name"], ["card_id"])
 
 
+LEVELS = """
+s AS (SELECT type, name, string_split(path, '.') AS p, value FROM d),
+k3 AS (SELECT type, name, p[1] AS a, p[2] AS b, '{' || string_agg('"' || p[3] || '":' || value, ',' ORDER BY p[3]) || '}' AS v FROM s WHERE len(p) = 3 GROUP BY ALL),
+k2 AS (SELECT type, name, a, '{' || string_agg('"' || b || '":' || v, ',' ORDER BY b) || '}' AS v
+  FROM (SELECT * FROM k3 UNION ALL SELECT type, name, p[1], p[2], value FROM s WHERE len(p) = 2) GROUP BY ALL)
+SELECT type, name, '{' || string_agg('"' || a || '":' || v, ',' ORDER BY a) || '}' AS doc
+FROM (SELECT * FROM k2 UNION ALL SELECT type, name, p[1], value FROM s WHERE len(p) = 1) GROUP BY ALL"""
+
+
+@query("i3_rebuilt", f"""
+WITH {LEAVES},
+d AS (SELECT type, name, path, arg_min(value, card_id) AS value FROM (SELECT leaf.*, p_name AS name FROM leaf JOIN part ON p_partkey = card_id) GROUP BY ALL),
+{LEVELS}""")
+def _(t):
+    rows = S.leaves(t.cards, ["card_id", "type", "name"], EXCLUDED, ["e1", "e2"], "e1")
+    return N.rebuilt(N.deep_fill(rows, ["type", "name"], ["card_id"]), ["type", "name"])
+
+
 @query("i4_cite", """
 SELECT o_custkey, o_orderkey AS cited FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) = 1""")
 def _(t):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import editions as E, sync as Y
+from quire.operators import editions as E, entities as N, score as S, sync as Y
 from quire.plans.registry import query
 
 KEYS = r"lang || '|' || lower(regexp_replace(trim(split_part(text, chr(10), 1)), '\s+', ' ', 'g'))"
@@ -152,6 +152,22 @@ def _(t):
     return E.merge_editions(rows, ["k"], F.col("edition"), ["tags"])
 
 
+@query("j5_merged_documents", f"""
+WITH {GROUPS},
+x AS (SELECT lang, k, '{{"name":"' || k || '","system":{{"chars":' || (CASE WHEN count(DISTINCT n_chars) = 1 THEN min(n_chars)::VARCHAR ELSE '{{' || string_agg('"' || source || '":' || n_chars, ',' ORDER BY source) || '}}' END)
+    || ',"doc":{{' || string_agg('"' || source || '":' || doc_id, ',' ORDER BY source) || '}},"tags":["' || array_to_string(list_sort(list_distinct(flatten(list([lang, source])))), '","') || '"]}}}}' AS doc FROM m GROUP BY lang, k)
+SELECT doc_id, coalesce(x.doc, '{{"name":"' || md5(d.text) || '","system":{{"chars":' || n_chars || ',"doc":' || doc_id || ',"tags":["' || d.lang || '","' || source || '"]}}}}') AS doc
+FROM documents d LEFT JOIN x ON x.lang = d.lang AND x.k = md5(d.text)""")
+def _(t):
+    """Documents as JSON; those of one text in several editions are merged leaf by leaf and put in the place of each copy."""
+    doc = """to_json(named_struct('name', md5(text), 'system', named_struct('chars', n_chars, 'doc', doc_id, 'tags', array(lang, source))))"""
+    docs = t.documents.selectExpr("doc_id", "lang", "md5(text) as k", "source as edition", f"{doc} as doc")
+    groups = E.edition_groups(docs, ["lang", "k"])
+    leaves = S.leaves(groups, ["lang", "k", "edition"], "^$", [], "")
+    merged = N.rebuilt(E.merge_leaves(leaves, ["lang", "k"]), ["lang", "k"]).withColumnRenamed("doc", "merged")
+    return E.merged_documents(docs, merged, ["lang", "k"]).select("doc_id", "doc")
+
+
 @query("j6_wrap_edition", "SELECT p_partkey, p_brand || '=' || p_size AS size, p_brand || '=' || p_type AS kind FROM part")
 def _(t):
     out = E.wrap_edition(t.part.withColumn("size", F.col("p_size").cast("string")).withColumn("kind", F.col("p_type")), F.col("p_brand"), ["size", "kind"])
