@@ -27,15 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from quire.llm.blocks import strings, text_blocks
+from quire.llm.shared import cut
 
 SAMPLE = 16_000
 WORD_DOCS = 2
 LEAST_DOCS, LEAST_G2, LEAST_LIFT = 4, 20.0, 20.0
 BEGINNINGS = range(4, 9)
 NEIGHBOURS = 16
-BLOCK = 64
+BLOCK = 256
 COMMON = 512  # terms that are held as rows
-TOGETHER = 32  # texts that are searched at a time
+TOGETHER = 64  # texts that are searched at a time
 VOTERS = 12  # tasks of the votes on examples
 PRIOR = 0.1
 _WORD = re.compile(r"[^\W_]+")
@@ -288,7 +289,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, k: int = NEIGHBOURS) -> Model:
-    rows = sampled(docs, labels, label, key, text, sample)
+    rows = cut(sampled(docs, labels, label, key, text, sample))  # read three times
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
