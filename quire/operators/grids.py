@@ -79,6 +79,42 @@ def stat_rows(lines: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "y", "i", F.col("l.t").alias("label"), F.get(F.col("_fixed"), nearest).cast("int").alias("value"))
 
 
+def lattice_rows(lines: DataFrame, keys: list[str], order: list[str], agree: float = 0.25, reach: float = 0.4) -> DataFrame:
+    """Values under a row of labels of which some were lost: (keys, y, i, label, value, inferred).
+
+    ``lines`` has y, xs (centres) and texts; ``order`` is the order in which labels are printed. A row of labels in that order
+    stands on a lattice: each two of them propose a pitch and an offset, and the lattice on which most labels stand wins, the
+    closest of equal ones. Each value of the line below belongs to its nearest place, whether its label was read or not.
+    ``keys`` bound the lines that can follow each other (a page's column). Letters read for digits are put right where half
+    of the values are numbers; a dash is 0; values set in pieces are joined. A row with another value is left out.
+    """
+    names = ", ".join(f"'{v.lower()}'" for v in order)
+    w = W.partitionBy(*keys).orderBy(F.desc("y"))
+    rows = lines.withColumns({"_vx": F.lead("xs").over(w), "_vt": F.lead("texts").over(w)})
+    rows = rows.withColumn("_l", F.expr(f"transform(arrays_zip(xs, texts), l -> named_struct('o', array_position(array({names}), lower(trim(l.texts))) - 1, 'c', cast(l.xs as double)))"))
+    rows = rows.where("size(_l) >= 2 and _vt is not null and forall(_l, l -> l.o >= 0) and forall(sequence(1, size(_l) - 1), i -> _l[i].o > _l[i - 1].o)")
+    rows = rows.withColumn("_n", F.expr(r"size(filter(_vt, v -> v rlike '^\\d+$'))"))
+    fixed = F.when(F.col("_n") * 2 >= F.size("_vt"), F.transform("_vt", lambda v: F.translate(v, "IlOo", "1100"))).otherwise(F.col("_vt"))
+    rows = rows.withColumn("_vt", fixed).where(r"forall(_vt, v -> v rlike '^(\\d+|[-–—]+)$')")
+    pairs = """flatten(transform(_l, a -> transform(filter(_l, b -> b.o > a.o), b -> named_struct(
+        'p', (b.c - a.c) / (b.o - a.o), 'b', a.c - (b.c - a.c) / (b.o - a.o) * a.o))))"""
+    rows = rows.withColumn("_pairs", F.expr(f"filter({pairs}, q -> q.p > 0)"))
+    off = "abs(l.c - q.b - q.p * l.o)"
+    best = f"""array_min(transform(_pairs, q -> named_struct('less', -size(filter(_l, l -> {off} <= {agree} * q.p)),
+        'err', round(aggregate(filter(_l, l -> {off} <= {agree} * q.p), 0D, (s, l) -> s + {off}), 3), 'p', round(q.p, 6), 'b', round(q.b, 6))))"""
+    rows = rows.withColumn("_q", F.expr(best)).where("_q is not null and -_q.less >= 2")
+    values = rows.select(*keys, "y", "_l", "_q", F.explode(F.arrays_zip(F.col("_vx").alias("x"), F.col("_vt").alias("t"))).alias("v"))
+    values = values.withColumn("i", F.floor((F.col("v.x") - F.col("_q.b")) / F.col("_q.p") + 0.5).cast("int"))
+    near = F.abs(F.col("v.x") - F.col("_q.b") - F.col("_q.p") * F.col("i")) <= reach * F.col("_q.p")
+    values = values.where(near & F.col("i").between(0, len(order) - 1))
+    out = values.groupBy(*keys, "y", "i").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["t"]), "").alias("t"), F.first("_l").alias("_l")
+    )
+    label = F.element_at(F.array(*map(F.lit, order)), F.col("i") + 1)
+    value = F.when(F.col("t").rlike(r"^\d+$"), F.col("t").cast("int")).otherwise(0)
+    return out.select(*keys, "y", "i", label.alias("label"), value.alias("value"), (~F.exists("_l", lambda l: l["o"] == F.col("i"))).alias("inferred"))
+
+
 def panel_blocks(lines: DataFrame, keys: list[str], segment: str, order: str) -> DataFrame:
     """A line "Label: text" opens a block, other lines continue it."""
     pattern = r"^(\p{Lu}[\p{L} ]*):\s*(.*)$"

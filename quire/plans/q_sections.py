@@ -249,6 +249,33 @@ def _(t):
     return H.stat_rows(lines, ["doc_id"]).select("doc_id", "i", "label", "value")
 
 
+STATS = ["Qty", "Disc", "Tax", "Line", "Part", "Supp", "Size"]
+
+
+@query("h3_lattice_rows", f"""
+WITH o AS (SELECT l_orderkey AS doc_id, min(l_quantity)::BIGINT AS q, count(*) AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+slots AS (SELECT *, k, 20 + 30 * k + (doc_id + 3 * k) % 5 - 2 AS c, CASE k WHEN 0 THEN q::VARCHAR WHEN 1 THEN 'lO' WHEN 4 THEN p::VARCHAR WHEN 5 THEN '-' ELSE ((doc_id * (k + 2)) % 97)::VARCHAR END AS t FROM o, range(0, 7) r(k)),
+l AS (SELECT doc_id, k AS o, c::DOUBLE AS c FROM slots WHERE k <> doc_id % 7 AND k <> (doc_id // 7) % 7),
+pairs AS (SELECT a.doc_id, (b.c - a.c) / (b.o - a.o) AS p, a.c - (b.c - a.c) / (b.o - a.o) * a.o AS b FROM l a JOIN l b ON b.doc_id = a.doc_id AND b.o > a.o),
+votes AS (SELECT doc_id, round(p, 6) AS p, round(b, 6) AS b, count(*) AS n, round(sum(abs(c - b - p * o)), 3) AS err
+  FROM (SELECT pairs.*, l.c, l.o, row_number() OVER () AS r FROM pairs JOIN l USING (doc_id) WHERE p > 0 AND abs(c - b - p * o) <= 0.25 * p) GROUP BY doc_id, p, b),
+best AS (SELECT * FROM votes WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, err, p, b) = 1),
+v AS (SELECT s.doc_id, floor((s.c - 1 + (s.doc_id + s.k) % 3 - b.b) / b.p + 0.5)::INT AS i, s.c - 1 + (s.doc_id + s.k) % 3 AS x, b.b, b.p, t FROM slots s JOIN best b USING (doc_id)),
+g AS (SELECT doc_id, i, string_agg(translate(t, 'IlOo', '1100'), '' ORDER BY x) AS t FROM v WHERE abs(x - b - p * i) <= 0.4 * p AND i BETWEEN 0 AND 6 GROUP BY ALL)
+SELECT doc_id, i, ({STATS})[i + 1] AS label, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN t::INT ELSE 0 END AS value,
+  NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = g.doc_id AND l.o = g.i) AS inferred FROM g""")
+def _(t):
+    """Seven labels a little off their places over values, one or two of the labels gone."""
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_quantity").cast("long").alias("q"), F.count("*").alias("n"), F.min("l_partkey").alias("p"))
+    names = ", ".join(f"'{v}'" for v in STATS)
+    slots = """transform(sequence(0, 6), k -> named_struct('k', k, 'c', 20 + 30 * k + (doc_id + 3 * k) % 5 - 2,
+        't', case k when 0 then cast(q as string) when 1 then 'lO' when 4 then cast(p as string) when 5 then '-' else cast((doc_id * (k + 2)) % 97 as string) end))"""
+    rows = rows.selectExpr("doc_id", f"{slots} as s").selectExpr("doc_id", "s", "filter(s, e -> e.k <> doc_id % 7 and e.k <> (doc_id div 7) % 7) as l")
+    lines = rows.selectExpr("doc_id", f"""explode(array(named_struct('y', 100, 'xs', transform(l, e -> e.c), 'texts', transform(l, e -> array({names})[e.k])),
+        named_struct('y', 88, 'xs', transform(s, e -> e.c - 1 + (doc_id + e.k) % 3), 'texts', transform(s, e -> e.t)))) as r""").select("doc_id", F.lit(0).alias("page"), "r.*")
+    return H.lattice_rows(lines, ["doc_id", "page"], STATS).select("doc_id", "i", "label", "value", "inferred")
+
+
 @query("h4_panel_blocks", """
 SELECT p_brand AS doc_id, 2 * row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 + k AS block_no, CASE k WHEN 0 THEN 'Type' ELSE 'Price' END AS label,
   CASE k WHEN 0 THEN p_type ELSE trunc(p_retailprice)::BIGINT || CASE WHEN p_size % 3 = 0 THEN ',' ELSE '' END || ' sold with ' || p_name || ' Made for ' || p_name || ' users' END AS text
