@@ -459,6 +459,130 @@ def progression(lines: DataFrame, keys: list[str], segment: str, order: str, col
     )
 
 
+def column_spans(cells: DataFrame, keys: list[str], join: float = 2) -> DataFrame:
+    """Columns as the stretches that cells (x, right) cover together: (keys, x, col_no, left, right) for each start of a cell.
+
+    One sweep over the distinct starts, of which a table has no more than a page is wide; no two cells are paired.
+    """
+    starts = cells.groupBy(*keys, "x").agg(F.max("right").alias("right"))
+    w = W.partitionBy(*keys).orderBy("x")
+    starts = starts.withColumn("_reach", F.max("right").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    starts = starts.withColumn("col_no", islands(F.col("_reach").isNull() | (F.col("x") > F.col("_reach") + join), keys, ["x"]) - 1)
+    whole = W.partitionBy(*keys, "col_no")
+    return starts.select(*keys, "x", "col_no", F.min("x").over(whole).alias("left"), F.max("right").over(whole).alias("right"))
+
+
+def header_columns(words: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Header words (order, x, right, text) under the column they overlap most, else the nearest: (keys, col_no, header)."""
+    sets = spans.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("col_no", "left", "right"))).alias("_s"))
+    far = F.lit(-1e9)
+    score = lambda c: F.when(
+        F.least("right", c["right"]) > F.greatest("x", c["left"]), F.least("right", c["right"]) - F.greatest("x", c["left"])
+    ).otherwise(far - F.abs((F.col("x") + F.col("right")) / 2 - (c["left"] + c["right"]) / 2))
+    best = F.array_max(F.transform("_s", lambda c: F.struct(score(c).alias("score"), (-c["col_no"]).alias("less"))))
+    placed = words.join(sets, keys).withColumn("col_no", -best["less"])
+    parts = F.sort_array(F.collect_list(F.struct("order", "x", "text")))
+    return placed.groupBy(*keys, "col_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("header"))
+
+
+def level_rows(cells: DataFrame, keys: list[str], segment: str, order: str) -> DataFrame:
+    """Cells of level tables, placed by their row: (keys, level, line, x, right, text).
+
+    ``cells`` has one row for each cell of a line: ``segment`` (the region it is set in), ``order`` (the line), cell, x, right
+    and text. A line whose first cell is the next level opens a row. Others go on with the row above; in a new region they
+    are placed as the next row there is. A cell's x is told from its row's level cell, so a table that goes on in another
+    column keeps its columns. A line that reaches back into the level column, or that no row follows in its region, ends the table.
+    """
+    number = F.when(F.col("cell") == 0, F.regexp_extract("text", r"^(\d{1,2})(?:st|nd|rd|th)?$", 1).try_cast("int"))
+    cells = cells.withColumn("_number", number)
+    place = F.struct(segment, order)
+    # at most 99 numbers to a table
+    firsts = cells.where("_number is not null").groupBy(*keys, F.col("_number").alias("level")).agg(
+        F.min(place).alias("_at"), F.min_by("x", place).alias("_x"), F.min_by("right", place).alias("_r")
+    )
+    w = W.partitionBy(*keys).orderBy("level")
+    firsts = firsts.withColumn("_ok", (F.row_number().over(w) == F.col("level")) & F.coalesce(F.lag("_at").over(w) < F.col("_at"), F.lit(True)))
+    firsts = firsts.withColumn("_ok", F.min("_ok").over(w)).where("_ok")
+    anchor = firsts.where("level = 1").select(*keys, F.col("_x").alias("_anchor"), F.col("_r").alias("_edge"))
+    rows = firsts.select(*keys, F.col(f"_at.{segment}").alias(segment), F.col(f"_at.{order}").alias(order), F.struct("level", F.col("_x").alias("x"), F.col(f"_at.{segment}").alias("seg")).alias("_row"))
+    lines = cells.select(*keys, segment, order).distinct().join(rows, [*keys, segment, order], "left")
+    lines = carry_last(lines, keys, segment, [order], F.col("_row"), "_in").where("_in is not null")
+    back = lines.withColumns({"_bs": -F.col(segment), "_bo": -F.col(order)})
+    back = carry_last(back, keys, "_bs", ["_bo"], F.col("_row"), "_next").drop("_bs", "_bo")
+    same = F.col("_in.seg") == F.col(segment)
+    at = F.when(same, F.col("_in.x")).when(F.col("_next.seg") == F.col(segment), F.col("_next.x"))
+    lines = back.join(anchor, keys).select(*keys, segment, order, F.col("_row").isNotNull().alias("_opens"), F.col("_in.level").alias("level"), (at - F.col("_anchor")).alias("_dx"), "_edge")
+    placed = cells.join(lines, [*keys, segment, order])
+    bad = F.col("_dx").isNull() | (~F.col("_opens") & (F.col("x") - F.col("_dx") <= F.col("_edge")))
+    ends = placed.where(bad).groupBy(*keys).agg(F.min(place).alias("_end"))
+    placed = placed.join(ends, keys, "left").where(F.col("_end").isNull() | (place < F.col("_end")))
+    return placed.select(*keys, "level", F.col(order).alias("line"), (F.col("x") - F.col("_dx")).alias("x"), (F.col("right") - F.col("_dx")).alias("right"), "text")
+
+
+def level_columns(cells: DataFrame, headers: DataFrame, keys: list[str], segment: str, order: str) -> DataFrame:
+    """Level tables with columns found by overlap: (keys, level, col_no, header, text), one row for each filled cell."""
+    placed = level_rows(cells, keys, segment, order)
+    spans = column_spans(placed, keys)
+    heads = header_columns(headers, spans, keys)
+    parts = F.sort_array(F.collect_list(F.struct("line", "x", "text")))
+    filled = placed.join(spans.select(*keys, "x", "col_no"), [*keys, "x"]).groupBy(*keys, "level", "col_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+    return filled.join(heads, [*keys, "col_no"], "left").select(*keys, "level", "col_no", F.coalesce("header", F.lit("")).alias("header"), "text")
+
+
+def header_paths(headers: DataFrame, keys: list[str], slack: float = 2) -> DataFrame:
+    """Column labels of stacked headers: (keys, x, right, path), a row for each lowest header cell, left to right.
+
+    ``headers`` has level (0 on top), x, right and text. Above each cell stands the narrowest cell of the next level up that
+    spans it, or none; a cell that spans none of the level below is a label of its own. Header cells of one table are as
+    few as a page is wide, so the forest grows inside one row.
+    """
+    cell = F.struct("level", "x", "right", "text")
+    sets = headers.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("_c"))
+    spans = lambda a, b: (a["x"] <= b["x"] + slack) & (a["right"] >= b["right"] - slack) & (a["level"] < b["level"])
+    lowest = F.filter("_c", lambda a: ~F.exists("_c", lambda b: spans(a, b)))
+    out = sets.select(*keys, "_c", F.posexplode(F.array_sort(F.transform(lowest, lambda c: F.struct(c["x"], c["right"], c["level"], c["text"])))).alias("col_no", "own"))
+    above = F.filter("_c", lambda a: spans(a, F.col("own")))
+    width = lambda a: a["right"] - a["x"]
+    # the narrowest of each level: no other of that level that spans the cell is narrower
+    chain = F.filter(above, lambda a: ~F.exists(above, lambda b: (b["level"] == a["level"]) & (F.struct(width(b), b["x"]) < F.struct(width(a), a["x"]))))
+    path = F.concat(F.transform(chain, lambda a: a["text"]), F.array(F.col("own.text")))
+    return out.select(*keys, "col_no", F.col("own.x").alias("x"), F.col("own.right").alias("right"), path.alias("path"))
+
+
+def sub_tables(lines: DataFrame, keys: list[str], segment: str, order: str, caption: Column, header: Column, ends: Column, record: Column, least: int = 2, lead: int = 3) -> DataFrame:
+    """Lines of captioned tables by part: (keys, segment, order, caption_ord, part, kind), kind 'header' or 'row'.
+
+    Below a caption, header lines next to each other open a part, and the first line that ends a table ends it. The part
+    after it counts if it opens at most ``lead`` lines below that end, holds ``least`` records, and all before it count.
+    """
+    rows = lines.withColumns({"_caption": F.coalesce(caption, F.lit(False)), "_header": F.coalesce(header & ~caption, F.lit(False)), "_ends": F.coalesce(ends & ~caption & ~header, F.lit(False)), "_record": F.coalesce(record, F.lit(False))})
+    rows = carry_last(rows, keys, segment, [order], F.when(F.col("_caption"), F.col(order)), "caption_ord")
+    rows = previous(rows, keys, segment, [order], F.col("_header"), "_was")
+    opens = F.col("_header") & (~F.coalesce("_was", F.lit(False)))
+    rows = prefix_sum(rows, keys, segment, [order], opens.cast("long"), "_part").where("caption_ord is not null and not _caption")
+    own = [*keys, "caption_ord", "_part"]
+    stop = rows.groupBy(*own).agg(F.min(F.when(F.col("_ends"), F.col(order))).alias("_stop"), F.bool_or("_header").alias("_headed"))
+    rows = rows.join(stop, own)
+    inside = F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))
+    parts = rows.where("_headed").groupBy(*own).agg(F.count_if(inside & F.col("_record") & ~F.col("_header")).alias("_records"), F.count_if(~inside).alias("_lead"))
+    w = W.partitionBy(*keys, "caption_ord").orderBy("_part")
+    ok = F.lag("_lead").over(w).isNull() | ((F.lag("_lead").over(w) <= lead) & (F.col("_records") >= least))
+    parts = parts.withColumn("_ok", ok).withColumn("_ok", F.min("_ok").over(w)).withColumn("part", F.row_number().over(w) - 1).where("_ok").select(*own, "part")
+    kind = F.when(F.col("_header"), "header").otherwise("row")
+    return rows.where(inside).join(parts, own).select(*keys, segment, order, "caption_ord", "part", kind.alias("kind"))
+
+
+def within_header(runs: DataFrame, keys: list[str], line: str, reach: float = 2, goes_on: float = 1.5) -> DataFrame:
+    """Runs that lie under their table's header, or carry on the run before them on their line.
+
+    ``runs`` has x, width, size, and the header's ``header_right`` and ``header_size``; ``keys`` and ``line`` name one line.
+    """
+    w = W.partitionBy(*keys, line).orderBy("x", F.col("x") + F.col("width"))
+    gap = F.col("x") - F.max(F.col("x") + F.col("width")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    under = F.col("x") <= F.col("header_right") + reach * F.col("header_size")
+    return runs.withColumn("_in", under | F.coalesce(gap <= goes_on * F.col("size"), F.lit(False))).where("_in").drop("_in")
+
+
 def boundaries(headers: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
     """Left edge of each header label, moved to where most of the data below it starts; on a tie the leftmost."""
     modal = starts.groupBy(*keys, "col_no", "x").agg(F.count("*").alias("n")).groupBy(*keys, "col_no").agg(

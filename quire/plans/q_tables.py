@@ -339,6 +339,94 @@ def _(t):
     return T.progression(rows, ["conv_id"], "seg", "turn", ["user", "assistant"]).na.fill("", ["user", "assistant"])
 
 
+LEVELED = """
+c AS (SELECT p_partkey // 10 AS doc, p_partkey % 10 AS r, CASE WHEN p_partkey % 10 >= 5 THEN 276 ELSE 0 END AS dx, p_size, p_name, p_type, p_partkey FROM part),
+cells AS (
+  SELECT doc, r // 5 AS region, 2 * r AS line, 0 AS cell, 54 + dx AS x, 64 + dx AS "right", (r + 1) || 'th' AS text FROM c
+  UNION ALL SELECT doc, r // 5, 2 * r, 1, 90 + dx + p_size % 7, 90 + dx + p_size % 7 + 5 * length(p_name), p_name FROM c
+  UNION ALL SELECT doc, r // 5, 2 * r, 2, 240 + dx - 3 * (p_size % 4), 260 + dx - 3 * (p_size % 4), p_size::VARCHAR FROM c WHERE p_size % 5 > 0
+  UNION ALL SELECT doc, r // 5, 2 * r + 1, 0, CASE WHEN p_partkey % 331 = 330 THEN 60 ELSE 92 END + dx, 92 + dx + 5 * length(p_type), p_type FROM c WHERE p_size % 3 = 0)
+"""
+
+
+@query("f26_level_columns", f"""
+WITH {LEVELED},
+n AS (SELECT doc, regexp_extract(text, '^([0-9]{{1,2}})(?:st|nd|rd|th)?$', 1)::INT AS level, min([region, line]) AS at, arg_min(x, [region, line]) AS x, arg_min("right", [region, line]) AS r
+  FROM cells WHERE cell = 0 AND regexp_matches(text, '^[0-9]{{1,2}}(st|nd|rd|th)?$') GROUP BY ALL),
+k AS (SELECT *, min(good) OVER (PARTITION BY doc ORDER BY level) AS ok FROM (SELECT *, CASE WHEN row_number() OVER w = level AND coalesce(lag(at) OVER w < at, true) THEN 1 ELSE 0 END AS good FROM n WINDOW w AS (PARTITION BY doc ORDER BY level))),
+a AS (SELECT doc, x AS anchor, r AS edge FROM k WHERE level = 1 AND ok = 1),
+ln AS (SELECT l.doc, l.region, l.line, (SELECT arg_max({{'level': k.level, 'x': k.x, 'seg': k.at[1]}}, k.level) FROM k WHERE k.doc = l.doc AND k.ok = 1 AND k.at <= [l.region, l.line]) AS i,
+  (SELECT arg_min({{'level': k.level, 'x': k.x, 'seg': k.at[1]}}, k.level) FROM k WHERE k.doc = l.doc AND k.ok = 1 AND k.at >= [l.region, l.line]) AS nx,
+  EXISTS (SELECT 1 FROM k WHERE k.doc = l.doc AND k.ok = 1 AND k.at = [l.region, l.line]) AS opens FROM (SELECT DISTINCT doc, region, line FROM cells) l),
+p AS (SELECT cells.*, ln.i.level AS level, CASE WHEN ln.i.seg = region THEN ln.i.x WHEN ln.nx.seg = region THEN ln.nx.x END - anchor AS dx, edge, opens
+  FROM cells JOIN ln USING (doc, region, line) JOIN a USING (doc) WHERE ln.i IS NOT NULL),
+e AS (SELECT doc, min([region, line]) AS stop FROM p WHERE dx IS NULL OR (NOT opens AND x - dx <= edge) GROUP BY ALL),
+pl AS (SELECT p.doc, level, line, p.x - dx AS x, "right" - dx AS "right", text FROM p LEFT JOIN e USING (doc) WHERE stop IS NULL OR [region, line] < stop),
+st AS (SELECT doc, x, max("right") AS "right" FROM pl GROUP BY ALL),
+sp AS (SELECT *, sum(CASE WHEN reach IS NULL OR x > reach + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY x) - 1 AS col_no FROM (SELECT *, max("right") OVER (PARTITION BY doc ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM st)),
+cols AS (SELECT doc, col_no, min(x) AS l, max("right") AS r FROM sp GROUP BY ALL),
+hw AS (SELECT * FROM (VALUES (0, 50, 75, 'Level'), (0, 100, 120, 'Class'), (1, 100, 140, 'Features'), (1, 300, 320, 'Cost')) h(o, x, r, t)),
+hc AS (SELECT doc, o, hw.x, t, arg_max(col_no, [CASE WHEN least(hw.r, cols.r) > greatest(hw.x, l) THEN least(hw.r, cols.r) - greatest(hw.x, l) ELSE -1e9 - abs((hw.x + hw.r) / 2 - (l + cols.r) / 2) END, -col_no]) AS col_no FROM hw, cols GROUP BY ALL),
+hd AS (SELECT doc, col_no, string_agg(t, ' ' ORDER BY o, x) AS header FROM hc GROUP BY ALL)
+SELECT pl.doc, level, sp.col_no::INT AS col_no, coalesce(any_value(header), '') AS header, string_agg(text, ' ' ORDER BY line, pl.x) AS text
+FROM pl JOIN sp ON sp.doc = pl.doc AND sp.x = pl.x LEFT JOIN hd ON hd.doc = pl.doc AND hd.col_no = sp.col_no GROUP BY pl.doc, level, sp.col_no""")
+def _(t):
+    """Ten parts to a table of levels that goes on in the page's second column, some cells wrapped."""
+    dx, r = "if(p_partkey % 10 >= 5, 276, 0)", "(p_partkey % 10)"
+    cell = "named_struct('line', {line}, 'cell', {cell}, 'x', {x}, 'right', {right}, 'text', {text})".format
+    cells = f"""concat(array({cell(line=f'2 * {r}', cell=0, x=f'54 + {dx}', right=f'64 + {dx}', text=f"concat({r} + 1, 'th')")},
+            {cell(line=f'2 * {r}', cell=1, x=f'90 + {dx} + p_size % 7', right=f'90 + {dx} + p_size % 7 + 5 * length(p_name)', text='p_name')}),
+        if(p_size % 5 > 0, array({cell(line=f'2 * {r}', cell=2, x=f'240 + {dx} - 3 * (p_size % 4)', right=f'260 + {dx} - 3 * (p_size % 4)', text='cast(p_size as string)')}), array()),
+        if(p_size % 3 = 0, array({cell(line=f'2 * {r} + 1', cell=0, x=f'if(p_partkey % 331 = 330, 60, 92) + {dx}', right=f'92 + {dx} + 5 * length(p_type)', text='p_type')}), array()))"""
+    rows = t.part.selectExpr("p_partkey div 10 as doc", f"{r} div 5 as region", f"explode({cells}) as c").select("doc", "region", "c.*")
+    words = [(0, 50, 75, "Level"), (0, 100, 120, "Class"), (1, 100, 140, "Features"), (1, 300, 320, "Cost")]
+    structs = [F.struct(F.lit(o).alias("order"), F.lit(x).alias("x"), F.lit(e).alias("right"), F.lit(w).alias("text")) for o, x, e, w in words]
+    heads = rows.select("doc").distinct().select("doc", F.explode(F.array(*structs)).alias("h")).select("doc", "h.*")
+    return T.level_columns(rows, heads, ["doc"], "region", "line")
+
+
+PARTED = """
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) AS one, tag IN ('h1', 'h2') AS cap, tag = 'b' AS hdr, tag = 'a' AS en FROM v_blocks)
+"""
+
+
+@query("f5_sub_tables", f"""
+WITH {PARTED},
+c AS (SELECT *, max(CASE WHEN cap THEN n END) OVER (PARTITION BY page_id ORDER BY n) AS caption_ord, coalesce(lag(hdr AND NOT cap) OVER (PARTITION BY page_id ORDER BY n), false) AS was FROM b),
+d AS (SELECT *, sum(CASE WHEN hdr AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY n) AS p FROM c),
+x AS (SELECT *, min(CASE WHEN en THEN n END) OVER g AS stop, bool_or(hdr) OVER g AS headed FROM d WHERE caption_ord IS NOT NULL AND NOT cap WINDOW g AS (PARTITION BY page_id, caption_ord, p)),
+parts AS (SELECT page_id, caption_ord, p, count(*) FILTER (stop IS NULL OR n < stop) - count(*) FILTER (hdr) AS records, count(*) FILTER (stop IS NOT NULL AND n >= stop) AS lead FROM x WHERE headed GROUP BY ALL),
+v AS (SELECT *, min(good) OVER w AS ok, row_number() OVER w - 1 AS part FROM (SELECT *, CASE WHEN lag(lead) OVER w IS NULL OR (lag(lead) OVER w <= 3 AND records >= 2) THEN 1 ELSE 0 END AS good FROM parts WINDOW w AS (PARTITION BY page_id, caption_ord ORDER BY p))
+  WINDOW w AS (PARTITION BY page_id, caption_ord ORDER BY p))
+SELECT page_id, n, caption_ord, part::INT AS part, CASE WHEN hdr THEN 'header' ELSE 'row' END AS kind FROM x JOIN v USING (page_id, caption_ord, p) WHERE ok = 1 AND (stop IS NULL OR n < stop)""")
+def _(t):
+    """Headings as captions, bold lines as headers, links as what ends a table."""
+    blocks = t.blocks.withColumn("seg", F.floor(F.col("n") / 64))
+    tag = F.col("tag")
+    out = T.sub_tables(blocks, ["page_id"], "seg", "n", tag.isin("h1", "h2"), tag == "b", tag == "a", ~tag.isin("b", "a"))
+    return out.select("page_id", "n", "caption_ord", "part", "kind")
+
+
+@query("f5_header_paths", """
+WITH h AS (
+  SELECT DISTINCT p_brand AS table_id, 0 AS level, 100 AS x, 400 AS r, p_brand AS text FROM part
+  UNION ALL SELECT DISTINCT p_brand, 1, 100 + 60 * (p_size % 2), 160 + 60 * (p_size % 2) + 100 * (p_size // 26), 'G' || (p_size % 2) || (p_size // 26) FROM part WHERE p_size % 11 < 2
+  UNION ALL SELECT p_brand, 2, 102 + 30 * (p_size % 10), 126 + 30 * (p_size % 10), min(p_type) FROM part GROUP BY p_brand, p_size % 10),
+low AS (SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.table_id = a.table_id AND a.x <= b.x + 2 AND a.r >= b.r - 2 AND a.level < b.level)),
+up AS (SELECT o.table_id, o.x, o.r, o.level AS own, o.text AS t, a.level, a.text, row_number() OVER (PARTITION BY o.table_id, o.x, o.r, o.level, o.text, a.level ORDER BY a.r - a.x, a.x) AS rk
+  FROM low o LEFT JOIN h a ON a.table_id = o.table_id AND a.x <= o.x + 2 AND a.r >= o.r - 2 AND a.level < o.level)
+SELECT table_id, (row_number() OVER (PARTITION BY table_id ORDER BY x, r, own, t) - 1)::INT AS col_no, x, r AS "right", coalesce(string_agg(text, ' > ' ORDER BY level) || ' > ', '') || t AS path
+FROM up WHERE rk = 1 GROUP BY table_id, x, r, own, t""")
+def _(t):
+    """A brand over groups of sizes over types."""
+    part = t.part
+    top = part.select(F.col("p_brand").alias("table_id"), F.lit(0).alias("level"), F.lit(100).alias("x"), F.lit(400).alias("right"), F.col("p_brand").alias("text")).distinct()
+    mid = part.where("p_size % 11 < 2").selectExpr("p_brand as table_id", "1 as level", "cast(100 + 60 * (p_size % 2) as int) as x", "cast(160 + 60 * (p_size % 2) + 100 * (p_size div 26) as int) as right", "concat('G', p_size % 2, p_size div 26) as text").distinct()
+    low = part.groupBy(F.col("p_brand").alias("table_id"), F.expr("p_size % 10").alias("k")).agg(F.min("p_type").alias("text")).selectExpr("table_id", "2 as level", "cast(102 + 30 * k as int) as x", "cast(126 + 30 * k as int) as right", "text")
+    out = T.header_paths(top.unionByName(mid).unionByName(low), ["table_id"])
+    return out.withColumn("path", F.array_join("path", " > "))
+
+
 BOUNDS = """
 h AS (SELECT DISTINCT doc_id, x + 4 AS x, (x - 54) // 90 AS col_no FROM v_table_runs WHERE text IN ('Name', 'Wt', 'Cost', 'Type', 'Range') AND weight = 'bold'),
 m AS (SELECT doc_id, (x - 54) // 90 AS col_no, x, count(*) AS n FROM v_table_runs WHERE weight = 'normal' GROUP BY ALL),
