@@ -351,13 +351,13 @@ cells AS (
 
 @query("f26_level_columns", f"""
 WITH {LEVELED},
-n AS (SELECT doc, regexp_extract(text, '^([0-9]{{1,2}})(?:st|nd|rd|th)?$', 1)::INT AS level, min([region, line]) AS at, arg_min(x, [region, line]) AS x, arg_min("right", [region, line]) AS r
+n AS (SELECT doc, regexp_extract(text, '^([0-9]{{1,2}})(?:st|nd|rd|th)?$', 1)::INT AS level, min([region, line]) AS pos, arg_min(x, [region, line]) AS x, arg_min("right", [region, line]) AS r
   FROM cells WHERE cell = 0 AND regexp_matches(text, '^[0-9]{{1,2}}(st|nd|rd|th)?$') GROUP BY ALL),
-k AS (SELECT *, min(good) OVER (PARTITION BY doc ORDER BY level) AS ok FROM (SELECT *, CASE WHEN row_number() OVER w = level AND coalesce(lag(at) OVER w < at, true) THEN 1 ELSE 0 END AS good FROM n WINDOW w AS (PARTITION BY doc ORDER BY level))),
+k AS (SELECT *, min(good) OVER (PARTITION BY doc ORDER BY level) AS ok FROM (SELECT *, CASE WHEN row_number() OVER w = level AND coalesce(lag(pos) OVER w < pos, true) THEN 1 ELSE 0 END AS good FROM n WINDOW w AS (PARTITION BY doc ORDER BY level))),
 a AS (SELECT doc, x AS anchor, r AS edge FROM k WHERE level = 1 AND ok = 1),
-ln AS (SELECT l.doc, l.region, l.line, (SELECT arg_max({{'level': k.level, 'x': k.x, 'seg': k.at[1]}}, k.level) FROM k WHERE k.doc = l.doc AND k.ok = 1 AND k.at <= [l.region, l.line]) AS i,
-  (SELECT arg_min({{'level': k.level, 'x': k.x, 'seg': k.at[1]}}, k.level) FROM k WHERE k.doc = l.doc AND k.ok = 1 AND k.at >= [l.region, l.line]) AS nx,
-  EXISTS (SELECT 1 FROM k WHERE k.doc = l.doc AND k.ok = 1 AND k.at = [l.region, l.line]) AS opens FROM (SELECT DISTINCT doc, region, line FROM cells) l),
+ln AS (SELECT l.doc, l.region, l.line, (SELECT arg_max({{'level': k.level, 'x': k.x, 'seg': k.pos[1]}}, k.level) FROM k WHERE k.doc = l.doc AND k.ok = 1 AND k.pos <= [l.region, l.line]) AS i,
+  (SELECT arg_min({{'level': k.level, 'x': k.x, 'seg': k.pos[1]}}, k.level) FROM k WHERE k.doc = l.doc AND k.ok = 1 AND k.pos >= [l.region, l.line]) AS nx,
+  EXISTS (SELECT 1 FROM k WHERE k.doc = l.doc AND k.ok = 1 AND k.pos = [l.region, l.line]) AS opens FROM (SELECT DISTINCT doc, region, line FROM cells) l),
 p AS (SELECT cells.*, ln.i.level AS level, CASE WHEN ln.i.seg = region THEN ln.i.x WHEN ln.nx.seg = region THEN ln.nx.x END - anchor AS dx, edge, opens
   FROM cells JOIN ln USING (doc, region, line) JOIN a USING (doc) WHERE ln.i IS NOT NULL),
 e AS (SELECT doc, min([region, line]) AS stop FROM p WHERE dx IS NULL OR (NOT opens AND x - dx <= edge) GROUP BY ALL),
