@@ -107,6 +107,19 @@ def module_id(docs: DataFrame) -> DataFrame:
     )
 
 
+def module_identity(docs: DataFrame, assets: DataFrame) -> DataFrame:
+    """``module, module_id``: an id of what a module holds, its documents (module, pack, id) and its assets (module, name).
+
+    Each different entry's SHA-256 is cut in four numbers that are summed, and the id is the hash of sums and count. Sums do
+    not depend on order and combine before the shuffle, so a module's entries are never put together in one place.
+    """
+    entries = docs.select("module", F.concat_ws("/", "pack", "id").alias("e")).unionByName(assets.select("module", F.concat(F.lit("asset/"), "name").alias("e"))).distinct()
+    hashed = entries.withColumn("_h", F.sha2("e", 256))
+    parts = [F.conv(F.substring("_h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    sums = hashed.groupBy("module").agg(F.count("*").alias("n"), *[F.sum(p).cast("string").alias(f"s{k}") for k, p in enumerate(parts)])
+    return sums.select("module", short_hash(F.concat_ws(",", F.col("n").cast("string"), "s0", "s1", "s2", "s3")).alias("module_id"))
+
+
 def referenced_assets(assets: DataFrame, docs: DataFrame, pattern: str) -> DataFrame:
     """Assets (path) some document's text names."""
     named = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("path")).distinct()

@@ -285,6 +285,45 @@ def drop_given(inline: DataFrame, named: DataFrame, name: str, other_name: str)
     return drop_named(inline, named, name, other_name)
 
 
+# How a chart's box writes where its rank starts, and the two ways in which the title takes the "XP" of that line.
+XP_LINE = r"(?i)^\s*XP(?:\s+level)?\s*:?\s*(\d[\d,]*)\s*(?:[-–—]|\+|to\b)"
+TITLE_THEN_XP = r"^(.*\p{L}.*?)\s+XP\s*$"
+LEVEL_LINE = r"(?i)^\s*level\s*:?\s*\d"
+TITLE_REACH = 4
+
+
+def rank_charts(runs: DataFrame, band: int = 64) -> DataFrame:
+    """Ranks of charts: (doc_id, page, ord, title, min_xp, x, level), a box for each line that tells the XP a rank starts at.
+
+    A box's title is the text in other faces that stands just above its XP line, within the line's width. Ranks that start at
+    the same XP are branches of one level. Pages with one box alone hold no chart. Lines meet titles in bands of the page.
+    """
+    page = ["doc_id", "page"]
+    bands = lambda lo, hi: F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))).alias("_band")
+    reach = TITLE_REACH * F.col("size")
+    titles = runs.where(F.col("text").rlike(TITLE_THEN_XP)).select(*page, F.col("ord").alias("t"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("width").alias("tw"), F.floor(F.col("y") / band).alias("_band"))
+    levels = runs.where(F.col("text").rlike(LEVEL_LINE)).select(*page, F.col("ord").alias("l"), "x", "y", "size", bands(F.col("y"), F.col("y") + reach))
+    under = levels.join(titles, [*page, "_band"]).where((F.col("y") < F.col("ty")) & (F.col("ty") - F.col("y") <= reach) & (F.abs(F.col("x") - F.col("tx")) <= F.col("tw")))
+    lost = under.select(*page, F.col("t").alias("ord"), F.lit("title").alias("_is")).unionByName(under.select(*page, F.col("l").alias("ord"), F.lit("line").alias("_is")))
+    lost = lost.groupBy(*page, "ord").agg(F.max("_is").alias("_is"))
+    text = F.when(F.col("_is") == "title", F.regexp_extract("text", TITLE_THEN_XP, 1)).when(F.col("_is") == "line", F.concat(F.lit("XP "), F.trim("text"))).otherwise(F.col("text"))
+    runs = runs.join(lost, [*page, "ord"], "left").withColumn("text", text).withColumn("_xp", F.col("text").rlike(XP_LINE))
+    lines = runs.where("_xp").select(
+        *page, "ord", "font", F.col("x").alias("lx"), F.col("width").alias("lw"), F.col("y").alias("ly"), reach.alias("_reach"),
+        F.replace(F.regexp_extract("text", XP_LINE, 1), F.lit(","), F.lit("")).cast("long").alias("min_xp"), bands(F.col("y"), F.col("y") + reach),
+    )
+    heads = runs.where(~F.col("_xp") & F.col("text").rlike(r"\p{L}")).select(*page, F.col("font").alias("_f"), "x", "y", "width", F.trim("text").alias("text"), F.floor(F.col("y") / band).alias("_band"))
+    centre = F.col("x") + F.col("width") / 2
+    above = (F.col("y") > F.col("ly")) & (F.col("y") <= F.col("ly") + F.col("_reach")) & (centre >= F.col("lx")) & (centre <= F.col("lx") + F.col("lw"))
+    met = lines.join(heads, [*page, "_band"]).where(above & (F.col("_f") != F.col("font")))
+    words = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("ny"), "x", "text"))), lambda w: w["text"])
+    boxes = met.groupBy(*page, "ord", "min_xp", (F.col("lx") + F.col("lw") / 2).alias("x")).agg(F.array_join(words, " ").alias("title"))
+    title = F.trim(F.regexp_replace(F.regexp_replace("title", r"\s+", " "), r"(-\p{Lu}) (\p{Ll})", "$1$2"))
+    of_page = W.partitionBy(*page)
+    boxes = boxes.withColumns({"title": title, "_n": F.count("*").over(of_page), "level": F.dense_rank().over(of_page.orderBy("min_xp"))})
+    return boxes.where("_n > 1").select(*page, "ord", "title", "min_xp", "x", "level")
+
+
 def branch_paths(ranks: DataFrame) -> DataFrame:
     """Path of each rank down from the first: its parent is the nearest box one level up (x), the left one on a tie.
 

@@ -149,6 +149,54 @@ def _(t):
     return N.branch_paths(ranks)
 
 
+CHARTS = r"""
+p AS (SELECT p_partkey // 100 AS doc_id, (p_partkey // 10) % 10 AS page, p_partkey % 10 AS k, p_size, p_name, p_type FROM part),
+b AS (SELECT *, 60 + 150 * (k % 3) + 4 * (p_size % 9) AS bx, 700 - 120 * (k // 3) AS b_y, p_size % 5 = 0 AS eaten FROM p WHERE k < 9 OR p_size > 2),
+r AS (
+  SELECT doc_id, page, 10 * k AS ord, bx AS x, b_y AS y, 100 AS width, 9 AS size, 'Text' AS font, CASE WHEN eaten THEN 'Level: ' ELSE 'XP Level: ' END || format('{:,}', 700 * (k // 3)) || '-' || (700 * (k // 3) + 699) AS text FROM b
+  UNION ALL SELECT doc_id, page, 10 * k + 1, bx + 10, b_y + 12, 60, 10, 'Head', p_name || CASE WHEN eaten THEN ' XP' ELSE '' END FROM b
+  UNION ALL SELECT doc_id, page, 10 * k + 2, bx + 20, b_y + 24, 40, 10, 'Head', p_type FROM b WHERE p_size % 2 = 0
+  UNION ALL SELECT doc_id, page, 10 * k + 3, bx + 10, b_y + 60, 60, 10, 'Head', 'far above' FROM b
+  UNION ALL SELECT doc_id, page, 10 * k + 4, bx + 10, b_y + 10, 60, 9, 'Text', 'same face' FROM b),
+w AS (SELECT DISTINCT t.doc_id, t.page, t.ord AS t, l.ord AS l FROM r t JOIN r l ON l.doc_id = t.doc_id AND l.page = t.page AND regexp_matches(t.text, '^(.*\p{L}.*?)\s+XP\s*$') AND regexp_matches(l.text, '(?i)^\s*level\s*:?\s*[0-9]')
+  AND l.y < t.y AND t.y - l.y <= 4 * l.size AND abs(l.x - t.x) <= t.width),
+f AS (SELECT r.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.doc_id = r.doc_id AND w.page = r.page AND w.t = r.ord) THEN regexp_extract(text, '^(.*\p{L}.*?)\s+XP\s*$', 1)
+    WHEN EXISTS (SELECT 1 FROM w WHERE w.doc_id = r.doc_id AND w.page = r.page AND w.l = r.ord) THEN 'XP ' || trim(text) ELSE text END AS text) FROM r),
+x AS (SELECT *, replace(regexp_extract(text, '(?i)^\s*XP(?:\s+level)?\s*:?\s*([0-9][0-9,]*)\s*(?:[-–—]|\+|to\b)', 1), ',', '') AS xp FROM f),
+m AS (SELECT x.doc_id, x.page, x.ord, x.xp::BIGINT AS min_xp, x.x + x.width / 2 AS x, string_agg(trim(h.text), ' ' ORDER BY h.y DESC, h.x) AS title
+  FROM x JOIN x h ON h.doc_id = x.doc_id AND h.page = x.page AND x.xp <> '' AND h.xp = '' AND h.font <> x.font AND regexp_matches(h.text, '\p{L}')
+    AND h.y > x.y AND h.y <= x.y + 4 * x.size AND h.x + h.width / 2 BETWEEN x.x AND x.x + x.width GROUP BY ALL),
+chart AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY min_xp) AS level FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, page) > 1)"""
+
+
+def chart_runs(t):
+    """Parts as charts of ranks, nine or ten boxes to a page, some titles with the XP of the line below."""
+    b = t.part.selectExpr("p_partkey div 100 as doc_id", "(p_partkey div 10) % 10 as page", "p_partkey % 10 as k", "p_size", "p_name", "p_type").where("k < 9 or p_size > 2")
+    b = b.selectExpr("*", "60 + 150 * (k % 3) + 4 * (p_size % 9) as bx", "700 - 120 * (k div 3) as b_y", "p_size % 5 = 0 as eaten", "700 * (k div 3) as xp")
+    run = "named_struct('ord', 10 * k + {o}, 'x', bx + {x}, 'y', b_y + {y}, 'width', {w}, 'size', {s}, 'font', '{f}', 'text', {t})".format
+    runs = f"""concat(array({run(o=0, x=0, y=0, w=100, s=9, f='Text', t="concat(if(eaten, 'Level: ', 'XP Level: '), format_number(xp, 0), '-', xp + 699)")},
+        {run(o=1, x=10, y=12, w=60, s=10, f='Head', t="concat(p_name, if(eaten, ' XP', ''))")}, {run(o=3, x=10, y=60, w=60, s=10, f='Head', t="'far above'")},
+        {run(o=4, x=10, y=10, w=60, s=9, f='Text', t="'same face'")}), if(p_size % 2 = 0, array({run(o=2, x=20, y=24, w=40, s=10, f='Head', t='p_type')}), array()))"""
+    return b.selectExpr("doc_id", "page", f"explode({runs}) as r").select("doc_id", "page", "r.*")
+
+
+@query("i15_rank_charts", f"WITH {CHARTS} SELECT doc_id, page, ord, title, min_xp, x, level FROM chart")
+def _(t):
+    return N.rank_charts(chart_runs(t)).select("doc_id", "page", "ord", "title", "min_xp", "x", F.col("level").cast("long").alias("level"))
+
+
+@query("i15_chart_branches", f"""
+WITH RECURSIVE {CHARTS},
+bx AS (SELECT doc_id * 10 + page AS owner, level, title || '#' || ord AS box, x FROM chart),
+par AS (SELECT c.owner, c.level, c.box, (SELECT arg_min(p.box, [abs(p.x - c.x), p.x]) FROM bx p WHERE p.owner = c.owner AND p.level = c.level - 1) AS parent FROM bx c),
+pth AS (SELECT owner, level, box, box AS path FROM par WHERE parent IS NULL UNION ALL SELECT par.owner, par.level, par.box, pth.path || ' > ' || par.box FROM par JOIN pth ON par.owner = pth.owner AND par.parent = pth.box)
+SELECT owner, level, box, path FROM pth""")
+def _(t):
+    """Branches of the charts, from boxes alone."""
+    boxes = N.rank_charts(chart_runs(t)).select((F.col("doc_id") * 10 + F.col("page")).alias("owner"), F.col("level").cast("long").alias("level"), F.concat("title", F.lit("#"), F.col("ord").cast("string")).alias("box"), "x")
+    return N.branch_paths(boxes)
+
+
 @query("i20_drop_given", r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS name FROM documents)
 SELECT name FROM w WHERE regexp_replace(regexp_replace(translate(name, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+', '', 'g'), 's$', '') NOT IN

@@ -195,6 +195,17 @@ def _(t):
     return E.module_id(docs)
 
 
+@query("j8_module_identity", """
+WITH e AS (SELECT DISTINCT source AS module, lang || '/' || md5(text) AS e FROM documents UNION SELECT DISTINCT source, 'asset/' || lang || '.webp' FROM documents),
+h AS (SELECT module, sha256(e) AS h FROM e)
+SELECT module, substr(sha256(concat_ws(',', count(*), sum(('0x' || substr(h, 1, 15))::BIGINT)::HUGEINT, sum(('0x' || substr(h, 16, 15))::BIGINT)::HUGEINT,
+  sum(('0x' || substr(h, 31, 15))::BIGINT)::HUGEINT, sum(('0x' || substr(h, 46, 15))::BIGINT)::HUGEINT)), 1, 16) AS module_id FROM h GROUP BY module""")
+def _(t):
+    docs = t.documents.select(F.col("source").alias("module"), F.col("lang").alias("pack"), F.md5("text").alias("id"))
+    assets = t.documents.select(F.col("source").alias("module"), F.concat("lang", F.lit(".webp")).alias("name"))
+    return E.module_identity(docs, assets)
+
+
 @query("j9_referenced_assets", r"""
 WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS path FROM pages),
 a AS (SELECT DISTINCT '/' || unnest(string_split(replace(text, chr(10), ' '), ' ')) AS path FROM documents)
