@@ -76,6 +76,23 @@ def _(t):
     return R.resolve(pairs(t)).select("doc_id", "page", "ord", "rule", "resolved")
 
 
+@query("e4_number_points", r"""
+WITH g AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN chr(65533) || p_size || 'kg' WHEN 1 THEN p_size || chr(65533) || (100 + p_size) WHEN 2 THEN p_size || chr(65533) || p_size % 10 || 'kg'
+    WHEN 3 THEN 'Full ' || p_size || 'kg' WHEN 4 THEN 'ab' || chr(65533) || 'cd' ELSE 'T his' END AS layer, 50 + p_size AS confidence FROM part),
+r AS (SELECT *, CASE WHEN id % 6 = 2 AND id % 5 = 0 THEN replace(layer, chr(65533), '.') ELSE replace(replace(layer, chr(65533), ''), ' ', '') END AS "read" FROM g),
+k AS (SELECT *, CASE WHEN len(list_filter(string_split(layer, ' '), lambda w: length(w) > 1)) > 1 AND NOT contains("read", ' ') THEN 'keep'
+  WHEN lower(replace(layer, ' ', '')) = lower("read") THEN 'same' WHEN contains(layer, chr(65533)) AND confidence >= 60 THEN 'corrupt' ELSE 'keep' END AS rule,
+  regexp_replace(regexp_replace(layer, '([0-9])' || chr(65533) || '([0-9]{3})$', '\1,\2'), chr(65533) || '([0-9])', '.\1') AS pointed FROM r)
+SELECT id, rule, CASE rule WHEN 'same' THEN "read" WHEN 'corrupt' THEN CASE WHEN replace(layer, chr(65533), '') = "read" AND NOT contains(pointed, chr(65533)) THEN pointed ELSE "read" END ELSE layer END AS resolved FROM k""")
+def _(t):
+    """Sizes whose point the text layer broke, two full words read as one, and letters set apart."""
+    layer = """case p_partkey % 6 when 0 then concat('\ufffd', p_size, 'kg') when 1 then concat(p_size, '\ufffd', 100 + p_size) when 2 then concat(p_size, '\ufffd', p_size % 10, 'kg')
+        when 3 then concat('Full ', p_size, 'kg') when 4 then 'ab\ufffdcd' else 'T his' end"""
+    rows = t.part.selectExpr("p_partkey as id", f"{layer} as layer", "50 + p_size as confidence")
+    read = """case when id % 6 = 2 and id % 5 = 0 then replace(layer, '\ufffd', '.') else replace(replace(layer, '\ufffd', ''), ' ', '') end"""
+    return R.resolve(rows.selectExpr("*", f"{read} as read")).select("id", "rule", "resolved")
+
+
 @query("e5_apply_rewrites", "SELECT doc_id, page, CASE WHEN length(text) >= 6 THEN ord * 2 ELSE ord * 2 END AS ord, text, x, width FROM v_runs")
 def _(t):
     whole = t.runs.where("length(text) >= 6").select("doc_id", "page", (F.col("ord") * 2).alias("host"), (F.col("ord") * 2 + 1).alias("donor"), "text")
@@ -106,6 +123,32 @@ def _(t):
     return R.merge_passes(t.ocr_passes).select("doc_id", "page", "ord", "pass", "text")
 
 
+READINGS = """
+rd AS (SELECT doc_id, page, ord, 0 AS pass, x0, y0, x1, y1, confidence, text FROM v_ocr WHERE (doc_id + ord // 3) % 7 = 0
+  UNION ALL SELECT doc_id, page, ord, 1, x0 + 1, y0, x1 + 1, y1, confidence, text FROM v_ocr WHERE (doc_id + ord) % 2 = 0
+  UNION ALL SELECT doc_id, page, ord, 2, x0, y0 + 1, x1, y1 + 1, least(99, confidence + 15), text FROM v_ocr)"""
+
+
+def readings(n: int, before: str) -> str:
+    """SQL of the pass ``n`` over what ``before`` holds."""
+    over = "w.x0 < m.x1 AND m.x0 < w.x1 AND w.y0 < m.y1 AND m.y0 < w.y1"
+    return f"""n{n} AS (SELECT * FROM rd w WHERE pass = {n} AND confidence >= 60
+  AND NOT EXISTS (SELECT 1 FROM {before} m WHERE m.doc_id = w.doc_id AND m.page = w.page AND m.confidence >= 60 AND {over})
+  AND NOT EXISTS (SELECT 1 FROM rd m WHERE m.pass = 0 AND m.doc_id = w.doc_id AND m.page = w.page AND NOT ({over})
+    AND least(w.y1, m.y1) - greatest(w.y0, m.y0) >= 0.5 * least(w.y1 - w.y0, m.y1 - m.y0) AND greatest(m.x0 - w.x1, w.x0 - m.x1) <= 2 * (m.y1 - m.y0))),
+m{n} AS (SELECT * FROM {before} m WHERE NOT EXISTS (SELECT 1 FROM n{n} w WHERE m.doc_id = w.doc_id AND m.page = w.page AND {over}) UNION ALL SELECT * FROM n{n})"""
+
+
+@query("e8_merge_readings", f"WITH {READINGS}, p0 AS (SELECT * FROM rd WHERE pass = 0), {readings(1, 'p0')}, {readings(2, 'm1')} SELECT doc_id, page, pass, ord, text FROM m2")
+def _(t):
+    """Three passes: few words, every second word, and all words more surely."""
+    box = ["x0", "y0", "x1", "y1"]
+    one = lambda n, dx, dy, sure: t.ocr.select("doc_id", "page", "ord", F.lit(n).alias("pass"), *[(F.col(c) + (dx if c[0] == "x" else dy)).alias(c) for c in box], sure.alias("confidence"), "text")
+    sure = F.col("confidence")
+    passes = one(0, 0, 0, sure).where("(doc_id + ord div 3) % 7 = 0").unionByName(one(1, 1, 0, sure).where("(doc_id + ord) % 2 = 0")).unionByName(one(2, 0, 1, F.least(F.lit(99), sure + 15)))
+    return R.merge_readings(passes, 3).select("doc_id", "page", "pass", "ord", "text")
+
+
 @query("e9_keep_words", r"""
 SELECT doc_id, page, ord, text FROM v_ocr WHERE confidence >= CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 60 ELSE 85 END""")
 def _(t):
