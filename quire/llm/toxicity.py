@@ -34,7 +34,7 @@ WORD_DOCS = 2
 LEAST_DOCS, LEAST_G2, LEAST_LIFT = 4, 20.0, 20.0
 BEGINNINGS = range(4, 9)
 NEIGHBOURS = 16
-BLOCK = 256
+BLOCK = 128
 COMMON = 512  # terms that are held as rows
 TOGETHER = 64  # texts that are searched at a time
 VOTERS = 12  # tasks of the votes on examples
@@ -105,7 +105,8 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class BlockMax:
-    """Exact nearest vectors by cosine. Vectors lie in blocks of like length, so that their weights are alike.
+    """Exact nearest vectors by cosine. Vectors lie in blocks that share their commonest term and are of like length, so that
+    their weights are alike.
 
     The terms of most vectors (``COMMON`` of them) are held as rows of the vectors, with the greatest weight of each block;
     the postings of all others by term. A search adds up the postings, which gives every vector's exact share of the rarer
@@ -116,13 +117,17 @@ class BlockMax:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK, common: int = COMMON):
         self.n, self.block = len(vectors), block
         sizes = np.array([len(i) for i, _ in vectors], np.int64)
-        self.place = np.argsort(sizes, kind="stable").astype(np.int32)  # the vector at each inner place
-        inner = np.empty(self.n, np.int32)
-        inner[self.place] = np.arange(self.n, dtype=np.int32)
         term = np.concatenate([np.zeros(0, np.int32), *(i.astype(np.int32) for i, _ in vectors)])
         weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
-        at = np.repeat(inner, sizes)
         df = np.bincount(term)
+        self.rank = rank = np.empty(len(df), np.int64)
+        rank[np.argsort(-df, kind="stable")] = np.arange(len(df))
+        lead = np.full(self.n, len(df))  # each vector's commonest term: texts of one language share it
+        np.minimum.at(lead, np.repeat(np.arange(self.n), sizes), rank[term])
+        self.place = np.lexsort((sizes, lead)).astype(np.int32)  # the vector at each inner place
+        inner = np.empty(self.n, np.int32)
+        inner[self.place] = np.arange(self.n, dtype=np.int32)
+        at = np.repeat(inner, sizes)
         self.terms = len(df)
         most = np.sort(np.argsort(-df, kind="stable")[:common])
         self.row = np.full(self.terms, -1, np.int32)  # the column of a common term
@@ -139,6 +144,10 @@ class BlockMax:
         self.at, self.weight = at[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(self.terms + 1))
 
+    def lead(self, ids: np.ndarray) -> int:
+        """The rank of the commonest of the terms."""
+        return int(self.rank[ids[ids < self.terms]].min(initial=self.terms))
+
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest that share a term, nearest first, ties to the smaller place."""
         return self.nearest_of([(ids, weights)], k)[0]
@@ -271,10 +280,11 @@ class Model:
         """The score of each text's terms, and its neighbours with cosines and labels."""
         starts, values = self.steps
         out: list = [(self.rate(*self.none), [])] * len(counts)
-        full = [i for i, c in enumerate(counts) if c] if len(starts) else []
+        full = [(i, vector(c, self.idf)) for i, c in enumerate(counts) if c] if len(starts) else []
+        full.sort(key=lambda v: self.index.lead(v[1][0]))  # like texts meet like blocks
         for begin in range(0, len(full), TOGETHER):
             some = full[begin : begin + TOGETHER]
-            for i, (at, near) in zip(some, self.index.nearest_of([vector(counts[i], self.idf) for i in some], self.k), strict=True):
+            for (i, _), (at, near) in zip(some, self.index.nearest_of([v for _, v in some], self.k), strict=True):
                 step = int(np.searchsorted(starts, self.vote(at, near), side="right")) - 1
                 share = self.toxic[at] / self.rows[at]
                 out[i] = float(values[max(0, step)]), [(self.docs[j], s, y) for j, s, y in zip(at.tolist(), near.tolist(), share.tolist(), strict=True)]
