@@ -35,7 +35,8 @@ LEAST_DOCS, LEAST_G2, LEAST_LIFT = 4, 20.0, 20.0
 BEGINNINGS = range(4, 9)
 NEIGHBOURS = 16
 BLOCK = 128
-COMMON = 512  # terms that are held as rows
+COMMON = 384  # terms that are held as rows
+FIT_BLOCK, SCORE_BLOCK = 1 << 20, 2 << 20  # bytes of texts whose terms a task holds
 TOGETHER = 64  # texts that are searched at a time
 VOTERS = 12  # tasks of the votes on examples
 PRIOR = 0.1
@@ -115,10 +116,19 @@ class BlockMax:
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK, common: int = COMMON):
-        self.n, self.block = len(vectors), block
-        sizes = np.array([len(i) for i, _ in vectors], np.int64)
-        term = np.concatenate([np.zeros(0, np.int32), *(i.astype(np.int32) for i, _ in vectors)])
-        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        none = [np.zeros(0, np.int32)], [np.zeros(0)]
+        terms, weights = (np.concatenate([*first, *parts]) for first, parts in zip(none, zip(*vectors) if vectors else ((), ()), strict=True))
+        self.fill(np.array([len(i) for i, _ in vectors], np.int64), terms.astype(np.int32), weights, block, common)
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = BLOCK, common: int = COMMON) -> "BlockMax":
+        """The index of vectors that lie one behind the other."""
+        new = cls.__new__(cls)
+        new.fill(sizes, term, weight, block, common)
+        return new
+
+    def fill(self, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int, common: int) -> None:
+        self.n, self.block = len(sizes), block
         df = np.bincount(term)
         self.rank = rank = np.empty(len(df), np.int64)
         rank[np.argsort(-df, kind="stable")] = np.arange(len(df))
@@ -128,6 +138,7 @@ class BlockMax:
         inner = np.empty(self.n, np.int32)
         inner[self.place] = np.arange(self.n, dtype=np.int32)
         at = np.repeat(inner, sizes)
+        del inner, lead
         self.terms = len(df)
         most = np.sort(np.argsort(-df, kind="stable")[:common])
         self.row = np.full(self.terms, -1, np.int32)  # the column of a common term
@@ -237,7 +248,11 @@ class Model:
     @property
     def index(self) -> BlockMax:
         if self.built is None:
-            self.built = BlockMax([self.example(i) for i in range(len(self.docs))])
+            weight = (1 + np.log(self.counts.astype(float))) * self.idf[self.terms]
+            sizes = np.diff(self.offsets)
+            length = np.sqrt(np.add.reduceat(weight * weight, self.offsets[:-1])) if len(sizes) else np.zeros(0)
+            weight /= np.repeat(length, sizes)
+            self.built = BlockMax.of(sizes, self.terms, weight)
         return self.built
 
     def example(self, place: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
-        for block in text_blocks(batches, text):
+        for block in text_blocks(batches, text, FIT_BLOCK):
             found: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(strings(block.column(text)), block.column("label").to_pylist(), strict=True):
                 terms = set()
@@ -342,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(ids)
-        for block in text_blocks(batches, text):
+        for block in text_blocks(batches, text, FIT_BLOCK):
             counts = [terms.count(t) for t in strings(block.column(text))]
             yield pa.RecordBatch.from_arrays(
                 [block.column(key), block.column("label"), pa.array([sorted(c) for c in counts], pa.list_(pa.int32())), pa.array([[c[i] for i in sorted(c)] for c in counts], pa.list_(pa.int32()))],
@@ -380,7 +395,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         m = shared.value
         terms = Terms(m.ids)
         kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.float64())]))
-        for block in text_blocks(batches, text):
+        for block in text_blocks(batches, text, SCORE_BLOCK):
             got = m.scores([terms.count(t) for t in strings(block.column(text))])
             told = [[{"example": d, "cosine": c, "label": y} for d, c, y in e] for _, e in got]
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in kept), pa.array([s for s, _ in got], pa.float64()), pa.array(told, kind)], names=[*kept, "score", "evidence"])
