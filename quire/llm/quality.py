@@ -27,6 +27,7 @@ from quire.llm.shingles import SPACE, word_values
 GRAM = 4
 BUCKETS = 1 << 16
 FILTER_BITS = 1 << 24  # of labelled ids, 2 MB
+PART = 1024  # buckets whose counts a task sends together
 DIGITS = 4
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -164,12 +165,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         found = np.zeros(buckets, np.int64)
         for block in text_blocks(batches, "text"):
             found += np.bincount(grams(block.column("text"), buckets=buckets)[0], minlength=buckets)
-        there = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(found[there])], names=["bucket", "n"])
+        parts = [(k, found[k : k + PART].tobytes()) for k in range(0, buckets, PART) if found[k : k + PART].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([n for _, n in parts], pa.binary())], names=["first", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column("first").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(counts, np.int64)
+        for k, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(k + np.arange(len(counts))), pa.array(counts)], names=["bucket", "n"])
 
     def sums(rows: DataFrame) -> np.ndarray:
         out = np.zeros(buckets)
-        for r in rows.select("text").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most `buckets`
+        parts = rows.select("text").mapInArrow(counted, "first int, counts binary").repartition("first")
+        for r in parts.mapInArrow(summed, "bucket long, n long").collect():  # at most `buckets`
             out[r.bucket] = r.n
         return out
 
