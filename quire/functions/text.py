@@ -43,8 +43,8 @@ def letters(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"\s+", ""))
 
 
-def in_order_within(part: str, whole: str) -> Column:
-    """Whether the letters of column ``part`` all appear, in order, in column ``whole``."""
+def is_subsequence(part: str, whole: str) -> Column:
+    """Whether column ``part`` is a subsequence of column ``whole``."""
     return F.expr(
         f"""aggregate(split({part}, ''), 1, (at, ch) ->
               case when at = 0 or locate(ch, {whole}, at) = 0 then 0 else locate(ch, {whole}, at) + 1 end) > 0"""
