@@ -14,6 +14,7 @@ ROOT = "/root/testdata/sf0.001"
 FEW = """
 a2_parse_tree a6_pack_lines b4_page_gutters b8_reading_order b16_cut_regions c3_merge_overprint c5_running_furniture d2_vouch
 e2_nearest_run e4_resolve f12_continue_tables f21_roll_tables f18_typed_cast g3_section_path g18_page_numbering h2_grids h6_diagram
+g3_size_path f5_sub_tables f26_level_columns h3_lattice_rows i3_rebuilt i15_chart_branches e4_number_points e8_merge_readings
 i2_consolidate i6_introduce i22_claim_parts j1_content_id j5_merge_editions k5_apply_plan l6_leaf_agreement l8_match_tiers
 """.split()
 
