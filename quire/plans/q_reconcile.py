@@ -102,7 +102,8 @@ def _(t):
 @query("e6_insert_lineless", f"""
 WITH {BOXES},
 ls AS (SELECT doc_id, page, max(ord) AS mx FROM lined GROUP BY ALL),
-ll AS (SELECT o.*, row_number() OVER (PARTITION BY o.doc_id, o.page ORDER BY y0 DESC, x0, o.ord) AS n FROM v_ocr o ANTI JOIN asg USING (doc_id, page, ord) WHERE confidence >= 85)
+ll AS (SELECT o.*, row_number() OVER (PARTITION BY o.doc_id, o.page ORDER BY y0 DESC, x0, o.ord) AS n FROM v_ocr o ANTI JOIN asg USING (doc_id, page, ord)
+  WHERE confidence >= 85 AND regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AND (length(text) <= 1 OR y1 - y0 <= x1 - x0))
 SELECT doc_id, page, text, ord, false AS inserted FROM lined UNION ALL SELECT ll.doc_id, ll.page, text, coalesce(mx, 0) + n, true FROM ll LEFT JOIN ls USING (doc_id, page)""")
 def _(t):
     return R.insert_lineless(body_lines(t), assigned(t)[1]).select("doc_id", "page", "text", "ord", "inserted")
@@ -155,6 +156,22 @@ def _(t):
     return R.keep_words(t.ocr, 60, 85).select("doc_id", "page", "ord", "text")
 
 
+@query("e9_scan_words", r"""
+WITH w AS (SELECT doc_id, page, ord, CASE WHEN ord % 13 = 0 THEN '|[' ELSE text END AS text, x0, y0, CASE WHEN ord % 11 = 0 THEN x0 + 5 ELSE x1 END AS x1, y1, confidence - 15 AS confidence, ord % 100 AS line,
+  y0 + CASE (doc_id + ord) % 9 WHEN 0 THEN 9 WHEN 1 THEN -4 ELSE 1 END AS baseline, 11 AS line_height FROM v_ocr),
+k AS (SELECT *, y1 - y0 AS h, baseline < y0 - 0.25 * (y1 - y0) OR baseline > y1 - 0.25 * (y1 - y0) AS away FROM w
+  WHERE confidence >= CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 40 ELSE 70 END AND NOT (length(text) >= 3 AND y1 - y0 > 1.5 * (x1 - x0)) AND NOT regexp_matches(text, '^[|\[\]]+$'))
+SELECT doc_id, page, ord, CASE WHEN away THEN 10000000 + ord ELSE line END AS line, CASE WHEN away THEN y0 ELSE baseline END AS baseline, (CASE WHEN away THEN h ELSE line_height END)::BIGINT AS line_height FROM k""")
+def _(t):
+    """Readings with some words on their side, some ruled edges, and some on a line above or below their own."""
+    words = t.ocr.selectExpr(
+        "doc_id", "page", "ord", "if(ord % 13 = 0, '|[', text) as text", "x0", "y0", "if(ord % 11 = 0, x0 + 5, x1) as x1", "y1", "confidence - 15 as confidence", "ord % 100 as line",
+        "y0 + case (doc_id + ord) % 9 when 0 then 9 when 1 then -4 else 1 end as baseline", "11L as line_height",
+    )
+    out = R.scan_words(words, mark=70)
+    return out.select("doc_id", "page", "ord", "line", F.col("baseline").cast("long").alias("baseline"), F.col("line_height").cast("long").alias("line_height"))
+
+
 @query("e10_size_modes", """
 WITH b AS (SELECT l_returnflag AS doc_id, round(ln(l_quantity) / 0.02)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY ALL),
 s AS (SELECT doc_id, bin + d AS bin, sum(n * greatest(4 - abs(d), 0))::BIGINT AS w FROM b, unnest(range(-4, 5)) u(d) GROUP BY ALL),

@@ -44,3 +44,15 @@ def test_module_identity(spark):
     again = {r.module: r.module_id for r in E.module_identity(docs.orderBy(F.desc("id")), assets).collect()}
     assert ids == again and len({*ids.values()}) == 3
     assert {r.module: r.module_id for r in E.module_identity(docs, assets.limit(0)).collect()}["m"] == {r.module: r.module_id for r in E.module_identity(docs, assets.limit(0)).collect()}["n"]
+
+
+def test_scan_words_and_upright_inserts(spark):
+    rows = [(1, 0, 1, "word", 0.0, 0.0, 30.0, 10.0, 50, 7, 1.0, 11.0), (1, 0, 2, "Tab", 0.0, 0.0, 5.0, 30.0, 90, 7, 1.0, 11.0), (1, 0, 3, "|]", 0.0, 0.0, 5.0, 9.0, 99, 7, 1.0, 11.0),
+            (1, 0, 4, "41", 0.0, 0.0, 5.0, 10.0, 90, 7, -4.0, 11.0), (1, 0, 5, "-", 0.0, 0.0, 5.0, 5.0, 80, 7, 1.0, 11.0), (1, 0, 6, "cell", 0.0, 20.0, 30.0, 30.0, 60, 7, 28.0, 11.0)]
+    schema = "doc_id int, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double, confidence int, line int, baseline double, line_height double"
+    words = spark.createDataFrame(rows, schema)
+    got = sorted((r.text, r.line, r.baseline, r.line_height) for r in R.scan_words(words).collect())
+    assert got == [("41", 10_000_004, 0.0, 10.0), ("cell", 10_000_006, 20.0, 10.0), ("word", 7, 1.0, 11.0)]
+    runs = spark.createDataFrame([(1, 0, 0.0, 0.0, 5.0, "a", 8)], "doc_id int, page int, x double, y double, width double, text string, ord int")
+    out = R.insert_lineless(runs, words.withColumn("confidence", F.lit(90)))
+    assert sorted((r.text, r.inserted) for r in out.collect()) == [("a", False), ("cell", True), ("word", True)]
