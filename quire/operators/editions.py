@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions.jsonleaf import quoted
-from quire.functions.scans import first_row
 
 ID = (1, 16)
 
@@ -149,7 +148,3 @@ def by_target(df: DataFrame, column: str) -> DataFrame:
 def merged_documents(docs: DataFrame, merged: DataFrame, key: list[str]) -> DataFrame:
     """Each edition's copy replaced by the merged document of its group, its own sort kept."""
     return docs.join(merged, key, "left").withColumn("doc", F.coalesce("merged", "doc")).drop("merged")
-
-
-def first_of_pack(docs: DataFrame) -> DataFrame:
-    return first_row(docs, ["pack", "id"], [F.col("ordinal")])

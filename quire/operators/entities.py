@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import keys as K
 from quire.functions.jsonleaf import nested as json_of
-from quire.functions.scans import as_of, carry_last, first_row
+from quire.functions.scans import as_of, carry_last
 
 
 def with_keys(df: DataFrame, name: str) -> DataFrame:
@@ -276,10 +276,6 @@ def link_children(children: DataFrame, owner: str, label: str) -> DataFrame:
     return children.groupBy(owner, label).agg(F.array_join(F.sort_array(F.collect_list("child")), "; ").alias("options"))
 
 
-def best_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return first_row(df, keys, order)
-
-
 def drop_given(inline: DataFrame, named: DataFrame, name: str, other_name: str) -> DataFrame:
     """Inline profiles whose name another reading gives are dropped."""
     return drop_named(inline, named, name, other_name)

@@ -68,6 +68,22 @@ def _(t):
     return P.manifest(packs).select("module", text.alias("packs"))
 
 
+@query("a7_module_manifest", """
+WITH p AS (SELECT DISTINCT p_brand AS module, 'l' || right(p_brand, 1) AS line, CASE WHEN p_type LIKE 'S%' THEN 'x-' ELSE 'l' || right(p_brand, 1) || '-' END || lower(replace(p_type, ' ', '-')) || '-items' AS pack,
+  CASE WHEN p_type LIKE 'S%' THEN '{"a":1}' END AS flags FROM part),
+b AS (SELECT *, CASE WHEN starts_with(pack, line || '-') THEN substr(pack, length(line) + 2) ELSE pack END AS rest FROM p),
+k AS (SELECT module, string_agg(pack || '=' || array_to_string(list_transform(list_filter(string_split(rest, '-'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') || '=packs/' || pack || '=' || coalesce(flags, ''), ';' ORDER BY pack) AS packs,
+  string_agg(pack, ',' ORDER BY pack) AS folder FROM b GROUP BY module)
+SELECT module, packs, folder, (SELECT string_agg(s, ', ' ORDER BY s) FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS s FROM part WHERE p_brand = k.module)) AS title FROM k""")
+def _(t):
+    line = "concat('l', right(p_brand, 1))"
+    pack = f"concat(if(p_type like 'S%', 'x-', concat({line}, '-')), lower(replace(p_type, ' ', '-')), '-items')"
+    packs = t.part.selectExpr("p_brand as module", f"{line} as line", f"{pack} as pack", "'Item' as type", """if(p_type like 'S%', '{"a":1}', null) as flags""").distinct()
+    out = P.module_manifest(packs, t.part.selectExpr("p_brand as module", "split(p_name, ' ')[0] as source"), "1.0")
+    text = F.array_join(F.transform("packs", lambda p: F.concat_ws("=", p["pack"], p["label"], p["path"], F.coalesce(p["flags"]["system"], F.lit("")))), ";")
+    return out.select("module", text.alias("packs"), F.array_join("folder.packs", ",").alias("folder"), "title")
+
+
 @query("a8_split_refused", "SELECT d.doc_id, coalesce(toxic = 1, false) AS refused FROM documents d LEFT JOIN labels USING (doc_id)")
 def _(t):
     docs = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "toxic")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quire.functions.scans import first_row
 
 
-def read_corpus(spark: SparkSession, path: str, version: int, kinds: tuple[str, ...] = ("runs", "pages", "ocr")) -> dict[str, DataFrame]:
+def read_corpus(spark: SparkSession, path: str, version: int, kinds: tuple[str, ...] = ("runs", "pages", "ocr", "placements")) -> dict[str, DataFrame]:
     """Tables of a corpus folder, rows of another version left out (a partition filter where partitioned by it)."""
     return {k: of_version(spark.read.parquet(f"{path}/{k}"), version) for k in kinds}
 
@@ -37,8 +37,3 @@ def split_refused(docs: DataFrame, refused: Column) -> tuple[DataFrame, DataFram
     """Documents to go on with, and those refused; a null verdict is no refusal."""
     verdict = F.coalesce(refused, F.lit(False))
     return docs.where(~verdict), docs.where(verdict)
-
-
-def any_refused(refused: DataFrame) -> bool:
-    """Whether the run should report failure: reads one row."""
-    return not refused.isEmpty()

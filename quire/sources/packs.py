@@ -71,3 +71,21 @@ def manifest(packs: DataFrame) -> DataFrame:
     """
     label = F.initcap(F.translate("pack", "-_", "  "))
     return packs.groupBy("module").agg(F.sort_array(F.collect_list(F.struct("pack", label.alias("label"), "type"))).alias("packs"))
+
+
+def module_manifest(packs: DataFrame, sources: DataFrame, release: str) -> DataFrame:
+    """One row per module: its sources and title, its packs with label, path and flags, and the folder that shows them.
+
+    ``packs`` (module, line, pack, type, flags: null or what the system wants told) has a row for each pack, ``sources``
+    (module, source) the books; both are as many as a manifest lists. A pack's label leaves out the line it is for.
+    """
+    prefix = F.concat("line", F.lit("-"))
+    rest = F.when(F.startswith("pack", prefix), F.substr("pack", F.length(prefix) + 1)).otherwise(F.col("pack"))
+    words = F.filter(F.split(rest, "-"), lambda w: w != "")
+    label = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
+    flags = F.struct(F.lit(release).alias("release"), F.col("flags").alias("system"))
+    pack = F.struct("pack", label.alias("label"), F.concat(F.lit("packs/"), "pack").alias("path"), "type", flags.alias("flags"))
+    listed = packs.groupBy("module").agg(F.sort_array(F.collect_list(pack)).alias("packs"))
+    books = sources.groupBy("module").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    out = listed.join(books, "module", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    return out.withColumns({"title": F.array_join("sources", ", "), "folder": F.struct(F.col("module").alias("name"), F.col("packs.pack").alias("packs"))})
