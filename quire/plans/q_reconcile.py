@@ -28,7 +28,7 @@ def assigned(t):
 
 @query("e1_assign_words", f"""
 WITH {BOXES}
-SELECT o.doc_id, o.page, o.ord, coalesce(asg.col, -1) AS col, coalesce(asg.line, -1) AS line FROM v_ocr o LEFT JOIN asg USING (doc_id, page, ord)""")
+SELECT doc_id, page, ord, col, line FROM asg UNION ALL SELECT doc_id, page, ord, -1, -1 FROM v_ocr ANTI JOIN asg USING (doc_id, page, ord)""")
 def _(t):
     matched, lineless = assigned(t)
     cols = ["doc_id", "page", "ord"]
