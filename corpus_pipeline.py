@@ -3,7 +3,7 @@ masked, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of
 ``docs``, extra ones included. Null texts count as empty and stay null where nothing is cut; rows with a null id are never
-dropped as duplicates and nothing is cut from them, for nothing can refer to them. Rows that repeat id and text become one
+dropped as duplicates, for nothing can refer to them. Rows that repeat id and text become one
 in the near-duplicate stage. Empty tables pass through.
 """
 

@@ -300,6 +300,17 @@ def test_repeats(spark, odd, none, crowd):
     assert texts[0] is None and texts[5] == texts[6] == "" and texts[3] == "one two"
 
 
+def test_repeats_without_ids(spark):
+    """Ids that are null or name several texts: each row is judged by its own text."""
+    rnd = random.Random(9)
+    say = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
+    share = [say(90) for _ in range(3)]
+    rows = [(None if i % 5 == 0 else i % 4, say(20 + i) + share[i % 3] + say(40)) for i in range(24)] + [(None, None), (1, None), (1, "")]
+    got = collections.Counter(tuple(r) for r in repeats.digest(repeats.without_repeats(frame(spark, rows), length=60, content=30)).collect())
+    want = without([(k, (t or "").encode()) for k, (_, t) in enumerate(rows)], 60)
+    assert got == collections.Counter((i, *want[k][0]) for k, (i, _) in enumerate(rows))
+
+
 def test_packing(docs, odd, none):
     from tokenizers import Tokenizer
 
