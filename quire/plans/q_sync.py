@@ -141,7 +141,7 @@ WITH {GROUPS},
 f AS (SELECT k, source AS edition, unnest([{{'field': 'chars', 'value': n_chars::VARCHAR}}, {{'field': 'doc', 'value': doc_id::VARCHAR}}, {{'field': 'tags', 'value': lang || ',' || source}}], recursive := true) FROM m)
 SELECT k, field, max(edition) AS canonical, CASE WHEN field = 'tags' THEN
     (SELECT string_agg(DISTINCT v, ',' ORDER BY v) FROM (SELECT unnest(string_split(string_agg(value, ','), ',')) AS v))
-  WHEN count(DISTINCT value) = 1 THEN min(value) ELSE string_agg(edition || ':' || value, ';' ORDER BY edition) END AS value
+  WHEN count(DISTINCT value) = 1 THEN min(value) ELSE string_agg(edition || ':' || value, ';' ORDER BY edition, value) END AS value
 FROM f GROUP BY k, field""")
 def _(t):
     rows = grouped(t).select(
