@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions.scans import carry_last, islands, prefix_sum, previous
+from quire.session import cut_lineage
 
 ROW = ["table_id", "row_no"]
 
@@ -507,6 +508,7 @@ def level_rows(cells: DataFrame, keys: list[str], segment: str, order: str) -> D
     rows = firsts.select(*keys, F.col(f"_at.{segment}").alias(segment), F.col(f"_at.{order}").alias(order), F.struct("level", F.col("_x").alias("x"), F.col(f"_at.{segment}").alias("seg")).alias("_row"))
     lines = cells.select(*keys, segment, order).distinct().join(rows, [*keys, segment, order], "left")
     lines = carry_last(lines, keys, segment, [order], F.col("_row"), "_in").where("_in is not null")
+    lines = cut_lineage(lines).hint("merge")  # carried once more below, which reads it six times
     back = lines.withColumns({"_bs": -F.col(segment), "_bo": -F.col(order)})
     back = carry_last(back, keys, "_bs", ["_bo"], F.col("_row"), "_next").drop("_bs", "_bo")
     same = F.col("_in.seg") == F.col(segment)
@@ -521,7 +523,7 @@ def level_rows(cells: DataFrame, keys: list[str], segment: str, order: str) -> D
 
 def level_columns(cells: DataFrame, headers: DataFrame, keys: list[str], segment: str, order: str) -> DataFrame:
     """Level tables with columns found by overlap: (keys, level, col_no, header, text), one row for each filled cell."""
-    placed = level_rows(cells, keys, segment, order)
+    placed = cut_lineage(level_rows(cells, keys, segment, order)).hint("merge")
     spans = column_spans(placed, keys)
     heads = header_columns(headers, spans, keys)
     parts = F.sort_array(F.collect_list(F.struct("line", "x", "text")))

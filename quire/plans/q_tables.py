@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import layout as L, tables as T
 from quire.plans.q_layout import LINES
 from quire.plans.registry import query
+from quire.sources.views import exploded
 
 TLINES = LINES.replace("v_full_runs", "v_table_runs")
 EDGES = f"""
@@ -378,7 +379,7 @@ def _(t):
             {cell(line=f'2 * {r}', cell=1, x=f'90 + {dx} + p_size % 7', right=f'90 + {dx} + p_size % 7 + 5 * length(p_name)', text='p_name')}),
         if(p_size % 5 > 0, array({cell(line=f'2 * {r}', cell=2, x=f'240 + {dx} - 3 * (p_size % 4)', right=f'260 + {dx} - 3 * (p_size % 4)', text='cast(p_size as string)')}), array()),
         if(p_size % 3 = 0, array({cell(line=f'2 * {r} + 1', cell=0, x=f'if(p_partkey % 331 = 330, 60, 92) + {dx}', right=f'92 + {dx} + 5 * length(p_type)', text='p_type')}), array()))"""
-    rows = t.part.selectExpr("p_partkey div 10 as doc", f"{r} div 5 as region", f"explode({cells}) as c").select("doc", "region", "c.*")
+    rows = t.part.selectExpr("p_partkey div 10 as doc", f"{r} div 5 as region", f"explode({cells}) as c").select("doc", "region", "c.*").transform(exploded)
     words = [(0, 50, 75, "Level"), (0, 100, 120, "Class"), (1, 100, 140, "Features"), (1, 300, 320, "Cost")]
     structs = [F.struct(F.lit(o).alias("order"), F.lit(x).alias("x"), F.lit(e).alias("right"), F.lit(w).alias("text")) for o, x, e, w in words]
     heads = rows.select("doc").distinct().select("doc", F.explode(F.array(*structs)).alias("h")).select("doc", "h.*")
