@@ -19,6 +19,9 @@ from quire.llm.shared import stored
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes from which a repeat is cut, and of those that anchors compare. A passage of 51 words has about 300 bytes in these
+#: languages, so the 400 of the query ``op6_suffix_dedup`` (fixed by its contract) would leave most of them.
+REPEAT, CONTENT = 200, 100
 
 
 def plain_names(stage):
@@ -47,7 +50,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @plain_names
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return measured(repeats.trimmed(repeats.without_repeats(docs)), docs)
+    """Repeats of ``REPEAT`` bytes, which every repeat of 400 consists of, so that passages of over 50 words go as well."""
+    return measured(repeats.trimmed(repeats.without_repeats(docs, length=REPEAT, content=CONTENT)), docs)
 
 
 @plain_names

@@ -511,3 +511,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert totals == {i: 1 + len(library.encode(t or "", add_special_tokens=False).ids) for i, t in seen[3].items()}
     whole = corpus_pipeline.run(spark, str(root)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
     assert sorted(whole, key=str) == sorted((r[:5] for r in seen[4]), key=str)
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """Planted passages of 51 words, most of them under 400 bytes, go from both texts; texts without one stay."""
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeéo") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    passages = [say(51) for _ in range(20)]
+    assert max(len(p.encode()) for p in passages) < 400
+    texts = [f"{say(80)} {p} {say(90)}" for p in passages for _ in range(2)] + [say(200) for _ in range(40)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, frame(spark, list(enumerate(texts))), SMALL).collect()}
+    assert sum(passages[i // 2] in out[i] or len(out[i]) > len(texts[i]) - len(passages[i // 2]) for i in range(40)) == 0
+    assert all(out[i] == texts[i] for i in range(40, 80))
