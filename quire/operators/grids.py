@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions.scans import as_of, islands, prefix_sum
@@ -91,28 +93,65 @@ def lattice_rows(lines: DataFrame, keys: list[str], order: list[str], agree: flo
     names = ", ".join(f"'{v.lower()}'" for v in order)
     w = W.partitionBy(*keys).orderBy(F.desc("y"))
     rows = lines.withColumns({"_vx": F.lead("xs").over(w), "_vt": F.lead("texts").over(w)})
-    rows = rows.withColumn("_l", F.expr(f"transform(arrays_zip(xs, texts), l -> named_struct('o', array_position(array({names}), lower(trim(l.texts))) - 1, 'c', cast(l.xs as double)))"))
-    rows = rows.where("size(_l) >= 2 and _vt is not null and forall(_l, l -> l.o >= 0) and forall(sequence(1, size(_l) - 1), i -> _l[i].o > _l[i - 1].o)")
-    rows = rows.withColumn("_n", F.expr(r"size(filter(_vt, v -> v rlike '^\\d+$'))"))
-    fixed = F.when(F.col("_n") * 2 >= F.size("_vt"), F.transform("_vt", lambda v: F.translate(v, "IlOo", "1100"))).otherwise(F.col("_vt"))
-    rows = rows.withColumn("_vt", fixed).where(r"forall(_vt, v -> v rlike '^(\\d+|[-–—]+)$')")
-    pairs = """flatten(transform(_l, a -> transform(filter(_l, b -> b.o > a.o), b -> named_struct(
-        'p', (b.c - a.c) / (b.o - a.o), 'b', a.c - (b.c - a.c) / (b.o - a.o) * a.o))))"""
-    rows = rows.withColumn("_pairs", F.expr(f"filter({pairs}, q -> q.p > 0)"))
-    off = "abs(l.c - q.b - q.p * l.o)"
-    best = f"""array_min(transform(_pairs, q -> named_struct('less', -size(filter(_l, l -> {off} <= {agree} * q.p)),
-        'err', round(aggregate(filter(_l, l -> {off} <= {agree} * q.p), 0D, (s, l) -> s + {off}), 3), 'p', round(q.p, 6), 'b', round(q.b, 6))))"""
-    rows = rows.withColumn("_q", F.expr(best)).where("_q is not null and -_q.less >= 2")
-    values = rows.select(*keys, "y", "_l", "_q", F.explode(F.arrays_zip(F.col("_vx").alias("x"), F.col("_vt").alias("t"))).alias("v"))
-    values = values.withColumn("i", F.floor((F.col("v.x") - F.col("_q.b")) / F.col("_q.p") + 0.5).cast("int"))
-    near = F.abs(F.col("v.x") - F.col("_q.b") - F.col("_q.p") * F.col("i")) <= reach * F.col("_q.p")
-    values = values.where(near & F.col("i").between(0, len(order) - 1))
-    out = values.groupBy(*keys, "y", "i").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["t"]), "").alias("t"), F.first("_l").alias("_l")
-    )
+    # an array of one entry names a value that is used twice; as one generator, nothing of it is worked out again
+    named = "transform(array({1}), {0} -> {2})[0]".format
+    kept = "if({0}, {1}, array())".format
+    known = f"size(texts) >= 2 and _vt is not null and forall(texts, t -> array_contains(array({names}), lower(trim(t))))"
+    places = f"transform(texts, t -> cast(array_position(array({names}), lower(trim(t))) - 1 as int))"
+    in_order = "forall(sequence(1, size(os) - 1), i -> os[i] > os[i - 1])"
+    fixed = r"if(size(filter(_vt, v -> v rlike '^\\d+$')) * 2 >= size(_vt), transform(_vt, v -> translate(v, 'IlOo', '1100')), _vt)"
+    fits = kept(r"forall(vt, v -> v rlike '^(\\d+|[-–—]+)$')", "array(named_struct('os', os, 'cs', cast(xs as array<double>), 'vx', cast(_vx as array<double>), 'vt', vt))")
+    rows = rows.select(*keys, "y", F.explode(F.expr(kept(known, named("os", places, kept(in_order, named("vt", fixed, fits)))))).alias("r"))
+    rows = rows.select(*keys, "y", "r.*").withColumn("at", _fitted(len(order), agree, reach)("os", "cs", "vx"))
+    one = "filter(transform(vt, (t, j) -> named_struct('i', get(at, j), 't', t, 'inferred', not array_contains(os, get(at, j)))), v -> v.i >= 0)"
+    pieces = "sort_array(transform(filter(sequence(0, size(vt) - 1), j -> get(at, j) = i), j -> named_struct('x', get(vx, j), 't', vt[j])))"
+    more = f"transform(filter(array_distinct(at), i -> i >= 0), i -> named_struct('i', i, 't', array_join(transform({pieces}, v -> v.t), ''), 'inferred', not array_contains(os, i)))"
+    out = F.expr(kept("size(vt) > 0", f"if(size(array_distinct(at)) = size(at), {one}, {more})"))
+    out = rows.select(*keys, "y", F.explode(out).alias("v")).select(*keys, "y", "v.*")
     label = F.element_at(F.array(*map(F.lit, order)), F.col("i") + 1)
     value = F.when(F.col("t").rlike(r"^\d+$"), F.col("t").cast("int")).otherwise(0)
-    return out.select(*keys, "y", "i", label.alias("label"), value.alias("value"), (~F.exists("_l", lambda l: l["o"] == F.col("i"))).alias("inferred"))
+    return out.select(*keys, "y", "i", label.alias("label"), value.alias("value"), "inferred")
+
+
+def _fitted(places: int, agree: float, reach: float):
+    """The place of each value (-1: none) on the lattice of a row of labels, from the labels' places and centres and the values' centres."""
+
+    def whole(x: np.ndarray, digits: int) -> np.ndarray:
+        return np.sign(x) * np.floor(np.abs(x) * 10**digits + 0.5)
+
+    def lattice(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pitch and offset of each row, NaN where no two labels agree."""
+        i, j = np.triu_indices(places, 1)
+        p = (c[:, j] - c[:, i]) / (j - i)
+        b = c[:, i] - p * i
+        n, err = np.zeros(p.shape), np.zeros(p.shape)
+        for k in range(places):
+            off = np.abs(c[:, k : k + 1] - b - p * k)
+            near = off <= agree * p
+            n += near
+            err += np.where(near, off, 0)
+        best = (p > 0) & (n >= 2)
+        none = ~best.any(axis=1)
+        # of equal ones the closest, then the narrowest, then the leftmost
+        for key in (-n, whole(err, 3), whole(p, 6), whole(b, 6)):
+            key = np.where(best, key, np.inf)
+            best &= key == key.min(axis=1, keepdims=True)
+        row, at = np.arange(len(c)), best.argmax(axis=1)
+        return tuple(np.where(none, np.nan, whole(v[row, at], 6) / 1e6) for v in (p, b))
+
+    @F.arrow_udf("array<int>")
+    def fit(os: pa.Array, cs: pa.Array, vx: pa.Array) -> pa.Array:
+        c = np.full((len(os), places), np.nan)
+        c[np.repeat(np.arange(len(os)), np.diff(os.offsets)), os.flatten()] = cs.flatten().to_numpy(zero_copy_only=False)
+        ends = vx.offsets.to_numpy() - vx.offsets[0].as_py()
+        x = vx.flatten().to_numpy(zero_copy_only=False)
+        with np.errstate(invalid="ignore"):
+            p, b = (np.repeat(v, np.diff(ends)) for v in lattice(c))
+            i = np.floor((x - b) / p + 0.5)
+            good = (np.abs(x - b - p * i) <= reach * p) & (i >= 0) & (i < places)
+        return pa.ListArray.from_arrays(pa.array(ends, "int32"), pa.array(np.where(good, i, -1).astype("int32")))
+
+    return fit
 
 
 def panel_blocks(lines: DataFrame, keys: list[str], segment: str, order: str) -> DataFrame:
