@@ -231,17 +231,23 @@ def inline_profiles(rows: DataFrame, keys: list[str], text: str, notation: dict[
     )
 
 
-def amounts(rows: DataFrame, keys: list[str], text: str, vocab: list[str]) -> DataFrame:
-    """Signed amounts of known keys summed; clauses that state a condition are left out."""
-    clauses = rows.select(*keys, F.explode(F.split(text, r"[.;]\s*|,\s*(?=[a-z])")).alias("clause"))
+def amounts(rows: DataFrame, keys: list[str], text: str, vocab: list[str], unique: bool = False) -> DataFrame:
+    """Signed amounts of known keys summed; clauses that state a condition are left out.
+
+    A row's amounts are summed inside it. With ``unique`` (no two rows have the same ``keys``) that is all; otherwise rows are summed up.
+    """
     # Words that make a clause conditional.
-    plain = clauses.where(~F.col("clause").rlike(r"(?i)\b(if|unless|when|while|against)\b"))
+    plain = F.filter(F.split(text, r"[.;]\s*|,\s*(?=[a-z])"), lambda c: ~c.rlike(r"(?i)\b(if|unless|when|while|against)\b"))
     pattern = rf"([+-]\d+) ({'|'.join(vocab)})\b"
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("clause", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("clause", F.lit(pattern), F.lit(2)).alias("k")
-    )
-    found = plain.select(*keys, F.explode(pairs).alias("p"))
-    return found.groupBy(*keys, F.col("p.k").alias("key")).agg(F.sum(F.col("p.n").cast("int")).alias("amount"))
+    found = F.flatten(F.transform(plain, lambda c: F.arrays_zip(
+        F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("k")
+    )))
+    total = lambda k: F.aggregate("_found", F.lit(0).cast("long"), lambda s, p: F.when(p["k"] == k, s + p["n"].cast("int")).otherwise(s))
+    # the array of one entry is worked out once
+    rows = rows.select(*keys, F.explode(F.array(found)).alias("_found"))
+    sums = F.transform(F.array_distinct(F.col("_found.k")), lambda k: F.struct(k.alias("key"), total(k).alias("amount")))
+    rows = rows.select(*keys, F.explode(sums).alias("p")).select(*keys, "p.key", "p.amount")
+    return rows if unique else rows.groupBy(*keys, "key").agg(F.sum("amount").alias("amount"))
 
 
 def gates(rows: DataFrame, keys: list[str], text: str, vocab: list[str]) -> DataFrame:

@@ -196,7 +196,7 @@ def _(t):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     text = F.expr("concat('gains +', cast(l_quantity as int), ' Size and -', l_linenumber, ' Price, then +2 Size; +9 Size if tired. +4 Other')")
     rows = t.lineitem.groupBy(*keys).agg(F.min("l_quantity").alias("l_quantity"))
-    return G.amounts(rows.select(*keys, text.alias("text")), keys, "text", ["Size", "Price"])
+    return G.amounts(rows.select(*keys, text.alias("text")), keys, "text", ["Size", "Price"], unique=True)
 
 
 @query("g17_gates", """
