@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions.scans import carry_last, carry_stack, islands, prefix_sum, previous, running_number
 from quire.functions.text import canonical_font
+from quire.session import cut_lineage
 
 COLUMN = ["doc_id", "page", "col"]
 
@@ -271,6 +272,8 @@ def page_numbering(runs: DataFrame, page_height: float = 792, least: int = 5, ga
     votes = runs.where(marginal & F.col("text").rlike(r"^\d{1,4}$")).select(
         "doc_id", "page", (F.col("text").cast("int") - F.col("page")).alias("offset")
     ).distinct()
+    # a few rows a page, which several branches below read: the runs are read once for them
+    votes = cut_lineage(votes)
     votes = previous(votes.withColumn("seg", F.floor(F.col("page") / 1024)), ["doc_id", "offset"], "seg", ["page"], F.col("page"), "_p")
     votes = votes.withColumn("_o", F.col("_p").isNull() | (F.col("page") - F.col("_p") > gap))
     votes = prefix_sum(votes, ["doc_id", "offset"], "seg", ["page"], F.col("_o").cast("int"), "region")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import grids as H, layout as L, sections as G
 from quire.plans.q_layout import LINES
 from quire.plans.registry import query
+from quire.session import cut_lineage
 
 RLINES = LINES.replace("v_full_runs", "v_runs")
 BODY = r"""
@@ -212,7 +213,7 @@ SELECT doc_id, page, page + coalesce("offset", 1) AS printed FROM (SELECT DISTIN
 def _(t):
     runs = t.full_runs
     regions = G.page_numbering(runs, least=2, region=2)
-    return G.printed_page(runs.select("doc_id", "page").distinct(), regions)
+    return G.printed_page(cut_lineage(runs.select("doc_id", "page").distinct()), regions)
 
 
 @query("g19_cited_ranges", """
