@@ -2,18 +2,19 @@
 
 A word goes if it lies in a window of ``SIZE`` words whose words also start in a document with a smaller id.
 
-1. Sketch: every task counts its windows (each once a document) in two rows of cells that hold 0, 1 or "more". Partition
-   sketches are sent as sparse regions of 65,536 cells and merged region by region. A window's estimate is the least of its
-   cells, so it is never too low: what it calls single is single.
+1. Sketch: every task counts its windows (each once a document) in one row of cells that hold 0, 1 or "more". The row has some
+   300 cells for each window, so it is held and sent as its cells alone: sorted, 16 low bits each and what is above them in
+   unary, about 2.5 bytes a window. Merged, the cells with "more" are put into two rows of at most ``2 ** (BITS - 1)`` cells, which
+   go to all tasks. A window's estimate is the least of its cells, so it is never too low: what it calls single is single.
 2. Exact grouping: only windows estimated repeated are grouped, by 96 bits of their words, each task's copies merged to
    their least id before they are sent. So a window costs one entry a task, however many documents have it. Each window then
    gives one answer, to the document with the least id: there it stays. Nothing is sent to all its other documents.
 3. Each document goes through its windows once more: a window estimated repeated that no answer keeps is removed. The
    answers of a document are never more than its own windows.
 
-The number of cells follows the bytes of the texts, ``BITS`` (2**30: 128 MB in each Python worker) at most; the broadcast
-holds only cells with "more", a byte each. Beyond about a billion windows cells fill up and more windows are grouped
-exactly, at most all of them; none is ever lost.
+The cells of both follow the bytes of the texts; the two rows have ``2 ** BITS`` (128 MB in a Python worker) at most. Only repeated windows are
+put there, so they fill up not with the number of windows but with that of the repeated ones: beyond about 300 million of these
+more windows are grouped exactly, at most all of them; none is ever lost.
 
 Null texts have no words. Rows that repeat an id are documents with one id: neither is smaller. Rows with a null id take no
 part: nothing is removed from them or because of them. Texts with fewer than ``SIZE`` words stay whole. Windows are judged on the input.
@@ -35,6 +36,9 @@ from quire.llm.words import WORD_BLOCK, Words, grams
 
 SIZE = 13
 BITS, LEAST_BITS = 30, 20
+#: Bits of the row that tasks count in beyond those of the bytes of the texts; the bits of a cell that are sent as they are; bits of a group
+#: of cells that is merged; windows that a task counts before it sends their cells.
+FINER, LOW, GROUPED, COUNTED = 6, 16, 10, 8_000_000
 #: Cells of a region, and bytes of texts for one shard of the exact grouping.
 REGION = 1 << 16
 SHARD_BYTES = 128 << 20
@@ -51,13 +55,14 @@ def block_windows(texts: pa.Array, size: int) -> tuple[Words, np.ndarray, np.nda
 
 
 def cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each hash in both rows, of ``2 ** (bits - 1)`` cells each."""
-    down = np.uint64(65 - bits)
-    return hashes >> down, (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> down) + np.uint64(1 << (bits - 1))
+    """The cell of each hash in both rows, of ``2 ** (bits - 1)`` cells each, in like regions of the two."""
+    own = hashes >> np.uint64(65 - bits)
+    inside = np.uint64(REGION - 1)
+    return own, (own & ~inside | mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) & inside) + np.uint64(1 << (bits - 1))
 
 
 class Sketch:
-    """Cells as two bits: found, and found more than once."""
+    """Cells as two bits: found, and found more than once. Tasks count in a sparse row instead; this form is kept for tests."""
 
     def __init__(self, bits: int):
         self.bits = bits
@@ -110,11 +115,61 @@ def spread(found: bytes) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def sketch(df: DataFrame, bits: int, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``region, more``: the merged sketch's cells that more than one window of different documents may have hit."""
+def packed(cells: np.ndarray, wide: int) -> tuple[bytes, bytes]:
+    """Sorted, different cells below ``2 ** wide``: the bits above ``LOW`` in unary, and the lower ones."""
+    high = (cells >> np.uint64(LOW)).astype(np.int64) + np.arange(len(cells))
+    bits = np.zeros(len(cells) + (1 << (wide - LOW)), np.uint8)
+    bits[high] = 1
+    return np.packbits(bits).tobytes(), cells.astype(np.uint16).tobytes()
+
+
+def unpacked(high: bytes, low: bytes) -> np.ndarray:
+    """The opposite of ``packed``."""
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8)))
+    return ((at - np.arange(len(at))).astype(np.uint64) << np.uint64(LOW)) | np.frombuffer(low, np.uint16)
+
+
+def fine_bits(bits: int, total: int) -> int:
+    """Bits of a cell of the row that tasks count in."""
+    return min(56, max(bits, int(total).bit_length() + FINER))
+
+
+def folded(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """The regions of both rows with the cells of these hashes."""
+    for at in cells(hashes, bits):
+        region = (at >> np.uint64(16)).astype(np.int64)
+        order = np.argsort(region, kind="stable")
+        at, region = at[order], region[order]
+        begin = np.flatnonzero(np.append(True, region[1:] != region[:-1])) if len(at) else []
+        for one, two in zip(begin, [*begin[1:], len(at)], strict=True):
+            part = np.zeros(REGION, np.uint8)
+            part[at[one:two] & np.uint64(REGION - 1)] = 1
+            yield int(region[one]), squeezed(np.packbits(part, bitorder="little").view(np.uint64))
+
+
+def sketch(df: DataFrame, bits: int, fine: int, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``region, more``: two rows of ``2 ** (bits - 1)`` cells with those of the cells of one row of ``2 ** fine`` that more than one
+    window of different documents may have hit."""
+    groups = min(GROUPED, bits - 17)
+    wide, down = fine - groups, np.uint64(64 - fine)
+
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = np.sort(np.concatenate(held))
+        new = np.append(True, found[1:] != found[:-1])
+        at = np.flatnonzero(new)
+        found, more = found[at], np.diff(np.append(at, len(found))) > 1
+        edges = np.searchsorted(found, np.arange((1 << groups) + 1, dtype=np.uint64) << np.uint64(wide)).tolist()
+        rows = []
+        for k, (one, two) in enumerate(zip(edges, edges[1:])):
+            if one < two:
+                own = found[one:two] & np.uint64((1 << wide) - 1)
+                rows.append((k, *packed(own, wide), np.packbits(more[one:two]).tobytes() if more[one:two].any() else b""))
+        for k in range(0, len(rows), 128):
+            group, *parts = zip(*rows[k : k + 128], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *(pa.array(c, pa.binary()) for c in parts)], names=["cells", "high", "low", "more"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Sketch(bits)
+        held, many = [], 0
         for block in text_blocks(batches, text, WORD_BLOCK):
             words, first, hashes, _ = block_windows(block.column(text), size)
             text_of = words.owners()[first]
@@ -122,43 +177,38 @@ def sketch(df: DataFrame, bits: int, size: int = SIZE, key: str = "doc_id", text
             hashes, text_of = hashes[order], text_of[order]
             new = np.ones(len(hashes), bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (text_of[1:] != text_of[:-1])
-            own.add(hashes[new])
-        rows: list[tuple[int, bytes, bytes]] = []
-        for row in own.regions():
-            rows.append(row)
-            if len(rows) == 512:
-                yield regions_batch(rows)
-                rows = []
-        if rows:
-            yield regions_batch(rows)
+            held.append(hashes[new] >> down)
+            many += len(held[-1])
+            if many > COUNTED:
+                yield from send(held)
+                held, many = [], 0
+        if many:
+            yield from send(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, more = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        done: list[tuple[int, bytes]] = []
+        now, held = None, []
+
+        def again() -> Iterator[pa.RecordBatch]:
+            """What is held, twice over and "more" with it: its cells found more than once."""
+            both = np.sort(np.concatenate(held))
+            twice = np.unique(both[1:][both[1:] == both[:-1]])
+            yield from (merged_batch([row]) for row in folded(((np.uint64(now << wide) | twice) << down), bits))
+
         for batch in batches:
-            for region, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if region != now:
-                    if now is not None and more.any():
-                        done.append((now, squeezed(more)))
-                    now, once, more = region, np.zeros(REGION >> 6, np.uint64), np.zeros(REGION >> 6, np.uint64)
-                found = spread(one)
-                more |= (once & found) | spread(two)
-                once |= found
-            if len(done) > 512:
-                yield merged_batch(done)
-                done = []
-        if now is not None and more.any():
-            done.append((now, squeezed(more)))
-        if done:
-            yield merged_batch(done)
-
-    parts = df.where(F.col(key).isNotNull()).select(text).mapInArrow(count, "region int, once binary, more binary")
-    return parts.repartition("region").sortWithinPartitions("region").mapInArrow(merge, "region int, more binary")
-
-
-def regions_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    region, once, more = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(region, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["region", "once", "more"])
+            for group, high, low, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != now:
+                    if held:
+                        yield from again()
+                    now, held = group, []
+                own = unpacked(high, low)
+                held.append(own)
+                if more:
+                    held.append(own[np.unpackbits(np.frombuffer(more, np.uint8))[: len(own)] > 0])
+        if held:
+            yield from again()
+
+    parts = df.where(F.col(key).isNotNull()).select(text).mapInArrow(count, "cells int, high binary, low binary, more binary")
+    return parts.repartition("cells").sortWithinPartitions("cells").mapInArrow(merge, "region int, more binary")
 
 
 def merged_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -169,8 +219,8 @@ def merged_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 class Estimates:
     """Which windows the merged sketch estimates repeated."""
 
-    def __init__(self, found: dict[int, bytes], bits: int):
-        self.bits = bits
+    def __init__(self, found: dict[int, bytes], bits: int, fine: int = 64):
+        self.bits, self.known = bits, np.uint64((1 << 64) - (1 << (64 - fine)))
         self.more = np.zeros(1 << (bits - 6), np.uint64)
         width = REGION >> 6
         for region, part in found.items():
@@ -178,7 +228,7 @@ class Estimates:
 
     def repeated(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
-        for at in cells(hashes, self.bits):
+        for at in cells(hashes & self.known, self.bits):
             out &= (self.more[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
         return out
 
@@ -193,7 +243,7 @@ def least(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nda
     return one[new], two[new], ids[new]
 
 
-def keepers(df: DataFrame, estimates: Broadcast, bits: int, shards: int, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keepers(df: DataFrame, estimates: Broadcast, bits: int, fine: int, shards: int, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, stays``: values of the windows estimated repeated that stay in this document, for no smaller one has them."""
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
@@ -205,7 +255,7 @@ def keepers(df: DataFrame, estimates: Broadcast, bits: int, shards: int, size: i
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, many = Estimates(estimates.value, bits), [], 0
+        known, held, many = Estimates(estimates.value, bits, fine), [], 0
         for block in text_blocks(batches, text, WORD_BLOCK):
             words, first, one, two = block_windows(block.column(text), size)
             again = known.repeated(one)
@@ -247,13 +297,14 @@ def without_windows(df: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = min(most_bits, max(LEAST_BITS, int(total).bit_length()))
+    fine = fine_bits(bits, total)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES)
-    found = {r.region: bytes(r.more) for r in sketch(df, bits, size, key, text).collect()}  # at most a bit a cell
+    found = {r.region: bytes(r.more) for r in sketch(df, bits, fine, size, key, text).collect()}  # at most a bit a cell
     estimates = spark.sparkContext.broadcast(found)
-    answers = keepers(df, estimates, bits, shards, size, key, text)
+    answers = keepers(df, estimates, bits, fine, shards, size, key, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Estimates(estimates.value, bits)
+        known = Estimates(estimates.value, bits, fine)
         for block in text_blocks(batches, "text", WORD_BLOCK):
             words, first, one, _ = block_windows(block.column("text"), size)
             owners, ids = words.owners(), block.column("key")
