@@ -23,8 +23,9 @@ def headings(lines: DataFrame, body: DataFrame, longest: int = 60) -> DataFrame:
         (F.length("text") <= longest) & F.col("text").rlike(r"^[\p{Pi}\p{Ps}\"']*[\p{Lu}\p{N}]") & ~F.col("text").rlike(r"[.:,;!?]$")
     )
     first = title_like & (F.col("style") != F.coalesce("body_style", F.lit("")))
-    faces = lines.where(first).select("doc_id", "style").distinct().withColumn("_face", F.lit(True))
-    lines = lines.join(faces, ["doc_id", "style"], "left")
+    # faces that set headings, in a window of their lines, so that lines are made once
+    face = F.max(first).over(W.partitionBy("doc_id", "style"))
+    lines = lines.withColumn("_face", F.when(F.col("doc_id").isNotNull(), face))
     shouted = F.coalesce("_face", F.lit(False)) & (F.length("text") <= longest) & F.col("text").rlike(r"\p{Lu}{2}") & ~F.col("text").rlike(r"\p{Ll}")
     lines = lines.withColumn("is_heading", first | shouted)
     w = W.partitionBy(*COLUMN).orderBy(F.desc("y"))

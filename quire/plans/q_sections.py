@@ -17,9 +17,7 @@ bs AS (SELECT doc_id, style FROM (SELECT doc_id, lower(regexp_replace(font, '^[A
 
 
 def styled_lines(t):
-    lined = L.group_lines(t.runs)
-    font = lined.groupBy("doc_id", "page", "col", "line").agg(F.min_by("font", F.struct("x", "ord")).alias("font"))
-    return L.line_text(lined).join(font, ["doc_id", "page", "col", "line"])
+    return L.line_text(L.group_lines(t.runs), fonts=True)
 
 
 STYLED = rf"""
